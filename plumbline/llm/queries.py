@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, quality, secrets, sentencepieces, toxicity
+from . import embeddings, langid, language_model, minhash, mixing, neighbours, quality, secrets, sentencepieces, toxicity
 from .common import table
 
 #: Folder of public tokenizer files; a parameter, as the files are never copied here.
@@ -34,6 +34,22 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(docs, langid.fit_languages(docs))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_language(table(spark, sf_dir, "documents"))
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -48,10 +64,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_quality": op3_quality,
         "op4_language": op4_language,
+        "op5_minhash": op5_minhash,
+        "op6_neighbours": op6_neighbours,
+        "op7_perplexity": op7_perplexity,
+        "op8_embeddings": op8_embeddings,
         "op9_pieces": op9_pieces,
         "op10_secrets": op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.MIX_SQL}
+    return {"op1_mix": mixing.MIX_SQL, "op5_minhash": minhash.NEAR_SQL, "op8_embeddings": embeddings.EMBEDDING_SQL}

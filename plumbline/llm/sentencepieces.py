@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator, Sequence
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,54 @@ _BLANK = "▁"
 _UNIT = re.compile(" *[^ \n]+| +|\n")
 
 
+class Automaton:
+    """Aho-Corasick automaton over reversed pieces: run from the end of a text, the state at a position knows all
+    pieces that start there, the longest first. Failure moves are kept once found."""
+
+    def __init__(self, words: dict[str, int]):
+        self.moves: list[dict[str, int]] = [{}]
+        self.found: list[tuple[tuple[int, int], ...]] = [()]
+        for word, value in words.items():
+            state = 0
+            for c in reversed(word):
+                after = self.moves[state].get(c)
+                if after is None:
+                    after = self.moves[state][c] = len(self.moves)
+                    self.moves.append({})
+                    self.found.append(())
+                state = after
+            self.found[state] = ((len(word), value),)
+        self.fail = [0] * len(self.moves)
+        queue = deque(self.moves[0].values())
+        trie = [list(m.items()) for m in self.moves]
+        while queue:  # breadth first: a state's failure state is shallower, and ready
+            state = queue.popleft()
+            self.found[state] += self.found[self.fail[state]]
+            for c, after in trie[state]:
+                self.fail[after] = self.follow(self.fail[state], c)
+                queue.append(after)
+
+    def follow(self, state: int, c: str) -> int:
+        """The move by a character, through failure states; remembered."""
+        at = state
+        while (after := self.moves[at].get(c)) is None and at:
+            at = self.fail[at]
+        after = after or 0
+        if at != state:
+            self.moves[state][c] = after
+        return after
+
+    def starts(self, text: str) -> list[tuple[tuple[int, int], ...]]:
+        """For each position, (length, id) of the pieces that start there, the longest first."""
+        state, out, moves, found = 0, [], self.moves, self.found
+        for c in reversed(text):
+            after = moves[state].get(c)
+            state = self.follow(state, c) if after is None else after
+            out.append(found[state])
+        out.reverse()
+        return out
+
+
 class Vocabulary:
     """Pieces, scores and byte pieces of a model file, read with the library; encoding and decoding are ours."""
 
@@ -29,68 +77,104 @@ class Vocabulary:
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i) for i in range(size)]
         self.pieces = [model.id_to_piece(i) for i in range(size)]
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
-        self.score = {p: model.get_score(i) for p, i in self.ids.items()}
+        scores = {p: model.get_score(i) for p, i in self.ids.items()}
+        place = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
+        #: The best score has rank 0; merging takes ranks in order.
+        self.rank = {p: place[s] for p, s in scores.items()}
+        self.halves: dict[str, tuple[str, str]] = {}
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.unknown = model.unk_id()
         self.crossing = [p for p in self.ids if _BLANK in p[1:] and p.strip(_BLANK)]
-        self.automaton = ahocorasick.Automaton()
+        reachable = {}
         for piece, i in self.ids.items():
-            if self.merge(piece) == [piece]:  # a piece that merging never makes can't be in an encoding
-                self.automaton.add_word(piece[::-1], (len(piece), i))
-        self.automaton.make_automaton()
+            parts, last = self._merge(piece)
+            if parts == [piece]:  # a piece that merging never makes can't be in an encoding
+                if last:
+                    self.halves[piece] = last
+                reachable[piece] = i
+        self.automaton = Automaton(reachable)
         self.fits: dict[int, bool] = {}
+        self.named = list(map(str, range(size)))
+        self.plain = [p.replace(_BLANK, " ") for p in self.pieces]
+        self.foreign = re.compile("[^ " + "".join(re.escape(p) for p in self.ids if len(p) == 1) + "]+")
 
     def merge(self, text: str) -> list[str]:
         """Merging by the book: the best scored pair first, the leftmost of equals."""
-        parts = list(text)
-        score = self.score
+        return self._merge(text)[0]
+
+    def _merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The merged parts, and the two parts of the last merge."""
+        parts, last = list(text), None
+        rank = self.rank
         while len(parts) > 1:
             best, at = None, -1
             for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
+                r = rank.get(parts[k] + parts[k + 1])
+                if r is not None and (best is None or r < best):
+                    best, at = r, k
             if best is None:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            last = parts[at], parts[at + 1]
+            parts[at : at + 2] = [last[0] + last[1]]
+        return parts, last
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether two tokens can stand side by side: merging their joined text again gives just the two."""
+        """Whether two tokens can stand side by side: merging their joined text again gives just the two.
+
+        Only merges over the border can spoil that, so the border is merged again backwards in time: of the two
+        parts at the border the one made later is taken apart, and each pair that stood there before
+        must not have had a better score than the merge undone (at equal scores the left one comes first).
+        """
         key = left * len(self.pieces) + right
         known = self.fits.get(key)
         if known is None:
-            a, b = self.pieces[left], self.pieces[right]
             if len(self.fits) > 2_000_000:
                 self.fits.clear()
-            known = self.fits[key] = self.merge(a + b) == [a, b]
+            known = self.fits[key] = self._border(self.pieces[left], self.pieces[right])
         return known
 
+    def _border(self, a: str, b: str) -> bool:
+        rank, halves = self.rank, self.halves
+        until = float("inf")  # the border pair must not have merged before this moment
+        while True:
+            across = rank.get(a + b)
+            if across is not None and across < until:
+                return False
+            parts_a, parts_b = halves.get(a), halves.get(b)
+            if parts_a is None and parts_b is None:
+                return True
+            if parts_b is None or (parts_a is not None and rank[a] > rank[b]):
+                until, a = rank[a], parts_a[1]
+            else:
+                until, b = rank[b] + 0.5, parts_b[0]
+
     def _known(self, unit: str) -> list[int]:
         """Encode characters of the vocabulary: longest match first, backtracking over a bitfield of failed positions."""
         n = len(unit)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, i) in self.automaton.iter(unit[::-1]):
-            starts[n - 1 - end].append((length, i))
-        for options in starts:
-            options.sort(reverse=True)
-        failed, at = 0, 0
+        starts = self.automaton.starts(unit)
+        failed, at, left = 0, 0, -1
         tokens: list[int] = []
         tried = [0]  # by depth, the next option at its position
         where = [0]
+        size, fits = len(self.pieces), self.fits
         while at < n:
-            options, k = starts[at], tried[-1]
-            while k < len(options):
+            options = starts[at]
+            for k in range(tried[-1], len(options)):
                 length, i = options[k]
-                k += 1
-                if not failed >> (at + length) & 1 and (not tokens or self.compatible(tokens[-1], i)):
-                    tried[-1] = k
-                    tokens.append(i)
-                    at += length
-                    tried.append(0)
-                    where.append(at)
-                    break
+                if failed >> (at + length) & 1:
+                    continue
+                if left >= 0:
+                    fit = fits.get(left * size + i)
+                    if not (self.compatible(left, i) if fit is None else fit):
+                        continue
+                tried[-1] = k + 1
+                tokens.append(i)
+                left = i
+                at += length
+                tried.append(0)
+                where.append(at)
+                break
             else:
                 failed |= 1 << at
                 tried.pop()
@@ -98,28 +182,33 @@ class Vocabulary:
                 if not tokens:
                     raise ValueError(f"no encoding of {unit!r}")
                 tokens.pop()
+                left = tokens[-1] if tokens else -1
                 at = where[-1]
         return tokens
 
     def unit(self, unit: str) -> list[int]:
         """Ids of a unit; a character outside the vocabulary is its UTF-8 bytes and takes part in no merge."""
+        if not self.foreign.search(unit):
+            return self._known(unit)
         out: list[int] = []
-        run = ""
-        for c in unit:
-            if c in self.ids:
-                run += c
-                continue
-            if run:
-                out += self._known(run)
-                run = ""
-            if self.byte:
-                out += [self.byte[b] for b in c.encode()]
-            else:
-                out.append(self.unknown)
-        return out + (self._known(run) if run else [])
+        at = 0
+        for m in self.foreign.finditer(unit):
+            if m.start() > at:
+                out += self._known(unit[at : m.start()])
+            at = m.end()
+            for c in m.group():
+                out += [self.byte[b] for b in c.encode()] if self.byte else [self.unknown]
+        return out + (self._known(unit[at:]) if at < len(unit) else [])
+
+    def written(self, unit: str) -> tuple[int, str, str]:
+        """Of a unit with plain blanks: the number of ids, the ids in text, and their decoded text."""
+        ids = self.unit(unit.replace(" ", _BLANK))
+        if self.foreign.search(unit) and unit != " ":
+            return len(ids), ",".join(map(str, ids)), self.decode([self.ids[_BLANK], *ids])
+        return len(ids), ",".join([self.named[i] for i in ids]), "".join([self.plain[i] for i in ids])
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for u in units(text) for i in self.unit(u)]
+        return [i for u in units(text) for i in self.unit(u.replace(" ", _BLANK))]
 
     def decode(self, ids: Sequence[int]) -> str:
         """Text of ids: pieces joined, byte pieces read as UTF-8 with replacements, the first blank dropped."""
@@ -157,10 +246,10 @@ def _replaced(raw: bytes) -> str:
 
 
 def units(text: str | None) -> list[str]:
-    """Stretches between which no merge happens, blanks as the vocabulary writes them; together with a blank in front they are the text."""
+    """Stretches between which no merge happens; joined, they are the text with a blank in front."""
     if not text:
         return []
-    return [u.replace(" ", _BLANK) if " " in u else u for u in _UNIT.findall(" " + text.replace(_BLANK, " "))]
+    return _UNIT.findall(" " + (text.replace(_BLANK, " ") if _BLANK in text else text))
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -175,7 +264,7 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, path: str, keep: Sequence[str] = (), with_ids: bool = False, cached: int = 200_000) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, keep: Sequence[str] = (), with_ids: bool = False, cached: int = 500_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, then ``ids`` if asked for and ``keep``, for each row.
 
     ``path`` is the model file, at the same place on every executor. Units (mostly words) are encoded once
@@ -192,15 +281,13 @@ def encode_documents(docs: DataFrame, path: str, keep: Sequence[str] = (), with_
         cache: dict[str, tuple[int, str, str]] = {}
 
         def look(unit: str) -> tuple[int, str, str]:
-            ids = vocab.unit(unit)
-            if len(cache) >= cached:
-                cache.clear()
-            if len(unit) > 200:
-                return len(ids), ",".join(map(str, ids)), vocab.decode([vocab_blank, *ids])
-            cache[unit] = got = (len(ids), ",".join(map(str, ids)), vocab.decode([vocab_blank, *ids]))
+            got = vocab.written(unit)
+            if len(unit) <= 100:
+                if len(cache) >= cached:
+                    cache.clear()
+                cache[unit] = got
             return got
 
-        vocab_blank = vocab.ids[_BLANK]
         get = cache.get
         for batch in pieces(batches):
             counts, digests, decoded, sizes, lists = [], [], [], [], []
