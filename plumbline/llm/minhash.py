@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rows_per_block: int = 25
     members = members.withColumn("place", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int"))
     members = stored(members, "minhash-members")
     tasks = members.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("n")).first()["n"]
-    texts = plain.join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
+    texts = plain.join(members.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")  # members have no size bound: never broadcast
     links = _verify(texts, percent, int(max(16, tasks // 500)))
     found = components(links.unionByName(copies), "minhash-links")
     out = sketch.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
