@@ -177,7 +177,7 @@ query("isotonic", f"{_ISO} SELECT row_id, round(fit, 6) AS p FROM cal JOIN g USI
 
 
 def _line(x: str) -> str:
-    return f"""{_ISO}, kn AS MATERIALIZED (SELECT {x} AS x, fit, lead({x}) OVER (ORDER BY fit) AS x1, lead(fit) OVER (ORDER BY fit) AS f1 FROM blocks), en AS (SELECT min(x) AS a, max(x) AS b, min(fit) AS fa, max(fit) AS fb FROM kn)
+    return f"""{_ISO}, kn AS MATERIALIZED (SELECT {x} AS x, fit, lead({x}) OVER (ORDER BY first) AS x1, lead(fit) OVER (ORDER BY first) AS f1 FROM blocks), en AS (SELECT min(x) AS a, max(x) AS b, min(fit) AS fa, max(fit) AS fb FROM kn)
 SELECT row_id, round(CASE WHEN s <= a THEN fa WHEN s >= b THEN fb ELSE (SELECT fit + (f1-fit)*(s-x)/(x1-x) FROM kn WHERE x <= s AND s < x1) END, 6) AS p FROM cal, en"""
 
 

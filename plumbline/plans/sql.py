@@ -54,4 +54,6 @@ sums AS MATERIALIZED (SELECT i, s, sum(w) OVER (ORDER BY i) AS cw, sum(wy) OVER
 avgs AS MATERIALIZED (SELECT a.i AS a, b.i AS b, (b.cy-a.cy+a.wy)/(b.cw-a.cw+a.w) AS m FROM sums a JOIN sums b ON a.i <= b.i),
 low AS MATERIALIZED (SELECT a, x.i, min(m) AS m FROM avgs JOIN g x ON x.i BETWEEN a AND b GROUP BY a, x.i),
 iso AS MATERIALIZED (SELECT i, max(m) AS fit FROM low GROUP BY i),
-blocks AS MATERIALIZED (SELECT round(fit, 9) AS fit, min(s) AS first, max(s) AS last, sum(ws)/sum(w) AS centre FROM iso JOIN g USING (i) GROUP BY round(fit, 9))"""
+lev AS MATERIALIZED (SELECT round(fit, 9) AS lf, fit, i, s, w, ws, abs(sum(wy) OVER p - fit*sum(w) OVER p) < 1e-7 AS done FROM iso JOIN g USING (i) WINDOW p AS (PARTITION BY round(fit, 9) ORDER BY i)),
+part AS MATERIALIZED (SELECT *, coalesce(sum(CAST(done AS INT)) OVER (PARTITION BY lf ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM lev),
+blocks AS MATERIALIZED (SELECT lf AS fit, min(s) AS first, max(s) AS last, sum(ws)/sum(w) AS centre FROM part GROUP BY lf, k)"""
