@@ -124,6 +124,7 @@ def mix_sources(
         (F.col("size") * F.col("entries")).alias("taken"),
         F.col("entries").cast("int").alias("entries"),
         finish[0].alias("first_finish"),
+        *["source"] * ("source" in keep),
         *[F.col(f"kept_{c}").alias(c) for c in kept],
     )
 
