@@ -39,8 +39,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS).withColumn("size", mixing.word_count(F.col("text")))
     mixed = mixing.mix_sources(docs.select("doc_id", "source", "text"), keep=("source",))
     times = mixed.groupBy("doc_id", "source", "size").agg(F.max("entries").alias("entries")).where("entries > 0")
-    on = [docs[c].eqNullSafe(times[c]) for c in ("doc_id", "source", "size")]
-    taken = docs.join(times, on).select(*[docs[c] for c in COLUMNS], "entries")
+    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source", "size")]
+    taken = docs.alias("d").join(times.alias("t"), on).select(*[F.col(f"d.{c}").alias(c) for c in COLUMNS], "t.entries")
     return taken.withColumn("entry", F.explode(F.sequence(F.lit(1), F.col("entries")))).select(*COLUMNS)
 
 
