@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import special
 from ..functions.exprs import bin_index, logit, softplus, traffic_light, wilson
 from .frame import Frame, S, W, Y
+from .kernel import skce, skce_linear, skce_test  # noqa: F401
 from .solvers import irls, loess
 
 
@@ -207,23 +208,6 @@ def smooth_ece(f: Frame, cells: int = 8192) -> float:
     return at((low + high) / 2)
 
 
-def skce(f: Frame, bandwidth: float, biased: bool = False, rows: int = 20_000) -> float:
-    """Kernel calibration error over all pairs (Laplace kernel), in blocks of the distinct scores on the executors.
-
-    A pair's term is the product of residuals times twice the kernel, so rows of one score act through the sum
-    and the sum of squares of their residuals. Quadratic in the distinct scores, which ``rows`` bounds."""
-    pooled = f.df.groupBy("s").agg(F.sum(Y() - S()).alias("r"), F.sum(F.pow(Y() - S(), 2)).alias("q"), F.count("*").alias("n"))
-    got = pooled.orderBy("s").toPandas()
-    if len(got) > rows:
-        raise ValueError(f"more than {rows} distinct scores; round them first")
-    s, r = got["s"].to_numpy(float), got["r"].to_numpy(float)
-    total = sum(float(r[a : a + 512] @ (2 * np.exp(-np.abs(s[a : a + 512, None] - s) / bandwidth)) @ r) for a in range(0, len(s), 512))
-    n = int(got["n"].sum())
-    if biased:
-        return total / n**2
-    return (total - 2 * float(got["q"].sum())) / (n * (n - 1))
-
-
 def calibration_intercept(f: Frame) -> float:
     return irls(f.df, [F.lit(1.0)], Y(), W(), offset=logit(S())).beta[0]
 

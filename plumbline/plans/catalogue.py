@@ -30,6 +30,10 @@ def _cal(spark: SparkSession, sf_dir: str, weight: str | None = "w", digits: int
     return Frame(Frame.bind(df, weight=weight, by=("grade",), strict=False).df, weight is not None, tuple(by))
 
 
+def _whole(f: Frame) -> Frame:
+    return Frame(f.df, f.weighted)
+
+
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else (F.col(c).cast("long").alias(c) if t == "int" else F.col(c)) for c, t in df.dtypes])
 
@@ -113,6 +117,11 @@ _PAIR = "2*exp(-abs(a.s-b.s)/0.1::DOUBLE)*(a.y-a.s)*(b.y-b.s)"
 _SMALL = frame(keep="WHERE o_orderkey % 10 = 0")
 query("skce_uq", f"WITH {_SMALL} SELECT round(avg({_PAIR}), 6) AS skce FROM cal a JOIN cal b ON a.row_id <> b.row_id", every=10, **_ONE)(lambda f, *_: {"skce": M.skce(f, 0.1)})
 query("skce_biased", f"WITH {_SMALL} SELECT round(avg({_PAIR}), 6) AS skce FROM cal a, cal b", every=10, **_ONE)(lambda f, *_: {"skce": M.skce(f, 0.1, biased=True)})
+_SHUFFLED = f"{frame()}, o AS (SELECT s, y - s AS r, row_number() OVER (ORDER BY md5(row_id || ':42'), row_id) - 1 AS i FROM cal)"
+query("skce_ul", f"""WITH {_SHUFFLED}, t AS (SELECT 2*exp(-abs(a.s-b.s)/0.1::DOUBLE)*a.r*b.r AS term FROM o a JOIN o b ON b.i = a.i + 1 WHERE a.i % 2 = 0)
+SELECT count(*) AS pairs, round(avg(term), 6) AS skce, round(stddev_samp(term), 6) AS sd FROM t""")(lambda f, *_: M.skce_linear(_whole(f), 0.1))
+query("skce_test_asymptotic", None)(lambda f, *_: M.skce_test(_whole(f), "asymptotic"))
+query("skce_test_bootstrap", None, every=10)(lambda f, *_: M.skce_test(_whole(f), replicates=199))
 
 _INT = newton(["1.0"], offset=LOGIT, name="ni")
 _SLO = newton(["1.0", LOGIT], name="ns")

@@ -77,6 +77,87 @@ def test_skce_by_hand(spark):
     assert M.skce(f, 1.0, biased=True) == pytest.approx(0.0270559716)
 
 
+def _terms(s, y, kernel, width, x=None):
+    s, y = np.array(s), np.array(y)
+    x, r = s if x is None else x, y - s
+    d = np.abs(x[:, None] - x)
+    return 2 * (np.exp(-d / width) if kernel == "laplace" else np.exp(-(d**2) / (2 * width**2))) * np.outer(r, r)
+
+
+@pytest.mark.parametrize("kernel", ["laplace", "gaussian"])
+@pytest.mark.parametrize("scale", ["probability", "logit"])
+def test_skce_options(spark, kernel, scale):
+    rng = np.random.default_rng(5)
+    s = np.round(rng.uniform(0.05, 0.95, 60), 1)
+    y = (rng.uniform(size=60) < s).astype(float)
+    x = s if scale == "probability" else np.log(s) - np.log1p(-s)
+    width = np.median(np.abs(x[:, None] - x)[np.triu_indices(60, 1)])
+    h = _terms(s, y, kernel, width, x)
+    f = whole(frame(spark, s, y))
+    assert M.skce(f, kernel=kernel, scale=scale) == pytest.approx((h.sum() - np.trace(h)) / (60 * 59))
+    assert M.skce(f, biased=True, kernel=kernel, scale=scale) == pytest.approx(h.mean())
+
+
+def test_skce_pairs(spark):
+    import hashlib
+
+    rng = np.random.default_rng(6)
+    s, y = rng.uniform(0.1, 0.9, 41), rng.integers(0, 2, 41)
+    order = sorted(range(41), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())
+    h = _terms(s, y, "laplace", 0.3)
+    want = [h[a, b] for a, b in zip(order[:40:2], order[1:40:2])]
+    f = whole(frame(spark, s, y))
+    got = M.skce_linear(f, 0.3).first()
+    assert tuple(got) == pytest.approx((20, np.mean(want), np.std(want, ddof=1)))
+    test = M.skce_test(f, "asymptotic", bandwidth=0.3)
+    assert test["p_value"] == pytest.approx(0.5 * math.erfc(math.sqrt(20) * np.mean(want) / np.std(want, ddof=1) / math.sqrt(2)))
+
+
+def test_ranks_span_buckets(spark):
+    from plumbline.operators.kernel import ranked
+
+    rows = spark.range(1000).withColumn("v", F.col("id") * 7 % 1000)
+    got = ranked(rows, F.floor(F.col("v") / 90), ["v"]).collect()
+    assert all(r["place"] == r["v"] for r in got)
+
+
+def test_skce_resamples(spark):
+    """The statistics of the drawn counts equal those of the centred matrix written out."""
+    from plumbline.operators import kernel
+
+    rng = np.random.default_rng(7)
+    s = np.round(rng.uniform(0.1, 0.9, 80), 1)
+    y = (rng.uniform(size=80) < s).astype(float)
+    f = whole(frame(spark, s, y))
+    x, r, n = kernel._classes(f, F.col("s"), 1000)
+    got = kernel._resampled(f, x, r, n, "laplace", 0.2, 150, 3)
+    assert len(got) == 150 and n.sum() == 80
+    rows = np.repeat(np.arange(len(x)), n.astype(int))
+    h = 2 * np.exp(-np.abs(x[rows, None] - x[rows]) / 0.2) * np.outer(r[rows], r[rows])
+    c = h.mean(axis=1)
+    centred = h - c[:, None] - c + h.mean()
+    first = np.r_[0, np.cumsum(n.astype(int))[:-1]]
+    drawn = np.concatenate([np.random.default_rng([3, part]).multinomial(80, n / 80, size=size) for part, size in ((0, 128), (1, 22))])
+    for t, counts in zip(got, drawn):
+        v = np.zeros(80)
+        v[first] = counts  # rows of a class are alike, so its first stands for all
+        assert t == pytest.approx((v @ centred @ v - v @ np.diag(centred)) / 80, abs=1e-9)
+
+
+def test_skce_test_decides(spark):
+    rng = np.random.default_rng(8)
+    s = rng.uniform(0.05, 0.95, 400)
+    good, bad = (rng.uniform(size=400) < s).astype(float), (rng.uniform(size=400) < s**3).astype(float)
+    assert M.skce_test(whole(frame(spark, s, good)), replicates=199)["p_value"] > 0.05
+    got = M.skce_test(whole(frame(spark, s, bad)), replicates=199)
+    assert got["p_value"] == 0.005 and got["estimator"] == "uq" and 0 < got["p_value_bound"] <= 1
+    assert M.skce_test(whole(frame(spark, s, bad)), "asymptotic")["p_value"] < 0.05
+    with pytest.raises(ValueError, match="method"):
+        M.skce_test(whole(frame(spark, s, bad)), "exact")
+    with pytest.raises(ValueError, match="identical"):
+        M.skce(whole(frame(spark, [0.5] * 4, [0, 1, 0, 1])))
+
+
 def test_grades_by_hand(spark):
     r = M.grade_backtest(frame(spark, [0.5, 0.5], [1, 0])).first()
     assert r["p_exact"] == pytest.approx(0.75) and r["p_jeffreys"] == pytest.approx(0.5)
