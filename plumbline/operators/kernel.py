@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.exprs import logit
-from .frame import Frame, S, Y
+from .frame import MAX_POINTS, Frame, S, Y
 
-#: Quadratic operators refuse more distinct pairs of score and outcome than this.
+#: Operators quadratic by their kernel (gaussian) refuse more distinct pairs of score and outcome than this.
 MAX_CLASSES = 20_000
 #: The median distance is taken over this many rows at most, evenly spaced in row order.
 MEDIAN_ROWS = 4096
@@ -82,24 +82,99 @@ def _classes(f: Frame, x: Column, rows: int) -> tuple[np.ndarray, np.ndarray, np
     return got["x"].to_numpy(float), got["r"].to_numpy(float), got["n"].to_numpy(float)
 
 
+def _behind(x: np.ndarray, v: np.ndarray, width: float) -> np.ndarray:
+    """For ascending x, at each place the sum of v up to it, each decayed by exp(-distance / width); v may have lanes.
+
+    Decay multiplies along the line, so prefix sums do, inside stretches short enough for the growing factors."""
+    out = np.empty_like(v)
+    if not len(x):
+        return out
+    t = (x - x[0]) / width
+    ends = np.r_[np.flatnonzero(np.diff(np.floor(t / 500))) + 1, len(x)]
+    carry, at, a = np.zeros(v.shape[1:]), 0.0, 0
+    for b in ends:
+        up = np.exp(t[a:b] - t[a]).reshape(-1, *[1] * (v.ndim - 1))
+        out[a:b] = (np.cumsum(v[a:b] * up, axis=0) + carry * math.exp(at - t[a])) / up
+        carry, at, a = out[b - 1], t[b - 1], b
+    return out
+
+
+def _laplace_sums(x: np.ndarray, v: np.ndarray, width: float) -> np.ndarray:
+    """For ascending x, at each place the sum of all v by the laplace kernel, in linear time."""
+    return _behind(x, v, width) + _behind(-x[::-1], v[::-1], width)[::-1] - v
+
+
+def _stretch(x: np.ndarray, r: np.ndarray, n: np.ndarray, width: float) -> dict[str, float]:
+    """What a stretch of the line hands on: its ends, its residuals decayed to both ends, its pair sum, its squares, its rows."""
+    v = n * r
+    right, left = _behind(x, v, width), _behind(-x[::-1], v[::-1], width)
+    return {
+        "first": float(x[0]), "last": float(x[-1]), "left": float(left[-1]), "right": float(right[-1]),
+        "pairs": math.fsum(v * (2 * right - v)), "own": math.fsum(n * r * r), "n": float(n.sum()),
+    }
+
+
+def _joined(a: dict[str, float], b: dict[str, float], width: float) -> dict[str, float]:
+    """Two neighbouring stretches, ``a`` before ``b``, as one."""
+    return {
+        "first": a["first"], "last": b["last"],
+        "left": a["left"] + b["left"] * math.exp((a["first"] - b["first"]) / width),
+        "right": b["right"] + a["right"] * math.exp((a["last"] - b["last"]) / width),
+        "pairs": a["pairs"] + b["pairs"] + 2 * a["right"] * b["left"] * math.exp((a["last"] - b["first"]) / width),
+        "own": a["own"] + b["own"], "n": a["n"] + b["n"],
+    }
+
+
+def _laplace_pairs(f: Frame, x: Column, width: float) -> tuple[float, float, float]:
+    """Laplace kernel sum over all ordered pairs of rows, self pairs included; the sum of squared residuals; the number of rows.
+
+    Classes are range-sorted by score; a task reads its range in batches and hands on one stretch, and the stretches, one for each
+    partition, are joined in order. Any number of rows and of distinct scores will do."""
+    pooled = f.df.groupBy("s", "y").agg(F.count("*").cast("double").alias("n"))
+    rows = pooled.repartitionByRange("s").sortWithinPartitions("s").select(x.alias("x"), (Y() - S()).alias("r"), "n")
+    names = ["first", "last", "left", "right", "pairs", "own", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = None
+        for batch in batches:
+            if batch.num_rows:
+                new = _stretch(*[batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], width)
+                done = new if done is None else _joined(done, new, width)
+        if done is not None:
+            yield pa.RecordBatch.from_pylist([done], schema=pa.schema([(c, pa.float64()) for c in names]))
+
+    parts = sorted((r.asDict() for r in rows.mapInArrow(run, ", ".join(f"{c} double" for c in names)).collect()), key=lambda p: p["first"])
+    if not parts:
+        return 0.0, 0.0, 0.0
+    done = parts[0]
+    for part in parts[1:]:
+        done = _joined(done, part, width)
+    return done["pairs"], done["own"], done["n"]
+
+
 def _row_sums(x: np.ndarray, r: np.ndarray, n: np.ndarray, kernel: str, width: float) -> np.ndarray:
     """For each class the sum of its pair terms with every row, itself included."""
+    if kernel == "laplace":
+        return 2 * r * _laplace_sums(x, n * r, width)
     return np.concatenate([2 * r[a : a + 512] * (_near(np.abs(x[a : a + 512, None] - x), kernel, width) @ (n * r)) for a in range(0, len(x), 512)])
 
 
 def skce(f: Frame, bandwidth: float | None = None, biased: bool = False, rows: int = MAX_CLASSES, kernel: str = "laplace", scale: str = "probability") -> float:
     """Kernel calibration error over all pairs: the product of the residuals times twice the kernel, on average.
 
-    Rows alike in score and outcome are one class (a grouped count); the kernel sums are quadratic in the classes, which
-    ``rows`` bounds, and run on the driver. ``biased`` counts a row's pair with itself."""
-    x, r, n = _classes(f, _checked(kernel, scale), rows)
-    total = n.sum()
-    if total < 2:
+    Rows alike in score and outcome are one class (a grouped count). The laplace kernel takes one pass over the range-sorted classes,
+    on the executors and for any number of rows. The gaussian is quadratic in the classes, which ``rows`` bounds, and runs on
+    the driver. ``biased`` counts a row's pair with itself."""
+    x = _checked(kernel, scale)
+    if f.df.limit(2).count() < 2:
         raise ValueError("at least 2 rows are needed")
-    sums = _row_sums(x, r, n, kernel, _width(f, bandwidth, scale))
-    if biased:
-        return float(n @ sums / total**2)
-    return float(n @ (sums - 2 * r * r) / (total * (total - 1)))
+    width = _width(f, bandwidth, scale)
+    if kernel == "laplace":
+        pairs, own, total = _laplace_pairs(f, x, width)
+    else:
+        at, r, n = _classes(f, x, rows)
+        pairs, own, total = float(n @ _row_sums(at, r, n, kernel, width)) / 2, float(n @ (r * r)), n.sum()
+    return 2 * pairs / total**2 if biased else 2 * (pairs - own) / (total * (total - 1))
 
 
 def linear_terms(f: Frame, width: float, kernel: str = "laplace", scale: str = "probability", seed: int = 42) -> DataFrame:
@@ -128,10 +203,12 @@ def _bound(statistic: float, n: int) -> float:
 
 
 def _resampled(f: Frame, x: np.ndarray, r: np.ndarray, n: np.ndarray, kernel: str, width: float, replicates: int, seed: int) -> np.ndarray:
-    """Centred quadratic statistics of multinomial resamples: one task for a block of classes and a slice of replicates.
+    """Centred quadratic statistics of multinomial resamples: one task for a slice of replicates and, where the kernel is
+    quadratic, a block of classes. The more classes, the fewer replicates a slice has, so a task's memory is bounded.
 
     Each task draws its slice's counts from the seed and the slice's number, so a task that runs again gives the same."""
-    total, lanes, rows = n.sum(), 128, 2048
+    total, lanes = n.sum(), min(128, max(1, 2_560_000 // len(x)))
+    rows = len(x) if kernel == "laplace" else 2048
     sums = _row_sums(x, r, n, kernel, width) / total
     middle = float(n @ sums / total)
     own = 2 * r * r - 2 * sums + middle
@@ -143,11 +220,15 @@ def _resampled(f: Frame, x: np.ndarray, r: np.ndarray, n: np.ndarray, kernel: st
                 block, part = divmod(task, slices)
                 size = min(lanes, replicates - part * lanes)
                 drawn = np.random.default_rng([seed, part]).multinomial(int(total), n / total, size=size).T.astype(float)
-                value = np.zeros(size)
-                for a in range(block * rows, min(len(x), (block + 1) * rows), 256):
-                    b = min(a + 256, (block + 1) * rows)
-                    near = 2 * r[a:b, None] * (_near(np.abs(x[a:b, None] - x), kernel, width) @ (r[:, None] * drawn))
-                    value += (drawn[a:b] * (near - (2 * total * sums + own)[a:b, None])).sum(axis=0)
+                if kernel == "laplace":
+                    near = 2 * r[:, None] * _laplace_sums(x, r[:, None] * drawn, width)
+                    value = (drawn * (near - (2 * total * sums + own)[:, None])).sum(axis=0)
+                else:
+                    value = np.zeros(size)
+                    for a in range(block * rows, min(len(x), (block + 1) * rows), 256):
+                        b = min(a + 256, (block + 1) * rows)
+                        near = 2 * r[a:b, None] * (_near(np.abs(x[a:b, None] - x), kernel, width) @ (r[:, None] * drawn))
+                        value += (drawn[a:b] * (near - (2 * total * sums + own)[a:b, None])).sum(axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(size) + part * lanes), pa.array(value)], names=["replicate", "value"])
 
     spark = f.df.sparkSession
@@ -162,7 +243,8 @@ def skce_test(
     """One-sided test of calibration: statistic, estimator, method, p_value, p_value_bound, bandwidth, replicates.
 
     ``asymptotic``: the linear estimate over its standard error against the normal law; fit for any number of rows.
-    ``bootstrap``: the quadratic estimate against resamples of its centred form; stronger, and bounded by ``rows``."""
+    ``bootstrap``: the quadratic estimate against resamples of its centred form; stronger, and bounded in distinct pairs of score and
+    outcome: ``MAX_POINTS`` with the laplace kernel, ``rows`` with the gaussian."""
     if method not in ("bootstrap", "asymptotic"):
         raise ValueError("method is 'bootstrap' or 'asymptotic'")
     if replicates < 1:
@@ -177,7 +259,7 @@ def skce_test(
         statistic, sd = got["skce"], got["sd"]
         p = special.norm_cdf(-math.sqrt(got["pairs"]) * statistic / sd) if sd > 0 else float(statistic <= 0)
     else:
-        xs, r, n = _classes(f, x, rows)
+        xs, r, n = _classes(f, x, MAX_POINTS if kernel == "laplace" else rows)
         statistic = float(n @ (_row_sums(xs, r, n, kernel, width) - 2 * r * r) / (count * (count - 1)))
         drawn = _resampled(f, xs, r, n, kernel, width, replicates, seed)
         p = (1 + int((drawn >= count * statistic).sum())) / (replicates + 1)

@@ -22,11 +22,9 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def _cal(spark: SparkSession, sf_dir: str, weight: str | None = "w", digits: int | None = None, every: int = 1, by=()) -> Frame:
+def _cal(spark: SparkSession, sf_dir: str, weight: str | None = "w", digits: int | None = None, by=()) -> Frame:
     ship(spark)
     df = orders_frame(spark, sf_dir, digits)
-    if every > 1:  # quadratic operators run on the small fixture
-        df = df.where(F.col("row_id") % every == 0)
     return Frame(Frame.bind(df, weight=weight, by=("grade",), strict=False).df, weight is not None, tuple(by))
 
 
@@ -114,14 +112,13 @@ query("logloss_decomposition", f"{_LOESS} SELECT round(sum(w*(c*ln(c/s)+(1-c)*ln
 query("ici_quantiles", None)(lambda f, *_: {k: v for k, v in M.ici_family(f).items() if k in ("e50", "e90")})
 query("smooth_ece", None)(lambda f, *_: {"smooth_ece": M.smooth_ece(f)})
 _PAIR = "2*exp(-abs(a.s-b.s)/0.1::DOUBLE)*(a.y-a.s)*(b.y-b.s)"
-_SMALL = frame(keep="WHERE o_orderkey % 10 = 0")
-query("skce_uq", f"WITH {_SMALL} SELECT round(avg({_PAIR}), 6) AS skce FROM cal a JOIN cal b ON a.row_id <> b.row_id", every=10, **_ONE)(lambda f, *_: {"skce": M.skce(f, 0.1)})
-query("skce_biased", f"WITH {_SMALL} SELECT round(avg({_PAIR}), 6) AS skce FROM cal a, cal b", every=10, **_ONE)(lambda f, *_: {"skce": M.skce(f, 0.1, biased=True)})
+query("skce_uq", f"WITH {frame()} SELECT round(avg({_PAIR}), 6) AS skce FROM cal a JOIN cal b ON a.row_id <> b.row_id", **_ONE)(lambda f, *_: {"skce": M.skce(f, 0.1)})
+query("skce_biased", f"WITH {frame()} SELECT round(avg({_PAIR}), 6) AS skce FROM cal a, cal b", **_ONE)(lambda f, *_: {"skce": M.skce(f, 0.1, biased=True)})
 _SHUFFLED = f"{frame()}, o AS (SELECT s, y - s AS r, row_number() OVER (ORDER BY md5(row_id || ':42'), row_id) - 1 AS i FROM cal)"
 query("skce_ul", f"""WITH {_SHUFFLED}, t AS (SELECT 2*exp(-abs(a.s-b.s)/0.1::DOUBLE)*a.r*b.r AS term FROM o a JOIN o b ON b.i = a.i + 1 WHERE a.i % 2 = 0)
 SELECT count(*) AS pairs, round(avg(term), 6) AS skce, round(stddev_samp(term), 6) AS sd FROM t""")(lambda f, *_: M.skce_linear(_whole(f), 0.1))
 query("skce_test_asymptotic", None)(lambda f, *_: M.skce_test(_whole(f), "asymptotic"))
-query("skce_test_bootstrap", None, every=10)(lambda f, *_: M.skce_test(_whole(f), replicates=199))
+query("skce_test_bootstrap", None)(lambda f, *_: M.skce_test(_whole(f), replicates=199))
 
 _INT = newton(["1.0"], offset=LOGIT, name="ni")
 _SLO = newton(["1.0", LOGIT], name="ns")
@@ -192,15 +189,10 @@ SELECT row_id, round(CASE WHEN s <= a THEN fa WHEN s >= b THEN fb ELSE (SELECT f
 
 query("isotonic_linear", _line("(first+last)/2"))(lambda f, s, d: _predict(C.Isotonic("linear"), _cal(s, d, digits=2)))
 query("cir", _line("centre"))(lambda f, s, d: _predict(C.CenteredIsotonic(), _cal(s, d, digits=2)))
-query("ivap", f"""WITH {frame(keep='WHERE o_orderkey % 100 = 0')}, o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s, row_id) AS i, s, w, y FROM cal),
-c AS MATERIALIZED (SELECT 0 AS i, 0.0::DOUBLE AS c, 0.0::DOUBLE AS z UNION ALL SELECT i, sum(w) OVER (ORDER BY i), sum(w*y) OVER (ORDER BY i) FROM o),
-q AS MATERIALIZED (SELECT row_id, s, (SELECT count(*) FROM o WHERE o.s < cal.s) AS k FROM cal),
-m AS MATERIALIZED (SELECT k.i AS k, a.i AS a, min((b.z-a.z)/(b.c-a.c+1)) AS m0, min((b.z-a.z+1)/(b.c-a.c+1)) AS m1 FROM (SELECT DISTINCT k AS i FROM q) k JOIN c a ON a.i <= k.i JOIN c b ON b.i >= k.i GROUP BY k.i, a.i),
-f AS (SELECT k, max(m0) AS p0, max(m1) AS p1 FROM m GROUP BY k)
-SELECT row_id, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p1/(1-p0+p1), 6) AS p FROM q JOIN f USING (k)""", every=100)(
+query("ivap", None)(
     lambda f, *_: (lambda m: m.transform(f.df).withColumn("i", m.predict_interval(F.col("s"))).select("row_id", "i.p0", "i.p1", "p"))(C.VennAbers().fit(f))
 )
-query("cvap", None, every=10)(lambda f, *_: _predict(C.CrossVennAbers(), f))
+query("cvap", None)(lambda f, *_: _predict(C.CrossVennAbers(), f))
 query("enir", None, digits=6)(lambda f, s, d: _predict(C.ENIR(), _cal(s, d, digits=2)))
 query("spline", None)(lambda f, *_: _predict(C.Spline(), f))
 query("reliability_spline", None)(lambda f, s, d: _predict(C.Spline(), f).join(f.df.select("row_id", "s"), "row_id").groupBy(F.round("s", 2).alias("grid_p")).agg(F.avg("p").alias("event_rate")))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 
-def frame(digits: int | None = None, keep: str = "") -> str:
+def frame(digits: int | None = None) -> str:
     s = "s" if digits is None else f"round(s, {digits})"
     return f"""cal AS MATERIALIZED (
   SELECT row_id, {s} AS s, w, grade, CAST(CASE WHEN u < 1/(1+exp(-(0.7::DOUBLE*(ln(s)-ln(1-s))-0.4::DOUBLE))) THEN 1 ELSE 0 END AS DOUBLE) AS y
   FROM (SELECT o_orderkey AS row_id, 1/(1+exp(-(-1.2::DOUBLE + 5.0::DOUBLE*(o_totalprice/500000.0::DOUBLE-0.5::DOUBLE)))) AS s,
                CAST(1 + o_custkey % 4 AS DOUBLE) AS w, o_orderpriority AS grade,
-               CAST((o_orderkey*7919 + 104729) % 100003 AS DOUBLE)/100003.0::DOUBLE AS u FROM orders {keep}))"""
+               CAST((o_orderkey*7919 + 104729) % 100003 AS DOUBLE)/100003.0::DOUBLE AS u FROM orders))"""
 
 
 def binned(n: int, strategy: str = "mass", w: str = "1.0::DOUBLE", x: str = "s", source: str = "cal", name: str = "b") -> str:

@@ -98,6 +98,36 @@ def test_skce_options(spark, kernel, scale):
     assert M.skce(f, biased=True, kernel=kernel, scale=scale) == pytest.approx(h.mean())
 
 
+@pytest.mark.parametrize("width", [1e-4, 0.02, 5.0])
+def test_skce_over_partitions_and_batches(spark, width):
+    """Stretches joined across batches and partitions give the sum over all pairs, ties included."""
+    from plumbline.operators import kernel
+
+    rng = np.random.default_rng(15)
+    s = np.r_[np.round(rng.uniform(0.01, 0.99, 300), 2), rng.uniform(0.01, 0.99, 300), [0.4] * 100]
+    y = (rng.uniform(size=len(s)) < s).astype(float)
+    f = whole(frame(spark, s, y))
+    h = _terms(s, y, "laplace", width)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        pairs, own, n = kernel._laplace_pairs(f, F.col("s"), width)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (2 * pairs, 2 * own, n) == pytest.approx((h.sum(), np.trace(h), len(s)), rel=1e-10)
+
+
+def test_laplace_sums_in_lanes():
+    from plumbline.operators.kernel import _laplace_sums
+
+    rng = np.random.default_rng(16)
+    x = np.sort(np.round(rng.uniform(0, 40, 200), 1))
+    v = rng.normal(size=(200, 3))
+    for width in (0.01, 0.5, 100.0):
+        near = np.exp(-np.abs(x[:, None] - x) / width)
+        assert _laplace_sums(x, v, width) == pytest.approx(near @ v, abs=1e-11)
+        assert _laplace_sums(x, v[:, 0], width) == pytest.approx(near @ v[:, 0], abs=1e-11)
+
+
 def test_skce_pairs(spark):
     import hashlib
 
@@ -193,6 +223,28 @@ def test_venn_abers_equals_refits(spark):
         assert C._inserted(c.tolist(), z.tolist(), label) == pytest.approx(slow, abs=1e-12)
 
 
+def test_ivap_query_by_brute_force(spark):
+    """The registered query over its whole table, against all starts and ends written out."""
+    from plumbline.plans import catalogue
+
+    where = "/root/testdata/sf0.001"
+    rows = catalogue._cal(spark, where).df.orderBy("s", "row_id").collect()
+    s, y, w = (np.array([r[c] for r in rows]) for c in ("s", "y", "w"))
+    c, z = np.r_[0, np.cumsum(w)], np.r_[0, np.cumsum(w * y)]
+    both = []
+    for label in (0.0, 1.0):
+        with np.errstate(all="ignore"):  # ends before starts are set aside
+            slope = (z[None, :] + label - z[:, None]) / (c[None, :] + 1 - c[:, None])
+        slope[np.tril_indices(len(c), -1)] = np.inf
+        least = np.minimum.accumulate(slope[:, ::-1], axis=1)[:, ::-1]
+        both.append(np.where(np.triu(np.ones_like(least)) > 0, least, -np.inf).max(axis=0))
+    k = np.searchsorted(s, s, "left")
+    want = {r["row_id"]: (a, b, b / (1 - a + b)) for r, a, b in zip(rows, both[0][k], both[1][k])}
+    got = {r["row_id"]: (r["p0"], r["p1"], r["p"]) for r in catalogue.queries()["ivap"](spark, where).collect()}
+    assert got.keys() == want.keys() and len(got) == 1500
+    assert [v for i in sorted(got) for v in got[i]] == pytest.approx([v for i in sorted(want) for v in want[i]], abs=2e-6)
+
+
 @pytest.mark.parametrize("make", [C.Platt, C.Temperature, C.Beta, lambda: C.Beta("a"), lambda: C.Beta("ab"), C.Spline, C.BBQ, C.ENIR, C.ScalingBinning, C.CenteredIsotonic, C.VennAbers, lambda: C.CrossVennAbers(2)])
 def test_column_equals_driver_map(spark, make):
     f = whole(Frame.bind(portfolio(spark, 400, event_rate=0.2)))
