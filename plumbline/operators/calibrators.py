@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, clipped, expit, logit, pick
 from ..session import ship
-from .frame import Frame, S, W, Y
-from .solvers import irls, isotonic_blocks, pava, root_1d
+from .frame import Frame, S, W, Y, prefixed
+from .solvers import irls, isotonic_blocks, pava, root_1d, together
 
 
 
@@ -548,11 +548,12 @@ def _inserted(c: list[float], z: list[float], label: float) -> list[float]:
 
 
 def folds(df: DataFrame, cv: int = 5, seed: int = 42) -> DataFrame:
-    """A fold column, balanced by class: rows of a class in a fixed shuffled order of row_id, dealt in turn."""
-    from pyspark.sql import Window
+    """A fold column, balanced by class: rows of a class in a fixed shuffled order of row_id, dealt in turn.
 
+    Places in that order come from prefix sums over stretches of it, as one class may hold nearly all rows."""
     turn = (F.col("row_id") * 7919 + seed) % 100003
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy("y").orderBy(turn, "row_id")) - 1) % cv).cast("int"))
+    dealt = prefixed(df.withColumn("_turn", turn), F.floor(F.col("_turn") / 25), ["_turn", "row_id"], "_place", by=("y",))
+    return dealt.withColumn("fold", ((F.col("_place") - 1) % cv).cast("int")).select(*[c for c in df.columns if c != "fold"], "fold")
 
 
 class CrossVennAbers(Calibrator):
@@ -567,7 +568,7 @@ class CrossVennAbers(Calibrator):
 
     def _fit(self, f):
         dealt = folds(f.df, self.cv, self.seed).persist()
-        self.parts = [VennAbers().fit(Frame(dealt.where(F.col("fold") != k), f.weighted)) for k in range(self.cv)]
+        self.parts = together([lambda k=k: VennAbers().fit(Frame(dealt.where(F.col("fold") != k), f.weighted)) for k in range(self.cv)])
         dealt.unpersist()
 
     def interval(self, s):

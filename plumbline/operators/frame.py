@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clipped
@@ -28,6 +28,19 @@ def W() -> Column:
     return F.col("w")
 
 
+def prefixed(df: DataFrame, bucket: Column, order: Sequence[str], out: str, value: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``out``, for each ``by`` the running sum of ``value`` (of 1, if none) in the order of ``bucket``, then ``order``.
+
+    Sums by bucket give each bucket its start, and rows are added up inside buckets, so no task holds all rows of a key."""
+    df = df.withColumn("_bucket", bucket).withColumn("_value", F.lit(1) if value is None else value)
+    ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_n"))
+    starts = totals.select(*by, "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("_inside", F.sum("_value").over(inside)).join(starts, [*by, "_bucket"])
+    return df.withColumn(out, F.col("_inside") + F.col("_start")).drop("_bucket", "_value", "_inside", "_start")
+
+
 @dataclass(frozen=True)
 class Frame:
     """Columns row_id, s (clipped score), y (0/1 double), w (positive double), and any ``by`` columns."""

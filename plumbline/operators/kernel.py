@@ -7,12 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.exprs import logit
-from .frame import MAX_POINTS, Frame, S, Y
+from .frame import MAX_POINTS, Frame, S, Y, prefixed
 
 #: Operators quadratic by their kernel (gaussian) refuse more distinct pairs of score and outcome than this.
 MAX_CLASSES = 20_000
@@ -35,14 +35,8 @@ def _near(d: np.ndarray, kernel: str, width: float) -> np.ndarray:
 
 
 def ranked(df: DataFrame, bucket: Column, order: Sequence[str]) -> DataFrame:
-    """``df`` with ``place``, the position from 0 in the order of ``bucket``, then ``order``.
-
-    Counts by bucket give each bucket its start, and positions are numbered inside buckets, so no task holds all rows."""
-    df = df.withColumn("bucket", bucket)
-    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
-    return df.withColumn("inside", inside).join(starts, "bucket").withColumn("place", F.col("start") + F.col("inside") - 1).drop("bucket", "inside", "start")
+    """``df`` with ``place``, the position from 0 in the order of ``bucket``, then ``order``."""
+    return prefixed(df, bucket, order, "place").withColumn("place", F.col("place") - 1)
 
 
 def _buckets(n: int) -> int:

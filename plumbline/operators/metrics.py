@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.exprs import bin_index, logit, softplus, traffic_light, wilson
-from .frame import Frame, S, W, Y
+from .frame import Frame, S, W, Y, prefixed
 from .kernel import skce, skce_linear, skce_test  # noqa: F401
-from .solvers import irls, loess
+from .solvers import irls, loess, together
 
 
 
@@ -208,6 +208,22 @@ def smooth_ece(f: Frame, cells: int = 8192) -> float:
     return at((low + high) / 2)
 
 
+def weighted_quantiles(f: Frame, levels: Sequence[float]) -> DataFrame:
+    """q, value: weighted quantiles of the scores at mid-weight positions, linear between them; ties lie in the order of row_id.
+
+    Rows are pooled by score, so a score that many rows share is one row of the prefix sums; each level is one aggregate."""
+    per = f.df.groupBy("s").agg(F.sum("w").alias("w"), F.min_by("w", "row_id").alias("head"), F.max_by("w", "row_id").alias("tail"))
+    total = f.df.agg(F.sum("w")).first()[0]
+    summed = prefixed(per, F.floor(S() * 256), ["s"], "end", F.col("w"))
+    ends = F.array(F.col("end") - F.col("w") + F.col("head") / 2, F.col("end") - F.col("tail") / 2)
+    at = summed.select("s", F.explode(ends).alias("at")).withColumn("at", F.col("at") / F.lit(total))
+    points = at.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in levels])))
+    place = F.struct("at", "s")
+    sides = points.groupBy("q").agg(F.max(F.when(F.col("at") <= F.col("q"), place)).alias("a"), F.min(F.when(F.col("at") > F.col("q"), place)).alias("b"))
+    between = F.col("a.s") + (F.col("b.s") - F.col("a.s")) * (F.col("q") - F.col("a.at")) / (F.col("b.at") - F.col("a.at"))
+    return sides.select("q", F.when(F.col("a").isNull(), F.col("b.s")).when(F.col("b").isNull(), F.col("a.s")).otherwise(between).alias("value"))
+
+
 def calibration_intercept(f: Frame) -> float:
     return irls(f.df, [F.lit(1.0)], Y(), W(), offset=logit(S())).beta[0]
 
@@ -313,7 +329,8 @@ def evaluate(f: Frame, metrics: Sequence[str] | None = None) -> dict[str, float]
     unknown = set(metrics or ()) - set(POINT)
     if unknown:
         raise ValueError(f"unknown metrics {sorted(unknown)}; there are {list(POINT)}")
-    return {k: v(f) for k, v in POINT.items() if metrics is None or k in metrics}
+    asked = {k: v for k, v in POINT.items() if metrics is None or k in metrics}
+    return dict(zip(asked, together([lambda v=v: v(f) for v in asked.values()])))
 
 
 def bootstrap(f: Frame, replicates: int = 100, seed: int = 42) -> DataFrame:

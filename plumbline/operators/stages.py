@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, clipped, expit, logit
 from . import metrics
 from .calibrators import BBQ, Beta, Calibrator, CenteredIsotonic, Histogram, Isotonic, Platt, ScalingBinning, Temperature, VennAbers, _logit, _sigma, folds
-from .frame import Frame, S
-from .solvers import root_1d
+from .frame import Frame, S, prefixed
+from .solvers import irls, root_1d, together
 
 
 
@@ -53,10 +53,8 @@ class LogitOffset:
 
     def audit(self, f: Frame) -> dict:
         after = Frame(f.df.withColumn("s", clipped(self.predict(S()))), f.weighted)
-        out = {"delta": self.delta, "pre_mean": self.before, "post_mean": self.after}
-        for name, frame in (("before", f), ("after", after)):
-            out |= {f"{name}_{k}": v for k, v in metrics.guardrails(frame).items()}
-        return out
+        both = zip(("before", "after"), together([lambda: metrics.guardrails(f), lambda: metrics.guardrails(after)]))
+        return {"delta": self.delta, "pre_mean": self.before, "post_mean": self.after} | {f"{name}_{k}": v for name, got in both for k, v in got.items()}
 
 
 def bands_to_raw(model: Calibrator, bands: DataFrame) -> DataFrame:
@@ -72,6 +70,13 @@ def grade_by_bands(df: DataFrame, raw_bands: DataFrame, score: str = "s") -> Dat
     return df.withColumn("band", F.element_at(names, bin_index(F.col(score), [r["raw_lo"] for r in rows[1:]]) + 1))
 
 
+def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 SCORING: dict[str, Callable[[Frame], float]] = {k: metrics.POINT[k] for k in ("log_loss", "brier", "ici", "smooth_ece", "ece_sweep")}
 
 
@@ -84,62 +89,94 @@ def select(f: Frame, candidates: Mapping[str, Callable[[], Calibrator]] | None =
     simplest. Returns (report rows sorted by mean score, the winner fitted on all rows, its name)."""
     if scoring not in SCORING:
         raise ValueError(f"scoring is one of {list(SCORING)}")
+    menu = candidates or default_menu()
     dealt = folds(f.df, cv, seed).persist()
+
+    def one(make: Callable[[], Calibrator], k: int) -> tuple[float, DataFrame]:
+        model = make().fit(Frame(dealt.where(F.col("fold") != k), f.weighted))
+        held = dealt.where(F.col("fold") == k).withColumn("s", clipped(model.predict(S())))
+        return SCORING[scoring](Frame(held, f.weighted)), held
+
+    got = together([lambda make=make, k=k: one(make, k) for make in menu.values() for k in range(cv)])
+    by_name = {name: got[i * cv : (i + 1) * cv] for i, name in enumerate(menu)}
+    pooled = [_stacked([held for _, held in pairs]) for pairs in by_name.values()]
+    passed = together([lambda df=df: metrics.guardrails(Frame(df, f.weighted))["all_ok"] for df in pooled])
     report = []
-    for name, make in (candidates or default_menu()).items():
-        values, parts = [], []
-        for k in range(cv):
-            model = make().fit(Frame(dealt.where(F.col("fold") != k), f.weighted))
-            held = dealt.where(F.col("fold") == k).withColumn("s", clipped(model.predict(S())))
-            values.append(SCORING[scoring](Frame(held, f.weighted)))
-            parts.append(held)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        report.append({"method": name, "mean": float(np.mean(values)), "sd": float(np.std(values, ddof=1)), "rank": make().rank, "guardrails_ok": metrics.guardrails(Frame(out, f.weighted))["all_ok"]})
+    for (name, pairs), ok in zip(by_name.items(), passed):
+        values = [v for v, _ in pairs]
+        report.append({"method": name, "mean": float(np.mean(values)), "sd": float(np.std(values, ddof=1)), "rank": menu[name]().rank, "guardrails_ok": ok})
     dealt.unpersist()
     best = min(report, key=lambda r: r["mean"])
     fair = [r for r in report if r["mean"] <= best["mean"] + best["sd"] / np.sqrt(cv)]
     chosen = min(fair, key=lambda r: (r["rank"], r["mean"]))["method"]
-    return sorted(report, key=lambda r: r["mean"]), (candidates or default_menu())[chosen]().fit(f), chosen
+    return sorted(report, key=lambda r: r["mean"]), menu[chosen]().fit(f), chosen
 
 
 def out_of_fold(f: Frame, make: Callable[[], Calibrator], cv: int = 5, seed: int = 42) -> DataFrame:
     """Each row calibrated by a map that has not seen it."""
     dealt = folds(f.df, cv, seed).persist()
-    out = None
-    for k in range(cv):
-        model = make().fit(Frame(dealt.where(F.col("fold") != k), f.weighted))
-        part = dealt.where(F.col("fold") == k).withColumn("p", model.predict(S()))
-        out = part if out is None else out.unionByName(part)
-    return out
+    models = together([lambda k=k: make().fit(Frame(dealt.where(F.col("fold") != k), f.weighted)) for k in range(cv)])
+    return _stacked([dealt.where(F.col("fold") == k).withColumn("p", m.predict(S())) for k, m in enumerate(models)])
+
+
+Trainer = Callable[[DataFrame], Column]
+
+
+def logistic_trainer(features: Sequence[str], label: str) -> Trainer:
+    """A model to calibrate: fits a logistic regression of ``label`` on numeric columns and returns its probability as a Column."""
+
+    def train(df: DataFrame) -> Column:
+        fit = irls(df, [F.lit(1.0), *[F.col(c) for c in features]], F.col(label).cast("double"), F.lit(1.0))
+        return expit(sum((F.lit(b) * F.col(c) for b, c in zip(fit.beta[1:], features)), F.lit(fit.beta[0])))
+
+    return train
 
 
 class CalibratedModel:
-    """A scoring column, a calibrator fitted on its scores, then offsets in order.
+    """A model's score, a calibrator fitted on scores of rows the model has not seen, then offsets in order.
 
-    ``score`` is a Column over features (a model's probability; log-odds go through ``expit`` first). With
-    ``flow='cv'`` and ``ensemble`` the map is the mean of one map for each fold."""
+    ``score`` is a Column over features (a probability; log-odds go through ``expit`` first) or a trainer, which fits a model
+    on the rows it is given and returns such a Column; a trainer sees no weights but those it reads itself. ``flow='prefit'`` takes a
+    Column and calibrates it on all rows. ``flow='cv'`` trains once for each fold on the others and scores the fold: one
+    calibrator is fitted on all these scores and the model trained again on all rows, or, with ``ensemble``, each fold's model keeps a
+    calibrator fitted on that fold and predictions are averaged. Every fold needs both outcomes."""
 
-    def __init__(self, score: Column, make: Callable[[], Calibrator], flow: str = "prefit", cv: int = 5, ensemble: bool = False, seed: int = 42):
+    def __init__(self, score: Column | Trainer, make: Callable[[], Calibrator], flow: str = "prefit", cv: int = 5, ensemble: bool = False, seed: int = 42):
         if flow not in ("prefit", "cv"):
             raise ValueError("flow is 'prefit' or 'cv'")
+        if flow == "prefit" and not isinstance(score, Column):
+            raise TypeError("flow 'prefit' takes a score column; a trainer needs flow 'cv'")
         self.score, self.make, self.flow, self.cv, self.ensemble, self.seed = score, make, flow, cv, ensemble, seed
         self.offsets: list[LogitOffset] = []
 
+    def _train(self, df: DataFrame) -> Column:
+        return self.score if isinstance(self.score, Column) else self.score(df)
+
     def fit(self, df: DataFrame, label: str, row_id: str, weight: str | None = None) -> CalibratedModel:
-        self.frame = Frame.bind(df.withColumn("_raw", self.score), "_raw", label, weight, row_id)
-        if self.flow == "cv" and self.ensemble:
-            dealt = folds(self.frame.df, self.cv, self.seed).persist()
-            self.models = [self.make().fit(Frame(dealt.where(F.col("fold") == k), self.frame.weighted)) for k in range(self.cv)]
-            dealt.unpersist()
+        bound = lambda rows, score: Frame.bind(rows.withColumn("_raw", score), "_raw", label, weight, row_id)
+        if self.flow == "prefit":
+            self.frame = bound(df, self.score)
+            self.scores, self.models = [self.score], [self.make().fit(self.frame)]
+            return self
+        keyed = df.select(F.col(row_id).alias("row_id"), F.col(label).cast("double").alias("y"), F.struct("*").alias("_x"))
+        dealt = folds(keyed, self.cv, self.seed).persist()
+
+        def member(k: int) -> tuple[Column, Frame, Calibrator | None]:
+            score = self._train(dealt.where(F.col("fold") != k).select("_x.*"))
+            held = bound(dealt.where(F.col("fold") == k).select("_x.*"), score)
+            return score, held, self.make().fit(held) if self.ensemble else None
+
+        members = together([lambda k=k: member(k) for k in range(self.cv)])
+        self.frame = Frame(_stacked([held.df for _, held, _ in members]), weight is not None)
+        if self.ensemble:
+            self.scores, self.models = [s for s, _, _ in members], [m for _, _, m in members]
         else:
-            self.models = [self.make().fit(self.frame)]
+            self.scores, self.models = [self._train(df)], [self.make().fit(self.frame)]
         return self
 
     def predict(self, score: Column | None = None) -> Column:
-        raw = clipped(self.score if score is None else score)
-        p = sum((m.predict(raw) for m in self.models[1:]), self.models[0].predict(raw)) / len(self.models)
+        parts = [m.predict(clipped(own if score is None else score)) for m, own in zip(self.models, self.scores)]
+        p = sum(parts[1:], parts[0]) / len(parts)
         for o in self.offsets:
             p = o.predict(p)
         return p
@@ -147,9 +184,13 @@ class CalibratedModel:
     def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
         return df.withColumn(out, self.predict())
 
-    def offset_to(self, target_mean: float | None = None, delta: float | None = None) -> CalibratedModel:
-        now = self.frame.df.withColumn("s", clipped(self.predict(S())))
-        self.offsets.append(LogitOffset(delta, target_mean).fit(Frame(now, self.frame.weighted)))
+    def offset_to(self, target_mean: float | None = None, delta: float | None = None, df: DataFrame | None = None) -> CalibratedModel:
+        """Append an offset, found on the rows of ``df``, or on the scores the calibrator was fitted on."""
+        if df is not None:
+            now = Frame(df.select(clipped(self.predict()).alias("s"), F.lit(1.0).alias("w")))
+        else:
+            now = Frame(self.frame.df.withColumn("s", clipped(self.predict(S()))), self.frame.weighted)
+        self.offsets.append(LogitOffset(delta, target_mean).fit(now))
         return self
 
     @property
@@ -185,9 +226,32 @@ def adjust_attributions(df: DataFrame, model: Calibrator, phi: str = "phi", base
     return out.withColumn("base_adj", F.col("target") - F.aggregate("phi_adj", F.lit(0.0), lambda a, v: a + v)).drop("_factor")
 
 
-def rug(df: DataFrame, score: str = "s", most: int = 1000) -> DataFrame:
-    """Plot data: every ceil(n / most)-th score in order. Its rank comes from a sorted index over range partitions."""
+def rug(df: DataFrame, score: str = "s", most: int = 1000, buckets: int = 256) -> DataFrame:
+    """Plot data: every ceil(n / most)-th score in order, from 0. Places come from prefix sums of the counts of distinct scores."""
     n = df.count()
     stride = max(1, -(-n // most))
-    ranked = df.select(score).orderBy(score).rdd.zipWithIndex().map(lambda r: (r[1], float(r[0][0]))).toDF("place long, s double")
-    return ranked.where(F.col("place") % stride == 0)
+    per = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"))
+    low, high = per.agg(F.min("s"), F.max("s")).first()
+    at = F.floor((F.col("s") - F.lit(low)) / F.lit(high - low) * buckets) if n and high > low else F.lit(0)
+    first = F.ceil((F.col("end") - F.col("n")) / stride) * stride
+    placed = prefixed(per, at, ["s"], "end", F.col("n")).withColumn("first", first).where(F.col("first") < F.col("end"))
+    return placed.select(F.explode(F.sequence(F.col("first").cast("long"), (F.col("end") - 1).cast("long"), F.lit(stride).cast("long"))).alias("place"), "s")
+
+
+def ecce_band(f: Frame, width: float = 2.0) -> DataFrame:
+    """Plot data: the cumulative deviation with the band of ``width`` standard deviations of a calibrated score around 0."""
+    half = F.lit(width) * F.col("sd_null")
+    return metrics.ecce_curve(f).select("row_id", "frac", "cumdev", (-half).alias("band_low"), half.alias("band_high"))
+
+
+def reliability_points(f: Frame, n_bins: int = 10, strategy: str = "mass") -> DataFrame:
+    """Plot data on the log-odds scale: the bins of the reliability curve whose event rate is neither 0 nor 1."""
+    found = metrics.reliability(f, n_bins, strategy).where("event_rate > 0 and event_rate < 1")
+    return found.select("bin", "count", F.col("pred_mean_logit").alias("x"), *[logit(F.col(c)).alias(to) for c, to in (("event_rate", "y"), ("ci_low", "y_low"), ("ci_high", "y_high"))])
+
+
+def offset_line(spark: SparkSession, offset: LogitOffset, points: int = 200) -> DataFrame:
+    """Plot data: the offset as a line on the log-odds scale, over probabilities from 0.001 to 0.5."""
+    low, high = _logit(0.001), _logit(0.5)
+    z = F.lit(low) + F.col("id") * F.lit((high - low) / (points - 1))
+    return spark.range(points).select(F.col("id").alias("point"), z.alias("before"), (z + F.lit(float(offset.delta))).alias("after"))

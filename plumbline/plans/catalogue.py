@@ -255,16 +255,39 @@ def _selector(f, spark, d):
     return spark.createDataFrame([(r["method"], r["mean"], r["sd"], r["guardrails_ok"], r["method"] == chosen) for r in report], "method string, score_mean double, score_sd double, guardrails_ok boolean, chosen boolean")
 
 
+
+def _rates(df: DataFrame) -> F.Column:
+    """A model to be calibrated: smoothed event rates by quarter of the raw score."""
+    rate = {r["b"]: r["q"] for r in df.groupBy(F.floor(F.col("s") * 4).alias("b")).agg(((F.sum("y") + 0.5) / (F.count("*") + 1)).alias("q")).collect()}
+    return F.element_at(F.array(*[F.lit(float(rate.get(b, 0.5))) for b in range(5)]), (F.floor(F.col("s") * 4) + 1).cast("int"))
+
+
+_CVW = f"""WITH {frame()}, fo AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY (row_id*7919+42) % 100003, row_id) - 1) % 5 AS fold FROM cal),
+g AS MATERIALIZED (SELECT j AS fold, floor(s*4) AS b, (sum(y)+0.5)/(count(*)+1) AS q FROM fo, range(5) t(j) WHERE fo.fold <> j GROUP BY j, floor(s*4)),
+ov AS MATERIALIZED (SELECT row_id, g.q AS s, y, w FROM fo JOIN g ON g.fold = fo.fold AND g.b = floor(fo.s*4)),
+al AS MATERIALIZED (SELECT floor(s*4) AS b, (sum(y)+0.5)/(count(*)+1) AS q FROM cal GROUP BY 1)"""
+query("wrapper_cv_pooled", f"{_CVW}, {newton(['1.0', LOGIT], source='ov', name='nw')} SELECT row_id, round({_sig('b0+b1*(ln(q)-ln(1-q))')}, 5) AS p FROM cal JOIN al ON b = floor(s*4), nw", digits=5)(
+    lambda f, *_: T.CalibratedModel(_rates, lambda: C.Beta("ab"), "cv").fit(f.df, "y", "row_id", "w").transform(f.df).select("row_id", "p")
+)
+query("wrapper_cv_ensemble", None)(lambda f, *_: T.CalibratedModel(T.logistic_trainer(["s"], "y"), C.Platt, "cv", ensemble=True).fit(f.df, "y", "row_id", "w").transform(f.df).select("row_id", "p"))
 query("prefit_wrapper", f"WITH {frame()}, {PLATT} SELECT row_id, round({_sig('b0+b1*' + LOGIT + '+0.1')}, 6) AS p FROM cal, pl")(
     lambda f, *_: T.CalibratedModel(F.col("s"), C.Platt).fit(f.df, "y", "row_id", "w").offset_to(delta=0.1).transform(f.df).select("row_id", "p")
 )
 query("weighted_quantile", f"""WITH {frame()}, t AS MATERIALIZED (SELECT s, (sum(w) OVER (ORDER BY s, row_id ROWS UNBOUNDED PRECEDING) - w/2) / sum(w) OVER () AS q FROM cal),
 k AS (SELECT q0 FROM (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) v(q0))
 SELECT q0 AS q, round((SELECT max_by(s, q) FROM t WHERE q <= q0) + ((SELECT min_by(s, q) FROM t WHERE q > q0) - (SELECT max_by(s, q) FROM t WHERE q <= q0)) * (q0 - (SELECT max(q) FROM t WHERE q <= q0)) / ((SELECT min(q) FROM t WHERE q > q0) - (SELECT max(q) FROM t WHERE q <= q0)), 6) AS value FROM k""")(
-    lambda f, s, d: (lambda p: s.createDataFrame([(q, M.weighted_quantile(p["s"].to_numpy(), q, p["w"].to_numpy())) for q in (0.1, 0.5, 0.9)], "q double, value double"))(f.df.orderBy("s", "row_id").select("s", "w").toPandas())
+    lambda f, *_: M.weighted_quantiles(_whole(f), (0.1, 0.5, 0.9))
 )
 query("pd_portfolio", None)(lambda f, s, d: portfolio(s, 2000))
 query("plot_data_rug", f"WITH {frame()}, t AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS place, count(*) OVER () AS n FROM cal) SELECT place, round(s, 6) AS s FROM t WHERE place % CAST(ceil(n/1000.0) AS BIGINT) = 0")(lambda f, *_: T.rug(f.df))
+query("plot_data_ecce_band", f"{_WALK} SELECT row_id, round(frac, 6) AS frac, round(c, 6) AS cumdev, round(-2*sd, 6) AS band_low, round(2*sd, 6) AS band_high FROM t")(lambda f, *_: T.ecce_band(f))
+_LG = lambda x: f"round(ln(greatest({x}, 1e-12::DOUBLE))-ln(1-least({x}, 1-1e-12::DOUBLE)), 6)"
+query("plot_data_reliability", f"WITH {frame()}, {binned(10, w='w')}, x AS ({_REL}) SELECT bin, count, pred_mean_logit AS x, {_LG('r')} AS y FROM x JOIN (SELECT CAST(bin AS BIGINT) AS bin, r FROM b) USING (bin) WHERE r > 0 AND r < 1")(
+    lambda f, *_: T.reliability_points(f).select("bin", "count", "x", "y")
+)
+query("plot_data_offset", "WITH t AS (SELECT range AS point, ln(0.001::DOUBLE)-ln(0.999::DOUBLE) AS lo FROM range(200)) SELECT point, round(lo-lo*point/199, 6) AS before, round(lo-lo*point/199-0.3, 6) AS after FROM t")(
+    lambda f, s, d: T.offset_line(s, T.LogitOffset(delta=-0.3))
+)
 
 
 @query("windowed_scores", f"""SELECT date_trunc('hour', ts) AS start, count(*) AS n, round(avg(-(y*ln(s)+(1-y)*ln(1-s))), 6) AS log_loss, round(avg((s-y)*(s-y)), 6) AS brier

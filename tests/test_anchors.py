@@ -299,6 +299,78 @@ def test_no_leakage(spark):
     assert len(counts) == 5 and sum(r["n"] for r in counts) == 300 and all(r["n"] == r["d"] for r in counts)
 
 
+def _applicants(spark, n=1500):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(n, 2))
+    y = rng.uniform(size=n) < 1 / (1 + np.exp(-(-1 + 1.2 * x[:, 0] - 0.6 * x[:, 1])))
+    return spark.createDataFrame([(i, float(a), float(b), int(v)) for i, ((a, b), v) in enumerate(zip(x, y))], "id long, a double, b double, bad int")
+
+
+def test_wrapper_trains_on_other_folds(spark):
+    """Each fold is scored by a model that has not seen it; the last training of the pooled flow sees all rows."""
+    seen = []
+
+    def spy(df):
+        ids = {r["id"] for r in df.select("id").collect()}
+        seen.append(ids)
+        return F.when(F.col("id").isin(sorted(ids)), 0.9).otherwise(0.1 + F.col("id") % 7 / 100)
+
+    df = _applicants(spark, 200)
+    model = T.CalibratedModel(spy, C.Platt, "cv", cv=4).fit(df, "bad", "id")
+    assert model.frame.df.count() == 200 and model.frame.df.where("s = 0.9").count() == 0
+    assert sorted(map(len, seen))[-1] == 200 and len(seen) == 5
+
+
+def test_wrapper_flows(spark):
+    df = _applicants(spark)
+    trainer = T.logistic_trainer(["a", "b"], "bad")
+    rate = df.agg(F.avg("bad")).first()[0]
+    for ensemble in (False, True):
+        model = T.CalibratedModel(trainer, C.Platt, "cv", ensemble=ensemble).fit(df, "bad", "id")
+        assert len(model.models) == (5 if ensemble else 1)
+        out = model.transform(df)
+        assert out.agg(F.avg("p")).first()[0] == pytest.approx(rate, abs=0.01)
+        assert (model.affine() is None) == ensemble and model.monotone
+        moved = model.offset_to(target_mean=0.5, df=df).transform(df)
+        assert moved.agg(F.avg("p")).first()[0] == pytest.approx(0.5, abs=1e-9)
+    a, b = T.CalibratedModel(trainer, C.Platt, "cv").fit(df, "bad", "id").affine()
+    assert abs(a - 1) < 0.2 and abs(b) < 0.2
+    with pytest.raises(TypeError):
+        T.CalibratedModel(trainer, C.Platt)
+    with pytest.raises(ValueError, match="flow"):
+        T.CalibratedModel(F.col("a"), C.Platt, "other")
+
+
+def test_weighted_quantiles_with_ties(spark):
+    rng = np.random.default_rng(22)
+    s, w = np.round(rng.uniform(0.1, 0.9, 300), 1), rng.uniform(0.2, 5, 300)
+    s[:150] = 0.4  # half of all rows share a score
+    f = whole(frame(spark, s, rng.integers(0, 2, 300), list(w)))
+    levels = [0.0, 0.03, 0.2, 0.5, 0.77, 0.99, 1.0]
+    got = {r["q"]: r["value"] for r in M.weighted_quantiles(f, levels).collect()}
+    assert [got[q] for q in levels] == pytest.approx([M.weighted_quantile(s, q, w) for q in levels])
+
+
+def test_rug_and_folds_with_one_hot_value(spark):
+    df = spark.range(5000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") / 5000).alias("s"), (F.col("id") % 100 == 0).cast("double").alias("y"))
+    s = sorted(r["s"] for r in df.collect())
+    assert [(r["place"], r["s"]) for r in T.rug(df, most=700).orderBy("place").collect()] == [(i, s[i]) for i in range(0, 5000, 8)]
+    per = C.folds(df, 5).groupBy("y", "fold").count().collect()
+    assert sorted(r["count"] for r in per) == [10] * 5 + [990] * 5
+    assert T.rug(df.limit(0)).count() == 0
+
+
+def test_plot_data(spark):
+    f = whole(frame(spark, [0.1, 0.2, 0.3, 0.7, 0.8, 0.9], [0, 0, 1, 0, 1, 1]))
+    assert {r["bin"] for r in T.reliability_points(f, 2).collect()} == {0, 1}
+    assert T.reliability_points(f, 6).count() == 0  # every rate is 0 or 1
+    band = T.ecce_band(f).collect()
+    assert len(band) == 6 and all(r["band_low"] == -r["band_high"] for r in band)
+    line = T.offset_line(spark, T.LogitOffset(delta=0.25)).orderBy("point").collect()
+    assert line[0]["before"] == pytest.approx(math.log(0.001 / 0.999)) and line[-1]["before"] == pytest.approx(0.0, abs=1e-12)
+    assert all(r["after"] - r["before"] == pytest.approx(0.25) for r in line)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from plumbline.streaming.windows import windowed_scores
 
