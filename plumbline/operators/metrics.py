@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -315,26 +315,53 @@ def belt(f: Frame, confidence: Sequence[float] = (0.8, 0.95), points: int = 100,
     return out
 
 
-POINT = {
-    "log_loss": lambda f: log_loss(f).first()[0], "brier": lambda f: brier_score(f).first()[0], "brier_skill": lambda f: brier_skill_score(f).first()[0],
-    "ece": lambda f: ece(f).first()[0], "ece_debiased": lambda f: ece_debiased(f).first()[0], "ece_sweep": lambda f: ece_sweep(f).first()["ece"],
-    "mce": lambda f: ece(f, norm="max").first()[0], "ecce_max": lambda f: ecce(f).first()["stat_max"], "ecce_mean": lambda f: ecce(f).first()["stat_mean"],
-    "smooth_ece": smooth_ece, "ici": lambda f: ici_family(f)["ici"], "calibration_intercept": calibration_intercept, "calibration_slope": calibration_slope,
-    "spiegelhalter_z": lambda f: spiegelhalter(f)["z"],
-}
+# The names of the catalogue, in its order.
+CATALOGUE = (
+    "log_loss", "brier", "brier_skill", "ece", "ece_debiased", "mce", "ece_sweep", "smooth_ece", "ecce_max", "ecce_mean",
+    "ici", "e50", "e90", "emax", "spiegelhalter_z", "spiegelhalter_p", "intercept", "slope",
+)
+
+
+def _walked(f: Frame) -> dict[str, float]:
+    got = ecce(f).first()
+    return {"ecce_max": got["stat_max"], "ecce_mean": got["stat_mean"]}
+
+
+def _standardised(f: Frame) -> dict[str, float]:
+    got = spiegelhalter(f)
+    return {"spiegelhalter_z": got["z"], "spiegelhalter_p": got["p_value"]}
+
+
+#: What gives each metric; metrics that share a pass, a walk or a local regression share a function.
+SOURCES: dict[tuple[str, ...], Callable[[Frame], dict[str, float]]] = {
+    ("log_loss", "brier", "brier_skill"): lambda f: scores(f).first().asDict(),
+    ("ece",): lambda f: {"ece": ece(f).first()[0]},
+    ("ece_debiased",): lambda f: {"ece_debiased": ece_debiased(f).first()[0]},
+    ("mce",): lambda f: {"mce": ece(f, norm="max").first()[0]},
+    ("ece_sweep",): lambda f: {"ece_sweep": ece_sweep(f).first()["ece"]},
+    ("smooth_ece",): lambda f: {"smooth_ece": smooth_ece(f)},
+    ("ecce_max", "ecce_mean"): _walked,
+    ("ici", "e50", "e90", "emax"): ici_family,
+    ("spiegelhalter_z", "spiegelhalter_p"): _standardised,
+    ("intercept",): lambda f: {"intercept": calibration_intercept(f)},
+    ("slope",): lambda f: {"slope": calibration_slope(f)},
+}
 
 
 def evaluate(f: Frame, metrics: Sequence[str] | None = None) -> dict[str, float]:
-    """Point values of the named metrics, in catalogue order."""
-    unknown = set(metrics or ()) - set(POINT)
+    """Point values of the named metrics over the whole frame (its ``by`` columns play no part), in catalogue order."""
+    unknown = set(metrics or ()) - set(CATALOGUE)
     if unknown:
-        raise ValueError(f"unknown metrics {sorted(unknown)}; there are {list(POINT)}")
-    asked = {k: v for k, v in POINT.items() if metrics is None or k in metrics}
-    return dict(zip(asked, together([lambda v=v: v(f) for v in asked.values()])))
+        raise ValueError(f"unknown metrics {sorted(unknown)}; there are {list(CATALOGUE)}")
+    asked = [c for c in CATALOGUE if metrics is None or c in metrics]
+    f = Frame(f.df, f.weighted)
+    got = together([lambda s=s: s(f) for names, s in SOURCES.items() if set(names) & set(asked)])
+    found = {k: v for part in got for k, v in part.items()}
+    return {c: found[c] for c in asked}
 
 
 def bootstrap(f: Frame, replicates: int = 100, seed: int = 42) -> DataFrame:
-    """Percentile intervals of log loss, Brier score and calibration in the large by Poisson multiplicities.
+    """Percentile intervals of log loss, Brier score and skill, Spiegelhalter's z and calibration in the large by Poisson multiplicities.
 
     Every row gets a multiplicity for each replicate from a hash of (row_id, replicate), so replicates do not depend on
     partitions; the sums of all replicates come from one aggregate over rows, combined before its shuffle."""
@@ -345,8 +372,13 @@ def bootstrap(f: Frame, replicates: int = 100, seed: int = 42) -> DataFrame:
         steps.append(F.when(u > total, 1).otherwise(0))
     rows = f.df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("m", sum(steps[1:], steps[0]) * W())
     part = lambda x: F.sum(F.col("m") * x) / F.sum("m")
-    per = rows.groupBy("rep").agg(part(_loss()).alias("log_loss"), part((S() - Y()) * (S() - Y())).alias("brier"), (part(Y()) - part(S())).alias("bias"))
+    brier, m = part((S() - Y()) * (S() - Y())), F.col("m")
+    z = F.sum(m * (Y() - S()) * (1 - 2 * S())) / F.sqrt(F.sum(m * W() * F.pow(1 - 2 * S(), 2) * S() * (1 - S())))
+    per = rows.groupBy("rep").agg(
+        part(_loss()).alias("log_loss"), brier.alias("brier"), (1 - brier / (part(Y()) * (1 - part(Y())))).alias("brier_skill"),
+        z.alias("spiegelhalter_z"), (part(Y()) - part(S())).alias("bias"),
+    )
     ends = F.array(F.lit(0.025), F.lit(0.975))
-    return per.agg(*[F.percentile(c, ends)[k].alias(f"{c}_{side}") for c in ("log_loss", "brier", "bias") for k, side in enumerate(("low", "high"))])
+    return per.agg(*[F.percentile(c, ends)[k].alias(f"{c}_{side}") for c in ("log_loss", "brier", "brier_skill", "spiegelhalter_z", "bias") for k, side in enumerate(("low", "high"))])
 
 

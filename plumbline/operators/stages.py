@@ -77,7 +77,7 @@ def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-SCORING: dict[str, Callable[[Frame], float]] = {k: metrics.POINT[k] for k in ("log_loss", "brier", "ici", "smooth_ece", "ece_sweep")}
+SCORING: dict[str, Callable[[Frame], float]] = {k: (lambda f, k=k: metrics.evaluate(f, [k])[k]) for k in ("log_loss", "brier", "ici", "smooth_ece", "ece_sweep")}
 
 
 def default_menu() -> dict[str, Callable[[], Calibrator]]:

@@ -341,6 +341,21 @@ def test_wrapper_flows(spark):
         T.CalibratedModel(F.col("a"), C.Platt, "other")
 
 
+def test_evaluate_and_intervals(spark):
+    f = whole(Frame.bind(portfolio(spark, 1200, event_rate=0.2)))
+    got = M.evaluate(f)
+    assert tuple(got) == M.CATALOGUE and all(math.isfinite(v) for v in got.values())
+    assert got["mce"] == pytest.approx(M.ece(f, norm="max").first()[0]) and got["slope"] == pytest.approx(M.calibration_slope(f))
+    assert got["ici"] <= got["emax"] and got["e50"] <= got["e90"] <= got["emax"]
+    assert got["spiegelhalter_p"] == pytest.approx(math.erfc(abs(got["spiegelhalter_z"]) / math.sqrt(2)))
+    assert list(M.evaluate(f, ["emax", "brier"])) == ["brier", "emax"]
+    with pytest.raises(ValueError, match="unknown"):
+        M.evaluate(f, ["nope"])
+    ends = M.bootstrap(f, 200).first()
+    for c in ("log_loss", "brier", "brier_skill", "spiegelhalter_z"):
+        assert ends[f"{c}_low"] < got[c] < ends[f"{c}_high"]
+
+
 def test_weighted_quantiles_with_ties(spark):
     rng = np.random.default_rng(22)
     s, w = np.round(rng.uniform(0.1, 0.9, 300), 1), rng.uniform(0.2, 5, 300)
