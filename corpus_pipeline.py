@@ -10,6 +10,8 @@ from plumbline.llm.common import stored, table
 from plumbline.llm.queries import PIECE_MODEL
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents are near-duplicates from this Jaccard similarity, in percent.
+NEAR = 80
 #: Language scores below this are rejected, as are texts without a letter.
 LEAST_SCORE = 0.2
 
@@ -22,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id. Rows without an id all stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, percent=NEAR).where("kept and doc_id is not null").select("doc_id").distinct()
     docs = docs.select(*COLUMNS)
     alone = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return alone.select(*COLUMNS).unionByName(docs.where("doc_id is null"))

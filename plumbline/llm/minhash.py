@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,23 @@ from pyspark.sql import functions as F
 
 from .common import components, mix64, pieces, short_batches, stored, words
 
-#: Bands and rows: a pair at similarity 0.85 shares no band with probability 4e-5.
-BANDS, ROWS = 32, 8
+#: Most rows of a band, most coordinates of a signature, and the chance that a pair at the threshold shares no band.
+ROWS, COORDINATES, MISSED = 8, 512, 4e-5
 _PLACE = mix64(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): as many rows as the signature has room for with so many bands that a pair at the threshold is missed
+    with probability ``MISSED`` at most: (32, 8) at 85, (56, 8) at 80."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent is above 0 and at most 100")
+    for rows in range(ROWS, 0, -1):
+        miss = 1 - (percent / 100) ** rows
+        bands = math.ceil(math.log(MISSED) / math.log(miss)) if miss > 0 else 1
+        if rows == 1 or bands * rows <= COORDINATES:
+            return bands, rows
+
+
 def _mix32(x: np.ndarray) -> np.ndarray:
     """A fixed permutation of the 32-bit numbers, in place."""
     x ^= x >> np.uint32(16)
@@ -49,7 +62,7 @@ def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+def signature(shingles: np.ndarray, size: int = 256) -> np.ndarray:
     """Circulant MinHash: the first permutation scatters the shingles; coordinate k is the least value of the second
     permutation after shifting it k places around its circle of 2**32."""
     places = _mix32((shingles ^ (shingles >> np.uint64(32))).astype(np.uint32))
@@ -60,16 +73,16 @@ def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit key for each band, different between bands."""
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(ROWS):
+    rows = sig.reshape(bands, -1).astype(np.uint64)
+    keys = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(rows.shape[1]):
         keys = mix64(keys ^ rows[:, k] * _PLACE[k])
     return keys.view(np.int64)
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
+def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = shingle_sets(batch.column("text"))
@@ -78,7 +91,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([band_keys(signature(s)) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array([band_keys(signature(s, bands * rows), bands) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "n_shingles", "set_key", "bands"],
             )
@@ -160,11 +173,11 @@ def _verify(members: DataFrame, percent: int, block: int) -> DataFrame:
     return spread.withColumn("part", F.pmod(F.xxhash64("task"), F.lit(block)).cast("int")).groupBy("part").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, rows_per_block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, rows_per_block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
     Documents are linked if 100 * |intersection| >= ``percent`` * |union| of their sets of five-word shingles, on
-    full sets. Steps, each linear in the input: one pass makes set sizes, set keys and 32 band keys; equal sets
+    full sets. Steps, each linear in the input: one pass makes set sizes, set keys and band keys, as many as the threshold needs; equal sets
     become one class with its smallest id; classes that share a band key are tied to the key's smallest class, and the
     components of these ties are candidate clusters; only the texts of clusters are read again, each once, and
     every pair inside a cluster is verified exactly. A large cluster is dealt in blocks of about
@@ -177,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rows_per_block: int = 25
     spark = docs.sparkSession
     short_batches(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = stored(_sketches(plain), "minhash-sketch")
+    sketch = stored(_sketches(plain, *banding(percent)), "minhash-sketch")
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "minhash-class")
     copies = usable.select("set_key", "doc_id").join(classes.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
