@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import warnings
 from collections.abc import Sequence
@@ -601,45 +602,56 @@ class ENIR(Calibrator):
     def _fit(self, f):
         p = f.pooled()
         s, w, wy = p["s"], p["w"], p["wy"]
-        total = w.sum()
-        mean, weight = list(wy / w), list(w)
-        member = [[k] for k in range(len(s))]
+        rest, size, penalty = w - wy, np.ones(len(s), int), math.log(w.sum())
+        m, u, hit, miss = wy / w, w.copy(), wy.copy(), rest.copy()
         lam, path = 0.0, []
 
+        def likelihood(m, hit, miss):
+            q = np.clip(m, 1e-12, 1 - 1e-12)
+            return float(hit @ np.log(q) + miss @ np.log1p(-q))
+
+        # fits with more levels than this have a weight below 1e-15 of the isotonic fit's: they need not be scored
+        blocks = pava(s, s, w, wy, w * s)
+        iso = blocks[:, 3] / blocks[:, 2]
+        least = likelihood(iso, blocks[:, 3], blocks[:, 2] - blocks[:, 3])
+        most = 1 + int((np.abs(np.diff(iso)) > 1e-12).sum()) + 2 * (likelihood(m, hit, miss) - least + math.log(1e15)) / penalty if penalty > 0 else math.inf
+
         def keep():
-            fit = np.empty(len(s))
-            for m, rows in zip(mean, member):
-                fit[rows] = m
-            q = np.clip(fit, 1e-12, 1 - 1e-12)
-            levels = 1 + int((np.abs(np.diff(fit)) > 1e-12).sum())
-            path.append((-2 * float(wy @ np.log(q) + (w - wy) @ np.log1p(-q)) + levels * math.log(total), fit, lam))
+            levels = 1 + int((np.abs(np.diff(m)) > 1e-12).sum())
+            if levels <= most:
+                bic = -2 * likelihood(m, hit, miss) + levels * penalty
+                if len(path) < self.most or bic < -path[0][0]:
+                    heapq.heappush(path, (-bic, -len(m), np.repeat(m, size), lam))
+                    if len(path) > self.most:
+                        heapq.heappop(path)
 
         while True:
             keep()
-            path = sorted(path, key=lambda x: x[0])[: self.most]
-            m, u = np.array(mean), np.array(weight)
-            viol = m[:-1] > m[1:] + 1e-15
+            gap = np.diff(m)
+            viol = (gap < -1e-15).astype(float)
             if not viol.any():
                 break
-            slope = (np.r_[0, viol] * 1.0 - np.r_[viol, 0] * 1.0) / u  # a violating block falls, the one after it rises
-            gap, speed = m[1:] - m[:-1], slope[1:] - slope[:-1]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                when = np.where(gap * speed < 0, -gap / speed, np.inf)
+            slope = (np.r_[0, viol] - np.r_[viol, 0]) / u  # a violating block falls, the one after it rises
+            speed = np.diff(slope)
+            when = np.full(len(gap), np.inf)
+            np.divide(-gap, speed, out=when, where=gap * speed < 0)
             k = int(when.argmin())
             if not np.isfinite(when[k]):
                 break
             lam += when[k]
-            m = m + slope * when[k]
-            both = u[k] + u[k + 1]
-            merged = (m[k] * u[k] + m[k + 1] * u[k + 1]) / both
-            mean = [*m[:k], merged, *m[k + 2 :]]
-            weight = [*u[:k], both, *u[k + 2 :]]
-            member[k : k + 2] = [member[k] + member[k + 1]]
+            m += slope * when[k]
+            m[k] = (m[k] * u[k] + m[k + 1] * u[k + 1]) / (u[k] + u[k + 1])
+            for x in (u, hit, miss, size):
+                x[k] += x[k + 1]
+            for x in (m, u, hit, miss, size):
+                x[k + 1 : -1] = x[k + 2 :]
+            m, u, hit, miss, size = m[:-1], u[:-1], hit[:-1], miss[:-1], size[:-1]
+        path = sorted(((-b, -k, fit, at) for b, k, fit, at in path), key=lambda x: x[:2])
         bic = np.array([x[0] for x in path])
         share = np.exp(-(bic - bic.min()) / 2)
         self.weights = share / share.sum()
-        self.scores, self.values = s, np.clip(sum(a * x[1] for a, x in zip(self.weights, path)), 1e-12, 1 - 1e-12)
-        self.lambdas = [x[2] for x in path]
+        self.scores, self.values = s, np.clip(sum(a * x[2] for a, x in zip(self.weights, path)), 1e-12, 1 - 1e-12)
+        self.lambdas = [x[3] for x in path]
 
     def predict(self, score):
         return lookup(self.scores, self.values)(score)

@@ -193,10 +193,20 @@ query("ivap", None)(
     lambda f, *_: (lambda m: m.transform(f.df).withColumn("i", m.predict_interval(F.col("s"))).select("row_id", "i.p0", "i.p1", "p"))(C.VennAbers().fit(f))
 )
 query("cvap", None)(lambda f, *_: _predict(C.CrossVennAbers(), f))
-query("enir", None, digits=6)(lambda f, s, d: _predict(C.ENIR(), _cal(s, d, digits=2)))
+query("enir", None, digits=6)(lambda f, *_: _predict(C.ENIR(), f))
 query("spline", None)(lambda f, *_: _predict(C.Spline(), f))
 query("reliability_spline", None)(lambda f, s, d: _predict(C.Spline(), f).join(f.df.select("row_id", "s"), "row_id").groupBy(F.round("s", 2).alias("grid_p")).agg(F.avg("p").alias("event_rate")))
 
+#: The queries whose SQL needs rounded scores, over scores as they are; tests hold these against brute force.
+query("ece_sweep_whole", None)(lambda f, *_: M.ece_sweep(f))
+query("ici_family_whole", None)(lambda f, *_: {k: v for k, v in M.ici_family(f, grid=None).items() if k in ("ici", "emax")})
+query("logloss_decomposition_whole", None)(lambda f, *_: M.logloss_decomposition(f))
+query("bbq_whole", None)(lambda f, *_: _predict(C.BBQ(max_bins=50), f))
+query("isotonic_whole", None)(lambda f, *_: _predict(C.Isotonic(), f))
+query("isotonic_linear_whole", None)(lambda f, *_: _predict(C.Isotonic("linear"), f))
+query("cir_whole", None)(lambda f, *_: _predict(C.CenteredIsotonic(), f))
+query("isotonic_interval_inverse_whole", None)(lambda f, *_: dict(zip(("raw_lo", "raw_hi"), C.Isotonic().fit(f).interval_inverse(0.2, 0.3))))
+
 _BANDS = [("A", 0.0, 0.2), ("B", 0.2, 0.3), ("C", 0.3, 0.4), ("D", 0.4, 1.0)]
 
 
