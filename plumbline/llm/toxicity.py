@@ -99,7 +99,7 @@ def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str], size: int
                 covered[i : i + 4] = b"\1\1\1\1"
         shared += [u[x.start() : x.end()] for x in re.finditer(b"\1+", bytes(covered))]
     common = b"~".join(shared)
-    samples = [w for s in plain[:60000] for w in windows(s, 24)]
+    samples = [w for s in plain for w in windows(s, 24)]
     try:
         trained = zstandard.train_dictionary(max(1024, 256 + len(content)), samples, k=24, d=6).as_bytes()
     except zstandard.ZstdError:  # too few samples for the trainer
