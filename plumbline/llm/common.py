@@ -30,9 +30,14 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else on one machine one of our own.
+
+    Without that setting a cluster of several machines has no such folder that we know: an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = os.path.abspath(os.path.join("spark-warehouse", "checkpoints"))
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
@@ -57,6 +62,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: its cleaner follows the driver's garbage collection."""
+    spark._jvm.System.gc()
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; a null key has remainder -1 and so trains."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus, F.lit(-1))

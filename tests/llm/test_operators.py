@@ -164,16 +164,6 @@ def test_language_model(spark, awkward):
     assert language_model.score_language(empty(docs)).count() == 0
 
 
-def test_pitman_yor_sums_to_one():
-    rng = np.random.default_rng(2)
-    keys = (rng.zipf(1.5, 3000).clip(max=200).astype(np.uint64) << np.uint64(16)) | rng.integers(0, 3, 3000).astype(np.uint64)
-    known, counts = np.unique(keys, return_counts=True)
-    vocabulary = np.unique(known >> np.uint64(16))
-    for u in range(4):  # the last context was never seen
-        every = np.r_[vocabulary, np.uint64(999_999)] << np.uint64(16) | np.uint64(u)
-        assert language_model.predictive(every, known, counts, 7).sum() == pytest.approx(1.0, abs=1e-9)
-
-
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(4)
