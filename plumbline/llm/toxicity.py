@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -17,12 +15,13 @@ from pyspark.sql import functions as F
 from .common import pieces, remainder, sample_key, short_batches
 
 _FOLD = bytes.maketrans(bytes(range(256)), bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)))
-_SENTENCE = re.compile(r"[.!?\n]+")
 #: Content that ends both dictionaries and begins each window: a window's block is then always coded
 #: by matches and never stored raw, so that single short matches count.
-_MARK = b"@" + bytes(range(1, 24)) + b"@ "
+_MARK = b"@" + bytes(range(1, 24)) + b"@"
 #: Differences, in bytes, from which windows are counted.
-STEPS = (2, 3, 4, 6)
+STEPS = (1, 2, 3, 4, 5, 6, 8)
+#: Length of the stretches by which toxic text is held against ordinary text before training.
+GRAM = 6
 
 
 def fold(text: str) -> bytes:
@@ -31,92 +30,76 @@ def fold(text: str) -> bytes:
 
 
 def windows(folded: bytes, width: int) -> list[bytes]:
-    """Pieces of at least ``width`` bytes that end at a blank; together they are the whole text."""
+    """Pieces of at least ``width`` bytes that begin and end at a blank; together they are the whole text."""
     out, start, end = [], 0, len(folded)
     while start < end:
-        stop = folded.find(b" ", start + width) + 1 or end
-        out.append(folded[start:stop])
-        start = stop
+        stop = folded.find(b" ", start + width)
+        stop = end if stop < 0 else stop
+        out.append(b" " + folded[start:stop] + b" ")
+        start = stop + 1
     return out
 
 
-def _units(sentence: bytes) -> set[bytes]:
-    """The sentence's words, and the beginnings of its longer words."""
-    out = set()
-    for word in sentence.split():
-        word = b" " + word
-        out.add(word + b" ")
-        out.update(word[:k] for k in (5, 6, 7, 8) if len(word) > k)
+def _grams(text: bytes) -> np.ndarray:
+    x = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = len(x) - GRAM + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(GRAM if n > 0 else 0):
+        out = out * np.uint64(256) + x[k : k + n]
     return out
 
 
-def _ratio_test(a: int, n: int, b: int, m: int) -> float:
-    def part(k: int, size: int, rate: float) -> float:
-        return k * math.log(max(rate, 1e-12)) + (size - k) * math.log(max(1 - rate, 1e-12))
+def _novel(text: bytes, common: np.ndarray) -> list[bytes]:
+    """The distinct stretches of a text none of whose grams is common."""
+    grams = _grams(text)
+    if not len(grams):
+        return []
+    new = np.ones(len(grams), bool)
+    if len(common):
+        new = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] != grams
+    edge = np.flatnonzero(np.diff(np.r_[0, new.astype(np.int8), 0]))
+    return list(dict.fromkeys(text[i : j + GRAM - 1] for i, j in zip(edge[::2], edge[1::2])))
 
-    both = (a + b) / (n + m)
-    return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, both) - part(b, m, both))
+
+def _trained(size: int, samples: list[bytes]) -> bytes:
+    """What zstandard's trainer makes of the samples, or the samples themselves where they are too few for it."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=16, d=GRAM).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(dict.fromkeys(samples))[-size:]
 
 
-def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str], size: int = 4096) -> tuple[bytes, bytes]:
-    """Dictionary contents (toxic, ordinary).
+def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str], width: int = 8, toxic_size: int = 4096, ordinary_size: int = 32_768, rate: float = 0.001) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary, both as zstandard's trainer returns them.
 
-    Sentences are made distinct first, so that copies weigh nothing. The toxic content holds the words and
-    word beginnings that a likelihood ratio test finds in toxic sentences far beyond ordinary ones, the
-    most frequent last (cheapest to point at). The ordinary content is trained by zstandard on ordinary
-    sentences, and ends with the stretches of the toxic content that ordinary text has too: what
-    both dictionaries can match cancels out.
+    The ordinary one is trained on all windows of the ordinary texts. The toxic one is trained on what ordinary text leaves of the toxic
+    texts: the stretches whose grams are in at most ``rate`` of the ordinary texts (one text is always allowed). The trainer
+    keeps what recurs among these.
     """
-    plain = {s for t in ordinary for s in map(fold, _SENTENCE.split(t)) if s}
-    marked = {s for t in toxic for s in map(fold, _SENTENCE.split(t)) if s} - plain
-    if not marked or not plain:
+    plain = [b" " + fold(t) + b" " for t in ordinary]
+    if not any(map(str.strip, toxic)) or not any(map(str.strip, ordinary)):
         return b"", b""
-    plain = sorted(plain)
-    hot, cold, grams = Counter(), Counter(), Counter()
-    for s in sorted(marked):
-        hot.update(_units(s))
-    for s in plain:
-        cold.update(_units(s))
-        padded = b" " + s + b" "
-        grams.update({padded[i : i + 4] for i in range(len(padded) - 3)})
-    n, m = len(marked), len(plain)
-    least = max(4, round(0.0006 * n))
-    good = {u: v for u, v in hot.items() if v >= least and v / n > 8 * (cold[u] + 0.5) / m and _ratio_test(v, n, cold[u], m) > 25}
-    units: list[bytes] = []
-    for u, v in sorted(good.items(), key=lambda x: (-len(x[0]), x[0])):  # the longest form that keeps most of the uses
-        if not any(h.startswith(u) and hot[h] >= 0.7 * v for h in units):
-            units.append(u)
-    units = [u for u in units if not any(h != u and u.startswith(h) for h in units)]
-    units.sort(key=lambda u: (hot[u], u))
-    content = b"".join(units)[-size:]
-    if not content:
+    grams, count = np.unique(np.concatenate([np.unique(_grams(t)) for t in plain]), return_counts=True)
+    common = grams[count > max(1, rate * len(plain))]
+    marked = [s for t in toxic for s in _novel(b" " + fold(t) + b" ", common)]
+    if not marked:
         return b"", b""
-    shared = []
-    for u in units:
-        covered = bytearray(len(u))
-        for i in range(len(u) - 3):
-            if grams[u[i : i + 4]] >= max(2, 0.0002 * m):
-                covered[i : i + 4] = b"\1\1\1\1"
-        shared += [u[x.start() : x.end()] for x in re.finditer(b"\1+", bytes(covered))]
-    common = b"~".join(shared)
-    samples = [w for s in plain for w in windows(s, 24)]
-    try:
-        trained = zstandard.train_dictionary(max(1024, 256 + len(content)), samples, k=24, d=6).as_bytes()
-    except zstandard.ZstdError:  # too few samples for the trainer
-        trained = b" ".join(samples)
-    room = max(len(content) - len(common), 0)
-    return content, (trained[-room:] if room else b"") + common
+    return _trained(toxic_size, marked), _trained(ordinary_size, [w for t in plain for w in windows(t.strip(), width)])
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    data = zstandard.ZstdCompressionDict(content + _MARK, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    data.precompute_compress(level=1)
-    return zstandard.ZstdCompressor(level=1, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+def _lengths(content: bytes):
+    """A function from windows to their compressed lengths under a dictionary."""
+    content = content + _MARK
+    data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    how = zstandard.ZstdCompressionParameters.from_level(3, source_size=48, dict_size=len(content), min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+    data.precompute_compress(compression_params=how)
+    compress = zstandard.ZstdCompressor(compression_params=how, dict_data=data).compress
+    return lambda window: len(compress(_MARK + window))
 
 
 @dataclass
 class ToxicityModel:
-    """Two dictionary contents, the window width, and a logistic calibration of window counts."""
+    """Two dictionaries, the window width, and a logistic calibration of window counts."""
 
     toxic: bytes
     ordinary: bytes
@@ -128,20 +111,26 @@ class ToxicityModel:
         """A function from texts to window counts; made once a worker, as compressors can't be sent."""
         if not self.toxic:
             return lambda texts: np.zeros((len(texts), len(STEPS) + 1))
-        hot, cold = _compressor(self.toxic).compress, _compressor(self.ordinary).compress
-        base = len(hot(_MARK))
+        hot, cold = _lengths(self.toxic), _lengths(self.ordinary)
+        gains: dict[bytes, int] = {}  # of windows met before; emptied when it is full
 
         def count(texts: Sequence[str]) -> np.ndarray:
             out = np.zeros((len(texts), len(STEPS) + 1))
             for row, text in enumerate(texts):
                 found = windows(fold(text), self.width)
+                own = []
                 for w in found:
-                    w = _MARK + w
-                    got = len(hot(w))
-                    if got < base + len(w) - len(_MARK) - 1:  # else the toxic dictionary has matched nothing
-                        gain = len(cold(w)) - got
-                        for k, step in enumerate(STEPS):
-                            out[row, k] += gain >= step
+                    gain = gains.get(w)
+                    if gain is None:
+                        gain = cold(w) - hot(w)
+                        if len(w) < 64:  # most windows; a text without blanks is one long window
+                            if len(gains) >= 1 << 18:
+                                gains.clear()
+                            gains[w] = gain
+                    if gain > 0:
+                        own.append(gain)
+                for k, step in enumerate(STEPS):
+                    out[row, k] = sum(g >= step for g in own)
                 out[row, -1] = len(found)
             return out
 
@@ -175,12 +164,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return beta
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2400, ordinary_rows: int = 4800, longest: int = 20_000, width: int = 24) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2400, ordinary_rows: int = 4800, longest: int = 20_000, width: int = 8) -> ToxicityModel:
     """Fit on a bounded sample of the labelled rows whose crc32(doc_id) mod 4 is not 2.
 
     At most ``toxic_rows`` and ``ordinary_rows`` rows with texts of at most ``longest`` characters go to the
     driver, chosen by a hash of the id; alternate rows train the dictionaries and the calibration.
-    Rows without label or text are left out; without rows of both classes the score is the base rate.
+    Of texts that share an id the least counts. Rows without label or text are left out; without rows of both classes the score is the base rate.
     """
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     ids = ids.where(remainder(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -188,10 +177,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2400, ord
     n, t = share["n"] or 0, share["t"] or 0
     key = sample_key(F.col("doc_id"), "toxicity")
     chosen = ids.where("toxic = 1").orderBy(key).limit(toxic_rows).unionByName(ids.where("toxic = 0").orderBy(key).limit(ordinary_rows))
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, longest)).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").orderBy(key, "text").collect()
+    rows = docs.select("doc_id", "text").where(F.length("text").between(1, longest)).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(key).collect()
     hot, cold = [r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0]
     prior = math.log((t + 0.5) / (n - t + 0.5))
-    content = train_dictionaries(hot[::2], cold[::2])
+    content = train_dictionaries(hot[::2], cold[::2], width)
     model = ToxicityModel(*content, width, prior, ())
     if not content[0] or len(hot) < 4 or len(cold) < 4:
         return model
