@@ -42,6 +42,27 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, context, places
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For hashes: where each distinct one is first, in an order by value, and the place of every key among these.
+
+    Sorting values with their index in the low bits is several times faster than an argsort; should two keys
+    differ in these bits alone, a full sort takes over.
+    """
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = np.uint64((1 << max(len(keys) - 1, 1).bit_length()) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    if (new[1:] & (((ordered[1:] ^ ordered[:-1]) & ~low) == 0)).any():
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        new = np.r_[True, ordered[1:] != ordered[:-1]]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
 def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(context * _ODD + mix64(word))
 
@@ -78,18 +99,23 @@ def _decoded(code: np.ndarray, rare: np.ndarray, frequent: np.ndarray) -> np.nda
     return out
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches gathered to about ``BLOCK`` bytes of text, at least one whole row each."""
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Tokens, contexts, sizes of texts, ids and held_out marks of about ``BLOCK`` bytes of text, at least one whole row.
+
+    Texts are taken apart in small pieces, whose arrays fit a processor's cache.
+    """
     held, size, rows = [], 0, 0
-    for batch in pieces(batches, BLOCK):
-        held.append(batch)
+    for batch in pieces(batches, 1 << 18):
+        word, context, places = tokens(batch.column("text"))
+        ids = batch.column("doc_id")
+        held.append((word, context, np.diff(places), ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)))
         size += batch.column("text").nbytes
         rows += batch.num_rows
         if size >= BLOCK or rows >= BLOCK_ROWS:
-            yield pa.Table.from_batches(held).combine_chunks()
+            yield tuple(map(np.concatenate, zip(*held)))
             held, size, rows = [], 0, 0
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 class Part:
@@ -110,17 +136,14 @@ class Part:
             self.asked.append((table.column("block")[k].as_py(), at, at + len(n)))
             at += len(n)
         context, word, count = np.concatenate(context), np.concatenate(word), np.concatenate(count)
-        key, first, self.place = np.unique(pair_key(context, word), return_index=True, return_inverse=True)
-        self.count = np.bincount(self.place, count, len(key)).astype(np.int64)
-        self.contexts, self.context = np.unique(context[first], return_inverse=True)
-        # dishes in the order in which their buckets answer
-        dish, self.dish = np.unique(word[first], return_inverse=True)
-        bucket = (mix64(dish) % np.uint64(layout.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        back = np.empty(len(dish), np.int64)
-        back[order] = np.arange(len(dish))
-        self.dish = back[self.dish]
-        self.dishes, self.bucket = dish[order], bucket[order]
+        first, self.place = distinct(pair_key(context, word))
+        self.count = np.bincount(self.place, count, len(first)).astype(np.int64)
+        context, word = context[first], word[first]
+        first, self.context = distinct(context)
+        self.contexts = context[first]
+        mixed = mix64(word)  # its first bits are the bucket, so that dishes are in the order in which their buckets answer
+        first, self.dish = distinct(mixed)
+        self.dishes, self.bucket = word[first], layout.bucket_of(mixed[first])
         self.total = np.bincount(self.context, self.count, len(self.contexts)).astype(np.int64)
         self.shared = np.isin(self.contexts, layout.hot)  # contexts that are dealt over several parts
         if self.shared.any():
@@ -135,8 +158,12 @@ class Layout:
         order = np.argsort(hot)
         self.frequent, self.parts, self.buckets = np.sort(frequent), parts, buckets
         self.hot, self.hot_total = hot[order], hot_total[order]
+        self.shift = np.uint64(64 - (buckets - 1).bit_length())  # buckets are a power of two
         self.ways = -(-hot_seen[order] * 4 // per_part).astype(np.uint64)
 
+    def bucket_of(self, mixed: np.ndarray) -> np.ndarray:
+        return (mixed >> self.shift).astype(np.int64)
+
     def part_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         key = context.copy()
         if len(self.hot):
@@ -212,7 +239,7 @@ _UP = "bucket long, part long, dishes binary, tables binary, sent long, once lon
 
 
 def score_language(
-    docs: DataFrame, tokens_per_part: int = 3_000_000, strength: float = 5.0, rounds: int = 2, sweeps: int = 4, burn: int = 1, seed: int = 7
+    docs: DataFrame, tokens_per_part: int = 2_000_000, strength: float = 5.0, rounds: int = 2, sweeps: int = 4, burn: int = 1, seed: int = 7
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text).
 
@@ -240,12 +267,10 @@ def score_language(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches):
-            word, _, places = tokens(table.column("text"))
-            train = np.repeat(~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(places))
-            distinct, place = np.unique(word, return_inverse=True)
-            every = np.bincount(place, minlength=len(distinct))
-            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(every), pa.array(np.bincount(place[train], minlength=len(distinct)))], names=["word", "every", "train"])
+        for word, _, sizes, _, _, held in blocks(batches):
+            first, place = distinct(word)
+            every = np.bincount(place, minlength=len(first))
+            yield pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), pa.array(every), pa.array(np.bincount(place[~np.repeat(held, sizes)], minlength=len(first)))], names=["word", "every", "train"])
 
     counted = rows.mapInArrow(count, "word long, every long, train long")
     counted = stored(counted.groupBy("word").agg(F.sum("every").alias("every"), F.sum("train").alias("train")), "language-words")
@@ -256,7 +281,7 @@ def score_language(
     every, train_tokens, vocabulary = sums["every"], sums["train"], sums["vocabulary"]
     top = counted.orderBy(F.desc("every"), "word").limit(_RARE).collect()  # a fixed number of rows
     signed = lambda values: np.array(values, np.int64).view(np.uint64)
-    parts, buckets = max(8, -(-every // tokens_per_part)), max(8, -(-every // (6 * tokens_per_part)))
+    parts, buckets = max(8, -(-every // tokens_per_part)), max(8, 1 << (every // (6 * tokens_per_part)).bit_length())
     ends = [(r["every"], r["train"]) for r in top if r["word"] == int(END.view(np.int64))]
     if not ends:
         ends = [(r["every"], r["train"]) for r in counted.where(F.col("word") == int(END.view(np.int64))).collect()]
@@ -269,21 +294,24 @@ def score_language(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = shared.value
         task = TaskContext.get().partitionId()
-        for serial, table in enumerate(blocks(batches)):
+        for serial, (word, context, sizes, ids, absent, held) in enumerate(blocks(batches)):
             block = (task << 24) | serial
-            word, context, places = tokens(table.column("text"))
-            owner = np.repeat(np.arange(len(places) - 1), np.diff(places))
-            held = table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            _, first, place = np.unique(pair_key(context, word), return_index=True, return_inverse=True)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            first, place = distinct(pair_key(context, word))
             w, c = word[first], context[first]
             n = np.bincount(place[~held[owner]], minlength=len(first)).astype(np.uint32)
             part = layout.part_of(c, w)
-            order = np.lexsort((c, part))
+            # by part, then by as many bits of the context as there is room for: equal contexts mostly make one run
+            index, parts_bits = max(len(first) - 1, 1).bit_length(), max(layout.parts - 1, 1).bit_length()
+            order = np.sort((part.astype(np.uint64) << np.uint64(64 - parts_bits)) | (c >> np.uint64(parts_bits + index) << np.uint64(index)) | np.arange(len(first), dtype=np.uint64))
+            order = (order & np.uint64((1 << index) - 1)).astype(np.int64)
             w, c, n, part = w[order], c[order], n[order], part[order]
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            by_pair = np.argsort(rank[place], kind="stable")
-            times = np.bincount(rank[place], minlength=len(order)).astype(np.uint32)
+            place = rank[place]
+            low = np.uint64((1 << max(len(place) - 1, 1).bit_length()) - 1)
+            by_pair = (np.sort((place.astype(np.uint64) * (low + np.uint64(1))) | np.arange(len(place), dtype=np.uint64)) & low).astype(np.int64)
+            times = np.bincount(place, minlength=len(order)).astype(np.uint32)
             border = np.searchsorted(part, np.arange(layout.parts + 1))
             full = np.flatnonzero(np.diff(border))
             out = []
@@ -291,8 +319,7 @@ def score_language(
                 lo, hi = border[p], border[p + 1]
                 starts = np.flatnonzero(np.r_[True, c[lo + 1 : hi] != c[lo : hi - 1]])
                 out.append(_press(*_coded(c[lo:hi][starts], layout.frequent), np.diff(np.r_[starts, hi - lo]).astype(np.uint32), *_coded(w[lo:hi], layout.frequent), n[lo:hi]))
-            ids = table.column("doc_id").combine_chunks()
-            own = _press(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_null()).astype(np.uint8), held.astype(np.uint8), np.diff(places).astype(np.int64), times, owner[by_pair].astype(np.uint16))
+            own = _press(ids.astype(np.int64), absent.astype(np.uint8), held.astype(np.uint8), sizes.astype(np.int64), times, owner[by_pair].astype(np.uint16))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([-1, *full.tolist()], pa.int64()), pa.array([block] * (len(full) + 1), pa.int64()), pa.array([own, *[None] * len(full)], pa.binary()), pa.array([None, *out], pa.binary())],
                 names=["part", "block", "own", "payload"],
@@ -326,8 +353,8 @@ def score_language(
             order = np.argsort(table.column("part").to_numpy(), kind="stable").tolist()
             dishes = [np.frombuffer(table.column("dishes")[k].as_py(), np.uint64) for k in order]
             sent = np.concatenate([_unpress(table.column("tables")[k].as_py(), "u4")[0] for k in order])
-            distinct, place = np.unique(np.concatenate(dishes), return_inverse=True)
-            n = np.bincount(place, sent, len(distinct)).astype(np.int64)
+            first, place = distinct(np.concatenate(dishes))
+            n = np.bincount(place, sent, len(first)).astype(np.int64)
             rng, seating = np.random.default_rng([seed, round_, bucket]), Seating(levels.discount0)
             g = spread(np.random.default_rng([seed, round_, 1 << 20]), np.array([opened]), levels.strength, levels.discount0)[0]  # the same in each bucket
             weight = np.full(len(n), levels.discount0 * g * base)
