@@ -220,7 +220,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = 12_000, **option
             x = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     got = sorted(((r["doc_id"], r["quality"], tuple(r["x"])) for r in sample.mapInArrow(run, "doc_id long, quality int, x array<double>").collect()))
     if not got:
         return AdditiveModel(0.0)
