@@ -8,41 +8,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, short_batches, stored
-from .vectors import packed, unpacked, usable
+from .vectors import block_of, packed, unpacked, usable
 
 _TILE = 1024
+#: 127 * 127 * 1024 is below 2**24.
+_EXACT = 1024
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, so that its largest component is in [0.5, 1): exact, and its norm neither under- nor overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Int8 values (as float32, for exact products by the fast kernel), scales, norms of what they stand for, and norms of the error."""
+    """Int8 values, scales, norms of what they stand for, and norms of the error."""
     scale = np.abs(unit).max(axis=1) / 127.0
-    q = np.rint(unit / scale[:, None])
+    q = np.rint(unit / scale[:, None]).astype(np.int8)
     near = q * scale[:, None]
-    return q.astype(np.float32), scale, np.linalg.norm(near, axis=1), np.linalg.norm(unit - near, axis=1)
+    return q, scale, np.linalg.norm(near, axis=1), np.linalg.norm(unit - near, axis=1)
+
+
+def tile_products(qx: np.ndarray, qy: np.ndarray) -> np.ndarray:
+    """Exact integer products of two int8 tiles: single precision holds sums of up to ``_EXACT`` components exactly, double their total."""
+    total = np.zeros((len(qx), len(qy)))
+    for k in range(0, qx.shape[1], _EXACT):
+        total += qx[:, k : k + _EXACT].astype(np.float32) @ qy[:, k : k + _EXACT].astype(np.float32).T
+    return total
 
 
 def tile_pairs(x: np.ndarray, y: np.ndarray, threshold: float):
     """Yield (rows of x, rows of y) whose cosine in double precision is at least ``threshold``.
 
-    With x = x' + e and y = y' + f, x.y is at most x'.y' + |e||y'| + |x'||f| + |e||f|; integer products of at most
-    1000 components stay below 2**24, so float32 holds them exactly. A pair whose bound is below the
-    threshold (less 1e-6 for rounding) is out for sure; the others are computed from the original vectors.
+    With x = x' + e and y = y' + f, x.y is at most x'.y' + |e||y'| + |x'||f| + |e||f|. A pair whose bound is below the
+    threshold (less 1e-9 for rounding) is out for sure; the others are computed from the vectors. The vectors
+    must be finite and not zero; any size will do.
     """
+    x, y = scaled(x), scaled(y)
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     qx, sx, hx, ex = quantise(x / nx[:, None])
     qy, sy, hy, ey = quantise(y / ny[:, None])
-    # bound: sx*sy*p + ex*hy + (hx+ex)*ey >= t, as p >= (t - ex*max(hy) - max(hx+ex)*ey) / (sx*sy), a little weaker
     for a in range(0, len(x), _TILE):
         for b in range(0, len(y), _TILE):
             ra, rb = slice(a, a + _TILE), slice(b, b + _TILE)
-            p = qx[ra] @ qy[rb].T
-            p *= sx[ra].astype(np.float32)[:, None]
-            p *= sy[rb].astype(np.float32)[None, :]
-            slack_x = (ex[ra] * hy[rb].max()).astype(np.float32)[:, None]
-            slack_y = ((hx[ra] + ex[ra]).max() * ey[rb]).astype(np.float32)[None, :]
-            p += slack_x
-            p += slack_y
-            i, j = np.nonzero(p >= np.float32(threshold - 1e-5))
+            bound = tile_products(qx[ra], qy[rb])
+            bound *= sx[ra][:, None]
+            bound *= sy[rb][None, :]
+            bound += (ex[ra] * hy[rb].max())[:, None]
+            bound += ((hx[ra] + ex[ra]).max() * ey[rb])[None, :]
+            i, j = np.nonzero(bound >= threshold - 1e-9)
             for lo in range(0, len(i), 1 << 16):
                 ii, jj = i[lo : lo + (1 << 16)] + a, j[lo : lo + (1 << 16)] + b
                 cosine = (x[ii] * y[jj]).sum(axis=1) / (nx[ii] * ny[jj])
@@ -101,12 +114,12 @@ def _block_links(blocks: DataFrame, threshold: float) -> DataFrame:
     return spread.groupBy("i", "j").applyInArrow(run, "a long, b long, links long")
 
 
-def near_embeddings(rows: DataFrame, threshold: float = 0.9, rows_per_block: int = 4096) -> DataFrame:
+def near_embeddings(rows: DataFrame, threshold: float = 0.9, numbers_per_block: int = 1 << 19) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``rows`` (vec_id, embedding).
 
     Vectors are linked if their cosine in double precision is at least ``threshold``. Equal vectors become one class
-    with its smallest id and its size; classes are dealt into blocks of a bounded number of rows, and one task
-    compares two blocks, tile by tile. A task sends one count for each class and the links that span
+    with its smallest id and its size (the join of a vector with its class is by sort-merge, whose skewed keys Spark splits at run time); classes are dealt into blocks of a bounded number of rows, and one task
+    compares two blocks (of about ``numbers_per_block`` components), tile by tile. Blocks travel in single precision where that is exact. A task sends one count for each class and the links that span
     its components, never all pairs.
 
     Edge cases: vectors that are null, zero, or hold null or non-finite components link with nothing, and so do
@@ -122,8 +135,8 @@ def near_embeddings(rows: DataFrame, threshold: float = 0.9, rows_per_block: int
     block = F.lit(None).cast("long")
     start = 0
     for dim, n in sorted(dims.items()):  # blocks of one length of vector each
-        k = -(-n // rows_per_block)
-        block = F.when(F.col("dim") == dim, F.pmod(F.xxhash64("vec_id"), F.lit(k)) + start).otherwise(block)
+        k = -(-n // max(256, numbers_per_block // dim))
+        block = F.when(F.col("dim") == dim, block_of(F.col("vec_id"), k) + start).otherwise(block)
         start += k
     blocks = stored(packed(classes.select(F.col("rep").alias("vec_id"), "embedding", "size", "dim"), block, "size"), "embedding-block")
     found = stored(_block_links(blocks, threshold), "embedding-links")

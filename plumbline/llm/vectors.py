@@ -15,6 +15,16 @@ def usable(column: str = "embedding") -> Column:
     return x.isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def largest(column: str = "embedding") -> Column:
+    """The largest absolute component of a vector."""
+    return F.array_max(F.transform(F.col(column), lambda v: F.abs(v)))
+
+
+def block_of(key: Column, blocks: int) -> Column:
+    """A block for each row, dealt by a hash of its key."""
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long")
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A list column whose rows have one length, as a float64 matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -22,6 +32,13 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The matrix in half the bytes, if every number is the same in single precision."""
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float32)
+    return half if np.array_equal(half.astype(np.float64), x) else x
+
+
 def packed(rows: DataFrame, block: Column, extra: str | None = None) -> DataFrame:
     """One row for each block: ``block``, ``n``, ``dim``, and ids, ``extra`` numbers and vectors as bytes."""
 
@@ -37,7 +54,7 @@ def packed(rows: DataFrame, block: Column, extra: str | None = None) -> DataFram
             "dim": pa.array([x.shape[1]], pa.int64()),
             "ids": pa.array([ids.tobytes()], pa.binary()),
             "extra": pa.array([other.tobytes()], pa.binary()),
-            "data": pa.array([x.astype(np.float64).tobytes()], pa.binary()),
+            "data": pa.array([_narrow(x).tobytes()], pa.binary()),
         })
 
     rows = rows.select("vec_id", "embedding", (F.col(extra) if extra else F.lit(0)).cast("long").alias("extra"), block.cast("long").alias("block"))
@@ -46,4 +63,5 @@ def packed(rows: DataFrame, block: Column, extra: str | None = None) -> DataFram
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, extra numbers and vectors of a packed row."""
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["extra"], np.int64), np.frombuffer(row["data"], np.float64).reshape(row["n"], row["dim"])
+    kind = np.float64 if len(row["data"]) == 8 * row["n"] * row["dim"] else np.float32
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["extra"], np.int64), np.frombuffer(row["data"], kind).astype(np.float64).reshape(row["n"], row["dim"])
