@@ -53,12 +53,28 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+_written: dict[str, SparkSession] = {}
+
+
+def clear_stored() -> None:
+    """Delete all tables that operators have stored so far: for long sessions, once their results are written or collected.
+
+    At the interpreter's exit it is done anyway.
+    """
+    while _written:
+        path, spark = _written.popitem()
+        _drop(spark, path)
+
+
+atexit.register(clear_stored)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -171,7 +187,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of ``edges`` (``a``, ``b`` long): rows (``node``, ``component``), the smallest node reachable.
 
     Alternating large-star and small-star rounds. Every step is a grouped minimum (combined before
-    its shuffle) joined back to the edges, so no neighbourhood is ever gathered in one task. Only
+    its shuffle) joined back to the edges; the edges of a hub meet in that join, whose skewed keys Spark splits at run time. Only
     nodes with an edge are returned; loops and repeated edges do no harm; no edges give no rows.
     """
     cur = stored(

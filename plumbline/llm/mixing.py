@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Characters that separate words, besides the blank: tab, line feed, vertical tab, form feed, return.
 _OTHER_SPACE = "\t\n\x0b\x0c\r"
 
@@ -61,12 +63,13 @@ def mix_sources(
     A bucket is a range of the shuffle order or of virtual time, so a hot source spreads over buckets.
 
     Edge cases: a null or empty text has size 0, enters 0 times and takes 0; a null source is a source
-    of its own, last in order; null ids are kept (their order among themselves is by size); repeated
+    of its own, last in order; null ids are kept (their turn comes from their size alone); repeated
     rows count one by one; an empty table gives no rows; further columns are ignored unless kept.
     """
     kept = [c for c in dict.fromkeys(keep) if c not in ("doc_id", "source", "text")]
     base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"kept_{c}") for c in kept])
-    base = base.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).persist()
+    base = base.withColumn("turn", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string"))))
+    base = stored(base, "mix-rows")
     per_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = mixture_targets(per_source.select("source", "source_size"), weights, share, repeats)
     rows = base.count()
@@ -84,8 +87,8 @@ def mix_sources(
         timed.alias("t")
         .join(starts.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")) & (F.col("t.bucket") == F.col("s.bucket")))
         .select("t.doc_id", "t.source", "t.turn", "t.size", (F.col("within") + F.col("ahead")).alias("sent"), "s.source_size", "s.target", "s.budget", *[F.col(f"t.kept_{c}").alias(f"kept_{c}") for c in kept])
-        .persist()
     )
+    timed = stored(timed, "mix-timed")
     finish = [((F.col("sent") + F.col("source_size") * k).cast("double") / F.col("target")).alias("finish") for k in range(repeats)]
 
     # the cut: sizes by slice of virtual time, then row by row inside the one slice that holds the cut
@@ -132,9 +135,8 @@ def mix_sources(
 #: DuckDB SQL for the rows of ``op1_mix``.
 MIX_SQL = """
 WITH base AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS turn,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
-  FROM documents),
+  SELECT doc_id, source, size, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', size)) AS turn
+  FROM (SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents)),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 s1 AS (SELECT *, CAST([5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3) + 1] AS DOUBLE) AS weight FROM s0),
 s2 AS (SELECT *, source_size * 2.0::DOUBLE AS filled, source_size * 2.0::DOUBLE / weight AS level,

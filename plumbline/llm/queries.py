@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import embeddings, langid, language_model, minhash, mixing, neighbours, quality, secrets, sentencepieces, toxicity
 from .common import table
 
-#: Folder of public tokenizer files; a parameter, as the files are never copied here.
-TOKENIZERS = os.environ.get("PLUMBLINE_TOKENIZERS", "/opt/tokenizers")
-PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: A public tokenizer's file, where its package has it; a parameter of the operator, as the files are never copied here.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
