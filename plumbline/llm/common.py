@@ -75,7 +75,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def divided(df: DataFrame, condition: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """``stored`` for the rows that meet a condition and for the others, written in one pass as two tables."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
+    df.withColumn("side", condition.cast("int")).write.partitionBy("side").parquet(path)
+    out = []
+    for side in (1, 0):
+        own = f"{path}/side={side}"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)  # no such row: an empty table
+        out.append(spark.read.schema(df.schema).parquet(own))
+        out[-1]._stored_at = own
+        _written[own] = spark
+    return out[0], out[1]
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` returned, once nothing reads it any more, and let Spark delete shuffle files of finished steps."""
+    spark = _written.pop(df._stored_at, None)
+    if spark is not None:
+        _drop(spark, df._stored_at)
+        released(spark)
 
 
 def released(spark: SparkSession) -> None:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, released, remainder, short_batches, stored, text_bytes, words
+from .common import discard, divided, mix64, pieces, remainder, short_batches, stored, text_bytes, words
 from .pitman_yor import Seating, discount_of, spread
 
 #: The token after the last word of a text, and the context of its first one.
@@ -279,7 +279,11 @@ def score_language(
         F.count(F.when(F.col("train") == 1, 1)).alias("once"), F.count(F.when(F.col("train") == 2, 1)).alias("twice"),
     ).first()
     every, train_tokens, vocabulary = sums["every"], sums["train"], sums["vocabulary"]
-    top = counted.orderBy(F.desc("every"), "word").limit(_RARE).collect()  # a fixed number of rows
+    # the most frequent words, as many as there are codes at most: whole classes of counts, an eighth of an octave each
+    octave = F.floor(F.log2("every") * 8).cast("int")
+    classes = sorted(((r["octave"], r["count"]) for r in counted.groupBy(octave.alias("octave")).count().collect()), reverse=True)
+    room = np.cumsum([n for _, n in classes]) <= _RARE
+    top = counted.where(octave >= classes[room.sum() - 1][0]).collect() if len(classes) and room[0] else []
     signed = lambda values: np.array(values, np.int64).view(np.uint64)
     parts, buckets = max(8, -(-every // tokens_per_part)), max(8, 1 << (every // (6 * tokens_per_part)).bit_length())
     ends = [(r["every"], r["train"]) for r in top if r["word"] == int(END.view(np.int64))]
@@ -288,6 +292,7 @@ def score_language(
     n_ends, train_ends = ends[0] if ends else (0, 0)
     seen = [(int(signed([r["word"]])[0]), r["every"], r["train"]) for r in top if r["word"] != int(END.view(np.int64))] + [(int(START), n_ends, train_ends)]
     hot = [x for x in seen if 4 * x[1] > tokens_per_part]
+    discard(counted)
     layout = Layout(signed([r["word"] for r in top]), np.array([x[0] for x in hot], np.uint64), np.array([x[1] for x in hot], np.int64), np.array([x[2] for x in hot], np.int64), parts, buckets, tokens_per_part)
     shared = spark.sparkContext.broadcast(layout)  # at most 65,535 words and numbers
 
@@ -325,8 +330,9 @@ def score_language(
                 names=["part", "block", "own", "payload"],
             )
 
-    packed = stored(rows.mapInArrow(pack, "part long, block long, own binary, payload binary"), "language-blocks")
-    asked = packed.where("part >= 0").select("part", "block", "payload")
+    packed = rows.mapInArrow(pack, "part long, block long, own binary, payload binary")
+    asked_rows, own_rows = divided(packed, F.col("part") >= 0, "language-blocks")
+    asked = asked_rows.select("part", "block", "payload")
     base = 1.0 / (vocabulary + 1)
     levels = Levels(strength, 0.5, discount_of(sums["once"], sums["twice"]), {int(h): 1 for h in layout.hot})
     parent_tables = vocabulary
@@ -375,18 +381,19 @@ def score_language(
             levels.draw_hot(seed + round_)
             sent = asked.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(sampler(levels, round_), _UP)
         sent = stored(sent, "language-up")
-        released(spark)
+        if answers is not None:
+            discard(parent_rows)
         known = sent.agg(F.coalesce(F.sum("sent"), F.lit(0)).alias("sent"), F.coalesce(F.sum("once"), F.lit(0)).alias("once"), F.coalesce(F.sum("twice"), F.lit(0)).alias("twice")).first()
         tables = dict.fromkeys((int(h) for h in layout.hot), 0)
         for r in sent.where("bucket = -1 and length(dishes) > 0").select("dishes", "tables").toLocalIterator():  # one row of hot contexts for each part
             for h, t in zip(np.frombuffer(r["dishes"], np.uint64).tolist(), np.frombuffer(r["tables"], np.int64).tolist()):
                 tables[h] += t
         now = Levels(strength, discount_of(known["once"], known["twice"]), levels.discount0, tables)
-        answers = stored(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(parent(now, known["sent"], parent_tables, round_), "part long, bucket long, chance binary, opened long"), "language-parent")
-        released(spark)
-        parent_tables = answers.agg(F.coalesce(F.sum("opened"), F.lit(0)).alias("t")).first()["t"]
+        parent_rows = stored(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(parent(now, known["sent"], parent_tables, round_), "part long, bucket long, chance binary, opened long"), "language-parent")
+        discard(sent)
+        parent_tables = parent_rows.agg(F.coalesce(F.sum("opened"), F.lit(0)).alias("t")).first()["t"]
         now.floor = (strength + now.discount0 * parent_tables) * base / (strength + known["sent"])
-        answers, levels = answers.select("part", "bucket", "chance"), now
+        answers, levels = parent_rows.select("part", "bucket", "chance"), now
 
     levels.draw_hot(seed + rounds)
 
@@ -402,7 +409,8 @@ def score_language(
         return pa.table({"part": pa.array([number] * len(out), pa.int64()), "block": pa.array([b for b, _, _ in part.asked], pa.int64()), "payload": pa.array(out, pa.binary())})
 
     answered = stored(asked.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(answer, "part long, block long, payload binary"), "language-answers")
-    released(spark)
+    discard(asked_rows)
+    discard(parent_rows)
     below, of_end = float(np.log10(train_tokens + vocabulary + 1)), float(np.log10(train_ends + 1))
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -419,4 +427,4 @@ def score_language(
             "train_tokens": pa.array(np.full(len(ids), train_tokens, np.int64)), "base_score": pa.array(sums(log) + of_end - n * below), "score": pa.array(sums(score)),
         })
 
-    return packed.where("part < 0").select("block", "own").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(gather, schema)
+    return own_rows.select("block", "own").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(gather, schema)
