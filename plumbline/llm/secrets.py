@@ -49,20 +49,34 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 #: Classes of ASCII characters: lower case, capitals, digits, signs; 9 for all others.
 _CLASS = np.full(128, 9, np.int64)
-#: Alphabets by size; under the hypothesis of a random key each has the same prior.
+#: Alphabets of a random key: size and prior; keys are mostly hex, base62 or base64.
 _SIZES = {"decimal": 10, "hex": 16, "letters": 26, "base32": 32, "base36": 36, "both": 52, "base62": 62, "base64": 64}
-#: Ordinary text as a chain of classes: how often a stretch begins with one, and how often one follows another.
-_BEGIN = np.log([0.7, 0.15, 0.1, 0.05])
-_NEXT = np.log([[0.9, 0.03, 0.02, 0.05], [0.17, 0.75, 0.04, 0.04], [0.05, 0.05, 0.75, 0.15], [0.4, 0.2, 0.3, 0.1]])
-#: Log rate of a character within its class: letters at prose rates, digits and signs evenly.
+_PRIOR = {10: 0.02, 16: 0.2, 26: 0.06, 32: 0.06, 36: 0.08, 52: 0.1, 62: 0.25, 64: 0.23}
+#: Ordinary text as chains of classes, one for each kind of it: how often a stretch begins with a class, and how often one follows another.
+#: Prose and numbers; names as programs have them (camelCase, versions); paths, addresses and names with signs.
+_CHAINS = [
+    ([0.7, 0.15, 0.1, 0.05], [[0.9, 0.03, 0.02, 0.05], [0.17, 0.75, 0.04, 0.04], [0.05, 0.05, 0.75, 0.15], [0.4, 0.2, 0.3, 0.1]]),
+    ([0.55, 0.4, 0.04, 0.01], [[0.83, 0.12, 0.04, 0.01], [0.88, 0.09, 0.02, 0.01], [0.06, 0.33, 0.6, 0.01], [0.6, 0.3, 0.08, 0.02]]),
+    ([0.6, 0.1, 0.1, 0.2], [[0.72, 0.03, 0.07, 0.18], [0.3, 0.45, 0.07, 0.18], [0.1, 0.05, 0.6, 0.25], [0.55, 0.12, 0.18, 0.15]]),
+]
+_BEGIN, _NEXT = np.log([c[0] for c in _CHAINS]), np.log([c[1] for c in _CHAINS])
+#: How often a letter of ordinary prose is a vowel (aeiou) at the start of a run of letters, after a vowel, after a consonant.
+_VOWEL = (0.4, 0.3, 0.5)
+#: Log rate of a character within its class, or of a letter within vowels or consonants; digits and signs evenly.
 _WITHIN = np.zeros(128)
+#: 1 for vowels, 0 for consonants, -1 for all others.
+_KIND = np.full(128, -1, np.int64)
 #: Membership in the alphabets narrower than their classes: hex in either case, base32.
 _HEXES, _BASE32 = np.zeros((2, 128), bool), np.zeros(128, bool)
 for _c in range(128):
     _x = chr(_c)
     if _x in _SIGNS or _x.isalnum():
         _CLASS[_c] = 0 if _x.islower() else 1 if _x.isupper() else 2 if _x.isdigit() else 3
-        _WITHIN[_c] = math.log(_PROSE[_x.lower()] / sum(_PROSE.values()) if _x.isalpha() else 0.1 if _x.isdigit() else 0.2)
+        if _x.isalpha():
+            _KIND[_c] = _x.lower() in "aeiou"
+            _WITHIN[_c] = math.log(_PROSE[_x.lower()] / sum(v for k, v in _PROSE.items() if (k in "aeiou") == bool(_KIND[_c])))
+        else:
+            _WITHIN[_c] = math.log(0.1 if _x.isdigit() else 0.2)
     _HEXES[0, _c], _HEXES[1, _c], _BASE32[_c] = _x in "0123456789abcdef", _x in "0123456789ABCDEF", _x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -105,50 +119,73 @@ def battery(value: str, size: int) -> tuple[float, float, float]:
     return uneven, runs, serial
 
 
+#: Identifiers by their form, which are random by design and no secrets.
+_UUID = re.compile("[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
+#: What names are put together from; in a long name these are longer than chance makes them.
+_WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+
+
+def named(value: str) -> bool:
+    """Whether a stretch is an identifier by its form: a UUID, or 24 letters and digits or more, in both cases, in words of 2.5 characters on average (3.5 without digits)."""
+    if _UUID.fullmatch(value):
+        return True
+    return len(value) >= 24 and value.isalnum() and value.lower() != value != value.upper() and len(value) >= (3.5 if value.isalpha() else 2.5) * len(_WORD.findall(value))
+
+
 def stretches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every stretch of a text, trailing ``=`` left out, and a bound on the chance that ordinary text of its
-    length looks as random.
+    """Start and end of every stretch of a text, trailing ``=`` left out, and a p-value against the hypothesis of ordinary text.
 
-    A likelihood ratio of uniform symbols against ordinary text (words, numbers and signs in runs, letters at prose
-    rates): under that text it passes t with probability exp(-t) at most, whatever the length.
+    Each of the battery's three tests has a likelihood ratio of its own, random symbols against ordinary text: uniformity (letters at even
+    rather than at prose rates), runs (of classes of characters, against a chain) and serial correlation (of vowels and
+    consonants, against a chain). Factors that condition on each other in turn multiply to one likelihood ratio of the whole
+    stretch, whose chance of passing t under ordinary text is 1/t at most, at any length (Markov's
+    inequality): its inverse is the combined p-value. The ordinary text may be of any of the kinds in ``_CHAINS``: the least favourable counts.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.where(codes < 128, codes, 0).astype(np.int64)
     kind = _CLASS[codes]
     inside = np.r_[False, kind < 9, False]
     start, end = np.flatnonzero(~inside[:-1] & inside[1:]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    if len(start):
+        padding = np.r_[0, np.cumsum(codes != ord("="))]
+        body = np.maximum(np.searchsorted(padding, padding[end], "left"), start)  # just past the last other character
+        start, end = start[body > start], body[body > start]
     if not len(start):
         return start, end, np.zeros(0)
-    padding = np.r_[0, np.cumsum(codes != ord("="))]
-    body = np.searchsorted(padding, padding[end], "left")  # just past the last other character
-    body = np.maximum(body, start)
-    full = body > start
-    start, end = start[full], body[full]
-    if not len(start):
-        return start, end, np.zeros(0)
-    step = np.zeros(len(codes))
-    both = (kind[:-1] < 9) & (kind[1:] < 9)
-    step[1:][both] = _NEXT[kind[:-1][both], kind[1:][both]]
-    step += _WITHIN[codes]
-    step[start] = _BEGIN[kind[start]] + _WITHIN[codes[start]]
     summed = lambda x: (lambda c: c[end] - c[start])(np.concatenate([[0], np.cumsum(x)]))
-    n, ordinary = end - start, summed(step)
+    both = np.r_[False, (kind[:-1] < 9) & (kind[1:] < 9)]
+    both[start] = False
+    vowel = _KIND[codes]
+    after = np.where(both, np.r_[-1, vowel[:-1]], -1)  # what kind of letter is just before, in the same stretch
+    rate = np.where(after == 1, _VOWEL[1], np.where(after == 0, _VOWEL[2], _VOWEL[0]))
+    serial = np.where(vowel < 0, 0.0, np.log(np.where(vowel == 1, rate, 1 - rate)))
+    before = np.r_[0, kind[:-1]]
+    runs = np.full(len(start), -np.inf)
+    for begin, follow in zip(_BEGIN, _NEXT):
+        step = np.zeros(len(codes))
+        step[both] = follow[before[both], kind[both]]
+        step[start] = begin[kind[start]]
+        runs = np.maximum(runs, summed(step))
+    n, ordinary = end - start, runs + summed(serial) + summed(_WITHIN[codes])
     lower, upper, digit, sign = (summed(kind == k) > 0 for k in range(4))
     hexes = (summed(_HEXES[0][codes]) == n) | (summed(_HEXES[1][codes]) == n)
     size = np.select(
         [sign, digit & ~lower & ~upper, digit & hexes, ~digit & (lower ^ upper), ~lower & (summed(_BASE32[codes]) == n), ~digit, lower ^ upper],
         [64, 10, 16, 26, 32, 52, 36], 62,
     )
-    log = -n * np.log(size) - math.log(len(_SIZES)) - ordinary
+    prior = np.zeros(65)
+    prior[list(_PRIOR)] = np.log(list(_PRIOR.values()))
+    log = -n * np.log(size) + prior[size] - ordinary
     return start, end, np.exp(-np.maximum(log, 0.0))
 
 
-def random_spans(text: str, level: float = 1e-3, false_rate: float = 1e-3) -> list[tuple[int, int, str]]:
-    """Stretches that pass as random: the battery does not refuse them, and ordinary text is refused.
+def random_spans(text: str, level: float = 1e-3, false_rate: float = 0.02) -> list[tuple[int, int, str]]:
+    """Stretches that pass as random: the combined p-value refuses ordinary text, and the battery does not refuse randomness.
 
-    Refusing ordinary text is tested over all stretches of a document at once by the step-up procedure with
-    weights: a stretch's share of the false discovery rate is its share of the length. The battery is run on those
-    that some rank could pass; copies of a stretch have one rank.
+    All stretches of a document are tested at once by the step-up procedure with weights (a stretch's share of the false
+    discovery rate is its share of the length), so the rate is controlled in each document by itself: a
+    document's result depends on no other's. In the other direction, the three tests' p-values under uniform symbols
+    (``battery``, of the inferred encoding) must not refuse at ``level``; copies of a stretch have one rank. Identifiers by their form (``named``) are left alone.
     """
     start, end, p = stretches(text)
     weighted = p * np.sum(end - start) / ((end - start) * len(start))
@@ -157,7 +194,7 @@ def random_spans(text: str, level: float = 1e-3, false_rate: float = 1e-3) -> li
         found.setdefault(text[start[k] : end[k]], []).append(k)
     passed = []
     for value, places in found.items():
-        if min(1.0, 3 * min(battery(value, encoding(value)[1]))) >= level:
+        if not named(value) and min(1.0, 3 * min(battery(value, encoding(value)[1]))) >= level:
             passed.append((float(weighted[places[0]]), places))
     passed.sort()
     last = max((k for k, (q, _) in enumerate(passed, 1) if q <= false_rate * k / len(start)), default=0)
