@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 
 def _fraction(a: float, b: float, x: float) -> float:
@@ -92,3 +93,8 @@ def norm_ppf(q: float) -> float:
     if not 0 < q < 1:
         raise ValueError("q must lie strictly between 0 and 1")
     return _bisect(lambda v: norm_cdf(v) - q, -40.0, 40.0)
+
+
+def erf_vec(x: Sequence[float]) -> list[float]:
+    """The error function of each number."""
+    return [math.erf(v) for v in x]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
+import inspect
 import math
 import warnings
 from collections.abc import Sequence
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, clipped, expit, logit, pick
 from ..session import ship
-from .frame import Frame, S, W, Y, prefixed
+from .frame import MAX_POINTS, Frame, S, W, Y, merged, prefixed
 from .solvers import irls, isotonic_blocks, pava, root_1d, together
 
 
@@ -23,6 +25,30 @@ class Unattainable(ValueError):
     """A calibrated target that the map does not reach."""
 
 
+def _only_fitted(method):
+    @functools.wraps(method)
+    def checked(self, *args, **options):
+        self._check()
+        return method(self, *args, **options)
+
+    return checked
+
+
+def buffered(lo: float, hi: float, space: str, buffer_logit: float) -> tuple[float, float]:
+    """A calibrated interval, checked, and shrunk by a buffer on the log-odds scale; its open ends stay open."""
+    if space not in ("probability", "logit"):
+        raise ValueError("space is 'probability' or 'logit'")
+    if not 0 <= lo <= hi <= 1:
+        raise ValueError("0 <= lo <= hi <= 1 is needed")
+    if buffer_logit < 0:
+        raise ValueError("the buffer can't be negative")
+    if buffer_logit:
+        lo, hi = (_sigma(_logit(lo) + buffer_logit) if lo > 0 else lo), (_sigma(_logit(hi) - buffer_logit) if hi < 1 else hi)
+        if lo > hi:
+            raise Unattainable("the buffer leaves nothing of the interval")
+    return lo, hi
+
+
 def lookup(xs: np.ndarray, ys: np.ndarray, linear: bool = False):
     """Column function: the step (value of the last x not above) or the line through (xs, ys), clamped at both ends."""
     xs, ys = np.asarray(xs, float), np.asarray(ys, float)
@@ -45,6 +71,45 @@ class Calibrator:
     monotone = True
     fitted = False
 
+    def __new__(cls, *args, **options):
+        out = super().__new__(cls)
+        try:
+            bound = inspect.signature(cls.__init__).bind(out, *args, **options)
+        except TypeError:  # made anew by pickle, which fills in the state itself
+            return out
+        bound.apply_defaults()
+        out._options = {k: v for k, v in bound.arguments.items() if k not in ("self", "args", "kwargs")}
+        return out
+
+    def __init_subclass__(cls, **options):
+        super().__init_subclass__(**options)
+        for name in ("predict", "predict_interval"):
+            if name in cls.__dict__:
+                setattr(cls, name, _only_fitted(cls.__dict__[name]))
+
+    def get_params(self) -> dict:
+        """The parameters it was made with."""
+        return dict(self._options)
+
+    def set_params(self, **options) -> Calibrator:
+        """Make it anew, unfitted, with some parameters changed."""
+        unknown = set(options) - set(self._options)
+        if unknown:
+            raise ValueError(f"unknown parameters {sorted(unknown)}; there are {sorted(self._options)}")
+        fresh = type(self)(**{**self._options, **options})
+        self.__dict__.clear()
+        self.__dict__.update(fresh.__dict__)
+        return self
+
+    def clone(self) -> Calibrator:
+        """An unfitted one with the same parameters."""
+        return type(self)(**self._options)
+
+    def predict_proba_2d(self, score: Column) -> Column:
+        """The probabilities of both outcomes, as an array."""
+        p = self.predict(score)
+        return F.array(1 - p, p)
+
     def fit(self, frame: Frame) -> Calibrator:
         ship(frame.df.sparkSession)
         self._fit(frame)
@@ -102,16 +167,7 @@ class Calibrator:
         self._check()
         if not self.monotone:
             raise NotImplementedError("the map is not monotone")
-        if space not in ("probability", "logit"):
-            raise ValueError("space is 'probability' or 'logit'")
-        if not 0 <= lo <= hi <= 1:
-            raise ValueError("0 <= lo <= hi <= 1 is needed")
-        if buffer_logit < 0:
-            raise ValueError("the buffer can't be negative")
-        if buffer_logit:
-            lo, hi = (_sigma(_logit(lo) + buffer_logit) if lo > 0 else lo), (_sigma(_logit(hi) - buffer_logit) if hi < 1 else hi)
-            if lo > hi:
-                raise Unattainable("the buffer leaves nothing of the interval")
+        lo, hi = buffered(lo, hi, space, buffer_logit)
         low, high = self.span()
         if hi < low or lo > high:
             raise Unattainable(f"[{lo}, {hi}] does not intersect the map's range [{low}, {high}]")
@@ -373,21 +429,11 @@ class BBQ(Calibrator):
         low = self.low or 2
         high = max(self.high or min(50, math.ceil(math.sqrt(n))), low)
         levels = sorted({k / b for b in range(low, high + 1) for k in range(1, b)})
-        at = dict(zip(levels, f.df.agg(F.percentile("s", F.array(*[F.lit(v) for v in levels]))).first()[0]))
+        at = dict(zip(levels, f.quantiles(levels)))
         self.edges = [np.unique([at[k / b] for k in range(1, b)]) for b in range(low, high + 1)]
-        pooled = f.df.groupBy("s").agg(F.sum("w").alias("w"), F.sum(W() * Y()).alias("wy"))
-        every = self.edges
-
-        def run(batches):
-            for t in batches:
-                for m, e in enumerate(every):
-                    where = np.searchsorted(e, t["s"], "right")
-                    yield pd.DataFrame({"m": m, "b": np.arange(len(e) + 1), "w": np.bincount(where, t["w"], len(e) + 1), "wy": np.bincount(where, t["wy"], len(e) + 1)})
-
-        rows = pooled.mapInPandas(run, "m int, b int, w double, wy double").groupBy("m", "b").agg(F.sum("w").alias("w"), F.sum("wy").alias("k")).collect()
-        n_, k_ = [np.zeros(len(e) + 1) for e in every], [np.zeros(len(e) + 1) for e in every]
-        for r in rows:
-            n_[r["m"]][r["b"]], k_[r["m"]][r["b"]] = r["w"], r["k"]
+        every = np.unique(list(at.values()))
+        cells = f.cells(every)
+        n_, k_ = zip(*[merged(every, e, (cells[0], cells[2])) for e in self.edges])
         g = math.lgamma
         half = 2 * g(0.5) - g(1.0)
         log = np.array([sum(g(k + 0.5) + g(m - k + 0.5) - g(m + 1) - half for m, k in zip(ns, ks)) for ns, ks in zip(n_, k_)])
@@ -470,12 +516,13 @@ class CenteredIsotonic(Isotonic):
 class VennAbers(Calibrator):
     """Inductive Venn-Abers: isotonic values at a new score labelled 0 and labelled 1, by tangents between two lower hulls.
 
-    Rows in the order of (score, row_id) go to the driver (``Frame.pooled`` bounds their distinct scores); ties are not pooled."""
+    Rows in the order of (score, row_id) go to the driver (``MAX_POINTS`` of them at most); ties are not pooled."""
 
     rank = 60.0
 
     def _fit(self, f):
-        f.pooled()  # refuses tables with too many distinct scores
+        if f.df.count() > MAX_POINTS:
+            raise ValueError(f"more than {MAX_POINTS} rows, which must be in order on one machine; fit on a sample")
         got = f.df.orderBy("s", *(["row_id"] if "row_id" in f.df.columns else [])).select("s", "y", "w").toPandas()
         self.s = got["s"].to_numpy(float)
         w, y = got["w"].to_numpy(float), got["y"].to_numpy(float)
@@ -682,13 +729,16 @@ class Spline(Calibrator):
         k = self.n_knots or int(np.clip(math.ceil(n ** (1 / 3)), 4, 12))
         z = Frame(f.df.withColumn("z", logit(S())))
         inner = [j / (k - 1) for j in range(k)]
-        self.knots = np.unique(z.df.agg(F.percentile("z", F.array(*[F.lit(v) for v in inner]))).first()[0])
+        self.knots = np.unique(z.quantiles(inner, "z"))
         if len(self.knots) < 3:
             raise ValueError("at least three distinct knots are needed")
         grid = np.asarray(self.lambdas if self.lambdas is not None else np.logspace(-4, 4, 17))
         # ties pooled by fold: the fits of all penalties and folds need these sums only
         dealt = folds(f.df, self.cv, self.seed) if "row_id" in f.df.columns else f.df.withColumn("fold", F.lit(0))
-        rows = dealt.groupBy("fold", "s").agg(F.sum("w").alias("w"), F.sum(W() * Y()).alias("wy")).orderBy("s", "fold").toPandas()
+        dealt = dealt.groupBy("fold", "s").agg(F.sum("w").alias("w"), F.sum(W() * Y()).alias("wy"))
+        if dealt.count() > MAX_POINTS:
+            raise ValueError(f"more than {MAX_POINTS} distinct pairs of fold and score; round the scores first")
+        rows = dealt.orderBy("s", "fold").toPandas()
         s = rows["s"].to_numpy(float)
         x, w, wy, fold = self.basis(np.log(s) - np.log1p(-s)), rows["w"].to_numpy(float), rows["wy"].to_numpy(float), rows["fold"].to_numpy()
         diff = np.diff(np.eye(x.shape[1]), 2, axis=0)

@@ -83,8 +83,61 @@ class Frame:
             raise ValueError("strategy is 'mass' or 'width'")
         if bins < 2:
             return []
-        found = self.df.agg(F.percentile(column, F.array(*[F.lit(k / bins) for k in range(1, bins)]))).first()[0]
-        return sorted(set(found))
+        return sorted(set(self.quantiles([k / bins for k in range(1, bins)], column)))
+
+    def quantiles(self, levels: Sequence[float], column: str = "s") -> list[float]:
+        """Exact quantiles, linear between the two rows around a level.
+
+        Rows are counted by value, counts by a thousand ranges of values give each range its first rank, and only ranges that hold
+        a wanted rank are put in order, each in its own task; so no task holds all values."""
+        counts = self.df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+        span = self.df.agg(F.min(column), F.max(column)).first()
+        low, width = span[0], (span[1] - span[0]) / 1024
+        where = F.least(F.floor((F.col("v") - low) / width), F.lit(1023)) if width > 0 else F.lit(0).cast("long")
+        counts = counts.withColumn("bucket", where)
+        totals = {r["bucket"]: r["n"] for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+        buckets = np.array(sorted(totals))
+        ends = np.cumsum([totals[b] for b in buckets])
+        at = np.asarray(levels, float) * (ends[-1] - 1)
+        ranks = np.unique(np.r_[np.floor(at), np.ceil(at)].astype(np.int64))
+        own = np.searchsorted(ends, ranks, "right")
+        asked: dict[int, list[int]] = {}
+        for rank, k in zip(ranks.tolist(), own.tolist()):
+            asked.setdefault(int(buckets[k]), []).append(rank - int(ends[k - 1] if k else 0))
+
+        def pick(batches):
+            import pandas as pd
+
+            held: dict[int, list] = {}
+            for t in batches:
+                for b, part in t.groupby("bucket"):
+                    held.setdefault(int(b), []).append(part)
+            for b, parts in held.items():
+                part = pd.concat(parts).sort_values("v")
+                upto = part["n"].cumsum().to_numpy()
+                yield pd.DataFrame({"bucket": b, "rank": asked[b], "v": part["v"].to_numpy()[np.searchsorted(upto, asked[b], "right")]})
+
+        wanted = counts.where(F.col("bucket").isin(list(asked))).repartition("bucket")
+        rows = wanted.mapInPandas(pick, "bucket long, rank long, v double").collect()  # one row for each wanted rank
+        first = {int(b): int(e - totals[b]) for b, e in zip(buckets, ends)}
+        value = {first[r["bucket"]] + r["rank"]: r["v"] for r in rows}
+        lo, hi = np.floor(at).astype(np.int64).tolist(), np.ceil(at).astype(np.int64).tolist()
+        return [value[i] if i == j else (j - x) * value[i] + (x - i) * value[j] for x, i, j in zip(at.tolist(), lo, hi)]
+
+    def cells(self, edges: Sequence[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of w, w s and w y between neighbouring edges (right-closed lookup): one aggregate for any number of edges."""
+        edges = np.asarray(edges, float)
+
+        def run(batches):
+            for t in batches:
+                yield t.assign(cell=np.searchsorted(edges, t["s"], "right"))[["cell", "w", "ws", "wy"]]
+
+        pooled = self.df.groupBy("s").agg(F.sum("w").alias("w"), F.sum(W() * S()).alias("ws"), F.sum(W() * Y()).alias("wy"))
+        rows = pooled.mapInPandas(run, "cell int, w double, ws double, wy double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("w", "ws", "wy")]).collect()
+        out = np.zeros((3, len(edges) + 1))
+        for r in rows:
+            out[:, r["cell"]] = r["w"], r["ws"], r["wy"]
+        return out[0], out[1], out[2]
 
     def pooled(self) -> dict[str, np.ndarray]:
         """Distinct scores in order with counts, weights, weighted outcomes and plain outcomes: what sequential fits need.
@@ -95,3 +148,9 @@ class Frame:
             raise ValueError(f"more than {MAX_POINTS} distinct scores; round them first")
         got = rows.orderBy("s").toPandas()
         return {c: got[c].to_numpy(float) for c in got.columns}
+
+
+def merged(edges: np.ndarray, some: np.ndarray, sums: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Sums over cells between ``edges``, added up to the bins between ``some`` of them."""
+    starts = np.r_[0, np.searchsorted(edges, some) + 1]
+    return [np.add.reduceat(np.r_[x, 0.0], starts) for x in sums]

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.exprs import bin_index, logit, softplus, traffic_light, wilson
-from .frame import Frame, S, W, Y, prefixed
+from .frame import Frame, S, W, Y, merged, prefixed
 from .kernel import skce, skce_linear, skce_test  # noqa: F401
-from .solvers import irls, loess, together
+from .solvers import irls, loess, repeated_quantiles, together
 
 
 
@@ -78,31 +78,20 @@ adaptive_ece = ece
 def ece_sweep(f: Frame, most: int = 100) -> DataFrame:
     """ECE at the largest number of equal-mass bins whose event rates do not fall.
 
-    All edges come from one percentile call; distinct scores are binned on the executors for all counts of bins at once."""
+    The edges of all counts of bins are found together, one aggregate sums between neighbours of them, and every
+    binning adds up such cells."""
     most = min(f.df.count(), most)
     levels = sorted({k / b for b in range(2, most + 1) for k in range(1, b)})
-    got = f.df.agg(F.percentile("s", F.array(*[F.lit(v) for v in levels]))).first()[0] if levels else []
-    at = dict(zip(levels, got))
-    edges = {b: np.unique([at[k / b] for k in range(1, b)]) for b in range(2, most + 1)}
-    pooled = f.df.groupBy("s").agg(F.sum("w").alias("w"), F.sum(W() * S()).alias("ws"), F.sum(W() * Y()).alias("wy"))
-
-    def run(batches):
-        import pandas as pd
-
-        for t in batches:
-            parts = []
-            for b, e in edges.items():
-                where = np.searchsorted(e, t["s"], "right")
-                parts.append(pd.DataFrame({"b": b, "bin": where, "w": t["w"], "ws": t["ws"], "wy": t["wy"]}).groupby(["b", "bin"], as_index=False).sum())
-            if parts:
-                yield pd.concat(parts)
-
-    per_bin = pooled.mapInPandas(run, "b int, bin int, w double, ws double, wy double").groupBy("b", "bin").agg(*[F.sum(c).alias(c) for c in ("w", "ws", "wy")])
-    rate = F.col("wy") / F.col("w")
-    per_bin = per_bin.withColumn("fall", rate < F.lag(rate).over(Window.partitionBy("b").orderBy("bin")))
-    per_b = per_bin.groupBy("b").agg(F.max(F.coalesce("fall", F.lit(False))).alias("falls"), (F.sum(F.abs(F.col("ws") - F.col("wy"))) / F.sum("w")).alias("ece")).where("not falls")
-    one = f.df.agg(F.lit(1).alias("b"), F.abs(mean(S()) - mean(Y())).alias("ece"))
-    return per_b.select("b", "ece").unionByName(one).agg(F.max_by("ece", "b").alias("ece"), F.max("b").cast("int").alias("bins"))
+    at = dict(zip(levels, f.quantiles(levels))) if levels else {}
+    every = np.unique(list(at.values()))
+    cells = f.cells(every)
+    best = (abs(cells[1].sum() - cells[2].sum()) / cells[0].sum(), 1)
+    for b in range(2, most + 1):
+        w, ws, wy = merged(every, np.unique([at[k / b] for k in range(1, b)]), cells)
+        some = w > 0
+        if (np.diff(wy[some] / w[some]) >= 0).all():
+            best = (float(np.abs(ws - wy).sum() / w.sum()), b)
+    return f.df.sparkSession.createDataFrame([(float(best[0]), best[1])], "ece double, bins int")
 
 
 def hosmer_lemeshow(f: Frame, groups: int = 10) -> dict[str, float]:
@@ -154,8 +143,7 @@ def spiegelhalter(f: Frame) -> dict[str, float]:
 
 def _smoothed(f: Frame, frac: float = 0.75, grid: int | None = 512) -> tuple[dict, np.ndarray]:
     p = f.pooled()
-    n = p["n"].astype(int)
-    return p, loess(np.repeat(p["s"], n), np.repeat(p["k"] / p["n"], n), p["s"], frac, grid=grid, weights_of=n)
+    return p, loess(p["s"], p["n"], p["k"], p["s"], frac, grid=grid, weights_of=p["n"])
 
 
 def ici_family(f: Frame, frac: float = 0.75, grid: int | None = 512) -> dict[str, float]:
@@ -165,7 +153,7 @@ def ici_family(f: Frame, frac: float = 0.75, grid: int | None = 512) -> dict[str
     apart = np.abs(smooth - p["s"])
     out = {"ici": float(np.average(apart, weights=p["w"])), "emax": float(apart.max())}
     for name, q in (("e50", 0.5), ("e90", 0.9)):
-        out[name] = float(np.quantile(np.repeat(apart, p["n"].astype(int)), q)) if not f.weighted else weighted_quantile(apart, q, p["w"])
+        out[name] = float(repeated_quantiles(apart, p["n"], [q])[0]) if not f.weighted else weighted_quantile(apart, q, p["w"])
     return out
 
 
@@ -322,11 +310,9 @@ def reliability(f: Frame, n_bins: int = 10, strategy: str = "mass") -> DataFrame
 
 
 def reliability_loess(f: Frame, points: int = 100, frac: float = 0.75) -> list[tuple[float, float]]:
-    lo, hi = f.df.agg(F.percentile("s", F.array(F.lit(0.005), F.lit(0.995)))).first()[0]
     p = f.pooled()
-    n = p["n"].astype(int)
-    at = np.linspace(lo, hi, points)
-    return list(zip(at.tolist(), np.clip(loess(np.repeat(p["s"], n), np.repeat(p["k"] / p["n"], n), at, frac), 0, 1).tolist()))
+    at = np.linspace(*repeated_quantiles(p["s"], p["n"], [0.005, 0.995]), points)
+    return list(zip(at.tolist(), np.clip(loess(p["s"], p["n"], p["k"], at, frac), 0, 1).tolist()))
 
 
 def belt(f: Frame, confidence: Sequence[float] = (0.8, 0.95), points: int = 100, highest: int = 4) -> dict:
@@ -341,7 +327,7 @@ def belt(f: Frame, confidence: Sequence[float] = (0.8, 0.95), points: int = 100,
             break
         fit, degree = more, degree + 1
     null = f.df.agg(F.sum(W() * (softplus(z) - Y() * z))).first()[0]
-    lo, hi = f.df.agg(F.percentile("s", F.array(F.lit(0.005), F.lit(0.995)))).first()[0]
+    lo, hi = f.quantiles([0.005, 0.995])
     grid = np.linspace(lo, hi, points)
     x = np.vander(np.log(grid) - np.log1p(-grid), degree + 1, increasing=True)
     eta, cov = x @ fit.beta, np.linalg.inv(fit.hessian + 1e-10 * np.eye(degree + 1))

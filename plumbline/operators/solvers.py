@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -136,32 +137,98 @@ def isotonic_blocks(df: DataFrame) -> np.ndarray:
     return pava(*got.T) if len(got) else got
 
 
-def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, frac: float = 0.75, degree: int = 1, grid: int | None = None, weights_of: np.ndarray | None = None) -> np.ndarray:
-    """Local regression of sorted x, tricube weights over the nearest share of the rows, the leftmost window of least width.
-
-    Over more than ``grid`` places only that many quantiles are fitted, and the rest interpolated."""
-    n = len(x)
-    r = min(max(int(np.ceil(frac * n)), degree + 1), n)
-    places = at if weights_of is None else np.repeat(at, weights_of)
-    if grid and len(places) > grid:
-        anchors = np.unique(np.quantile(places, np.linspace(0, 1, grid)))
-        return np.interp(at, anchors, loess(x, y, anchors, frac, degree))
-    starts = np.searchsorted(x[r:] + x[: n - r], 2 * at, "left") if r < n else np.zeros(len(at), int)
+def repeated_quantiles(x: np.ndarray, counts: np.ndarray, levels: Sequence[float]) -> np.ndarray:
+    """Quantiles of values that stand for several rows each, linear between neighbouring rows."""
+    order = np.argsort(x, kind="stable")
+    x, upto = x[order], np.cumsum(counts[order])
+    at = np.asarray(levels, float) * (upto[-1] - 1)
+    low, high = (x[np.minimum(np.searchsorted(upto, r, "right"), len(x) - 1)] for r in (np.floor(at), np.ceil(at)))
+    return low + (high - low) * (at - np.floor(at))
+
+
+#: The tricube weight (1 - u^3)^3 by powers of u.
+_TRICUBE = ((0, 1.0), (3, -3.0), (6, 3.0), (9, -1.0))
+
+
+def loess(x: np.ndarray, n: np.ndarray, k: np.ndarray, at: np.ndarray, frac: float = 0.75, degree: int = 1, grid: int | None = None, weights_of: np.ndarray | None = None) -> np.ndarray:
+    """Local regression of outcomes on scores: distinct scores in order, rows and events of each; tricube weights over the nearest
+    share of the rows, the leftmost window of least width. Rows of one score have its event rate.
+
+    Over more than ``grid`` places only that many quantiles are fitted, and the rest interpolated. On each side of a place the
+    weight is a polynomial in the distance, so its sums come from prefix sums of powers about a centre nearby: the cost is that
+    of the scores, not of scores times places."""
+    rows = float(n.sum())
+    r = min(max(np.ceil(frac * rows), degree + 1), rows)
+    if grid and (len(at) if weights_of is None else weights_of.sum()) > grid:
+        levels = np.linspace(0, 1, grid)
+        anchors = np.unique(np.quantile(at, levels) if weights_of is None else repeated_quantiles(at, weights_of, levels))
+        return np.interp(at, anchors, loess(x, n, k, anchors, frac, degree))
+    upto = np.cumsum(n)
+    row = lambda i: x[np.minimum(np.searchsorted(upto, i, "right"), len(x) - 1)]
+    # the window from row i ends at i + r - 1; it moves right while the score after it is nearer than its first one
+    steps = np.unique(np.r_[0.0, upto, upto - r])
+    steps = steps[(steps >= 0) & (steps < rows - r)]
+    first = np.zeros(len(at)) if not len(steps) else np.r_[steps, rows - r][np.searchsorted(row(steps) + row(steps + r), 2 * at, "left")]
+    lo, hi = np.searchsorted(upto, first, "right"), np.searchsorted(upto, first + r - 1, "right")
+    hi = np.minimum(hi, len(x) - 1)
+    h = np.maximum(at - x[lo], x[hi] - at)
     out = np.empty(len(at))
-    for k, (x0, i) in enumerate(zip(at, starts)):
-        xs, ys = x[i : i + r], y[i : i + r]
-        h = max(x0 - xs[0], xs[-1] - x0)
-        if h <= 0:
-            out[k] = ys.mean()
-            continue
-        u = np.abs(xs - x0) / h
-        w = np.clip(1 - u**3, 0, None) ** 3
-        d = xs - x0
-        s0, sy = w.sum(), w @ ys
+    for j in np.flatnonzero(h <= 0):
+        part = slice(lo[j], hi[j] + 1)
+        out[j] = k[part].sum() / n[part].sum()
+    todo = np.flatnonzero(h > 0)
+    todo = todo[np.argsort(at[todo], kind="stable")]
+    start = 0
+    while start < len(todo):
+        centre = at[todo[start]] + h[todo[start]] / 2
+        rest, own = at[todo[start:]], h[todo[start:]]
+        end = start + int(np.argmax(np.r_[(np.abs(rest - centre) > own / 2 * (1 + 1e-9)) | (own > 2 * own[0]) | (own < own[0] / 2), True]))
+        mine = todo[start : max(end, start + 1)]
+        start += len(mine)
+        a, b = int(lo[mine].min()), int(hi[mine].max()) + 1
+        scale = float(h[mine].max())
+        t = (x[a:b] - centre) / scale
+        powers = np.ones_like(t)
+        sums_n, sums_k = [], []
+        for _ in range(12):
+            sums_n.append(np.r_[0.0, np.cumsum(n[a:b] * powers)])
+            sums_k.append(np.r_[0.0, np.cumsum(k[a:b] * powers)])
+            powers = powers * t
+        c, width = (at[mine] - centre) / scale, h[mine] / scale
+        middle = np.searchsorted(x, at[mine], "left") - a
+        left, right = np.maximum(np.searchsorted(x, at[mine] - h[mine], "left"), lo[mine]) - a, np.minimum(np.searchsorted(x, at[mine] + h[mine], "right"), hi[mine] + 1) - a
+        middle = np.clip(middle, left, right)
+
+        def moment(sums, power, low, high):
+            """Sum of ((x - at) / h)^power over scores of a range, by the binomial theorem."""
+            total = np.zeros(len(mine))
+            for q in range(power + 1):
+                total += math.comb(power, q) * (sums[q][high] - sums[q][low]) * (-c) ** (power - q)
+            return total / width**power
+
+        cells = {}
+        for name, sums, most in (("n", sums_n, 2), ("k", sums_k, 1)):
+            for p in range(most + 1):
+                cells[name, p] = sum(f * ((-1.0) ** e * moment(sums, e + p, left, middle) + moment(sums, e + p, middle, right)) for e, f in _TRICUBE)
+        s0, s1, s2, sy, sxy = cells["n", 0], cells["n", 1], cells["n", 2], cells["k", 0], cells["k", 1]
         if degree == 0:
-            out[k] = sy / max(s0, 1e-300)
+            out[mine] = sy / np.maximum(s0, 1e-300)
             continue
-        s1, s2, sxy = w @ d, w @ (d * d), w @ (d * ys)
         det = s0 * s2 - s1 * s1
-        out[k] = (s2 * sy - s1 * sxy) / det if det >= 1e-300 else sy / s0
+        fine = det > 1e-10 * s0 * s0
+        value = np.where(fine, (s2 * sy - s1 * sxy) / np.where(fine, det, 1.0), sy / np.maximum(s0, 1e-300))
+        for j in np.flatnonzero(~fine | ~(s0 > 1e-6)):  # nearly one score, or nearly no weight: term by term
+            value[j] = _one_place(x[a:b][left[j] : right[j]], n[a:b][left[j] : right[j]], k[a:b][left[j] : right[j]], float(at[mine[j]]), float(h[mine[j]]))
+        out[mine] = value
     return out
+
+
+def _one_place(x: np.ndarray, n: np.ndarray, k: np.ndarray, x0: float, h: float) -> float:
+    d = x - x0
+    w = np.clip(1 - (np.abs(d) / h) ** 3, 0, None) ** 3
+    w[np.abs(d) >= h * (1 - 1e-12)] = 0.0
+    if not w.any():  # all rows of the window lie at its border
+        return float(k.sum() / n.sum())
+    s0, s1, s2, sy, sxy = (w * n).sum(), (w * n * d).sum(), (w * n * d * d).sum(), (w * k).sum(), (w * k * d).sum()
+    det = s0 * s2 - s1 * s1
+    return float((s2 * sy - s1 * sxy) / det if det > 1e-12 * s0 * s2 else sy / s0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from datetime import datetime, timezone
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, clipped, expit, logit
 from . import metrics
-from .calibrators import BBQ, Beta, Calibrator, CenteredIsotonic, Histogram, Isotonic, Platt, ScalingBinning, Temperature, VennAbers, _logit, _sigma, folds
+from .calibrators import BBQ, Beta, Calibrator, CenteredIsotonic, Histogram, Isotonic, Platt, ScalingBinning, Temperature, VennAbers, _logit, _sigma, buffered, folds
 from .frame import Frame, S, prefixed
 from .solvers import irls, root_1d, together
 
@@ -37,14 +38,32 @@ class LogitOffset:
         if self.target is not None:
             self.delta = root_1d(value, 0.0, -40.0, 40.0)
         self.before, self.after = f.df.agg(metrics.mean(S()), metrics.mean(self.predict(S()))).first()
+        self.fitted_at = datetime.now(timezone.utc).isoformat()
         return self
 
     def predict(self, p: Column) -> Column:
         return expit(logit(p) + F.lit(float(self.delta)))
 
-    def interval_inverse(self, lo: float, hi: float, space: str = "probability") -> tuple[float, float]:
-        if space not in ("probability", "logit"):
-            raise ValueError("space is 'probability' or 'logit'")
+    def _check(self) -> None:
+        if not hasattr(self, "before"):
+            raise RuntimeError("LogitOffset has not been fitted")
+
+    def affine(self) -> tuple[float, float]:
+        return 1.0, float(self.delta)
+
+    def interpret(self, spark: SparkSession) -> DataFrame:
+        self._check()
+        messages = [
+            f"all odds are multiplied by {np.exp(self.delta):.6g}", f"the mean moves from {self.before:.6g} to {self.after:.6g}",
+            "a correction of the base rate; the order of the scores stays",
+        ]
+        rows = [("LogitOffset", "delta", float(self.delta), None)] + [("LogitOffset", None, None, m) for m in messages]
+        return spark.createDataFrame(rows, "method string, parameter string, value double, message string")
+
+    def interval_inverse(self, lo: float, hi: float, space: str = "probability", buffer_logit: float = 0.0) -> tuple[float, float]:
+        """Raw interval of a calibrated one; every target is attainable unless a buffer empties the interval."""
+        self._check()
+        lo, hi = buffered(lo, hi, space, buffer_logit)
         z = [-np.inf if lo <= 0 else _logit(lo) - self.delta, np.inf if hi >= 1 else _logit(hi) - self.delta]
         return tuple(z) if space == "logit" else (0.0 if lo <= 0 else _sigma(z[0]), 1.0 if hi >= 1 else _sigma(z[1]))
 
@@ -57,9 +76,16 @@ class LogitOffset:
         return {"delta": self.delta, "pre_mean": self.before, "post_mean": self.after} | {f"{name}_{k}": v for name, got in both for k, v in got.items()}
 
 
-def bands_to_raw(model: Calibrator, bands: DataFrame) -> DataFrame:
+def interval_to_raw(model, lo: float, hi: float, space: str = "probability", buffer_logit: float = 0.0) -> tuple[float, float]:
+    """Raw interval of a calibrated one, by anything that has an ``interval_inverse``: a map, an offset, a wrapped model."""
+    if not callable(getattr(model, "interval_inverse", None)):
+        raise TypeError(f"{type(model).__name__} has no interval_inverse")
+    return tuple(map(float, model.interval_inverse(lo, hi, space=space, buffer_logit=buffer_logit)))
+
+
+def bands_to_raw(model, bands: DataFrame, space: str = "probability", buffer_logit: float = 0.0) -> DataFrame:
     """Masterscale (grade, lo, hi) on the calibrated scale with the raw interval of each grade; one row for each grade."""
-    rows = [(r["grade"], r["lo"], r["hi"], *map(float, model.interval_inverse(r["lo"], r["hi"]))) for r in bands.orderBy("lo").collect()]
+    rows = [(r["grade"], r["lo"], r["hi"], *interval_to_raw(model, r["lo"], r["hi"], space, buffer_logit)) for r in bands.orderBy("lo").collect()]
     return bands.sparkSession.createDataFrame(rows, "grade string, lo double, hi double, raw_lo double, raw_hi double")
 
 
@@ -81,7 +107,7 @@ SCORING: dict[str, Callable[[Frame], float]] = {k: (lambda f, k=k: metrics.evalu
 
 
 def default_menu() -> dict[str, Callable[[], Calibrator]]:
-    return {"temperature": Temperature, "platt": Platt, "beta": Beta, "scaling_binning": ScalingBinning, "histogram": Histogram, "bbq": BBQ, "isotonic": Isotonic, "cir": CenteredIsotonic, "ivap": VennAbers}
+    return {"temperature": Temperature, "platt": Platt, "beta": Beta, "scaling_binning": ScalingBinning, "histogram": Histogram, "isotonic": Isotonic, "cir": CenteredIsotonic, "ivap": VennAbers}
 
 
 def select(f: Frame, candidates: Mapping[str, Callable[[], Calibrator]] | None = None, scoring: str = "log_loss", cv: int = 5, seed: int = 42):
@@ -109,6 +135,8 @@ def select(f: Frame, candidates: Mapping[str, Callable[[], Calibrator]] | None =
     best = min(report, key=lambda r: r["mean"])
     fair = [r for r in report if r["mean"] <= best["mean"] + best["sd"] / np.sqrt(cv)]
     chosen = min(fair, key=lambda r: (r["rank"], r["mean"]))["method"]
+    for place, r in enumerate(sorted(report, key=lambda r: r["mean"]), 1):
+        r["place"], r["chosen"] = place, r["method"] == chosen
     return sorted(report, key=lambda r: r["mean"]), menu[chosen]().fit(f), chosen
 
 
@@ -193,6 +221,29 @@ class CalibratedModel:
         self.offsets.append(LogitOffset(delta, target_mean).fit(now))
         return self
 
+    def _check(self) -> None:
+        if not hasattr(self, "models"):
+            raise RuntimeError("CalibratedModel has not been fitted")
+
+    def predict_proba_2d(self, score: Column | None = None) -> Column:
+        p = self.predict(score)
+        return F.array(1 - p, p)
+
+    def interval_inverse(self, lo: float, hi: float, space: str = "probability", buffer_logit: float = 0.0) -> tuple[float, float]:
+        """Model scores whose final values lie in [lo, hi]: the buffer first, then the offsets, then the calibrator's inverse."""
+        self._check()
+        if len(self.models) > 1:
+            raise NotImplementedError("an ensemble has no single inverse")
+        lo, hi = buffered(lo, hi, space, buffer_logit)
+        delta = sum(o.delta for o in self.offsets)
+        lo, hi = (_sigma(_logit(lo) - delta) if lo > 0 else lo), (_sigma(_logit(hi) - delta) if hi < 1 else hi)
+        return self.models[0].interval_inverse(lo, hi, space)
+
+    def interpret(self, spark: SparkSession) -> DataFrame:
+        """Parameters and readings of the calibrator (of each member) and of every offset, in the order of application."""
+        self._check()
+        return _stacked([part.interpret(spark).withColumn("stage", F.lit(k)) for k, part in enumerate([*self.models, *self.offsets])])
+
     @property
     def monotone(self) -> bool:
         return all(m.monotone for m in self.models)
@@ -203,6 +254,20 @@ class CalibratedModel:
         return ab[0], ab[1] + sum(o.delta for o in self.offsets)
 
 
+def explanation(values, base_values, row_id: str = "row_id", spark: SparkSession | None = None) -> DataFrame:
+    """row_id, phi, base of an explanation object's arrays (``values`` of rows by features, ``base_values`` of rows or one number)."""
+    values = np.atleast_2d(np.asarray(values, float))
+    base = np.broadcast_to(np.asarray(base_values, float).reshape(-1), (len(values),))
+    spark = spark or SparkSession.getActiveSession()
+    rows = [(i, v.tolist(), float(b)) for i, (v, b) in enumerate(zip(values, base))]
+    return spark.createDataFrame(rows, f"`{row_id}` long, phi array<double>, base double")
+
+
+def reconstruction_error(df: DataFrame) -> float:
+    """How far adjusted attributions and base miss their target at most."""
+    return df.agg(F.max(F.abs(F.col("base_adj") + F.aggregate("phi_adj", F.lit(0.0), lambda a, v: a + v) - F.col("target")))).first()[0] or 0.0
+
+
 def adjust_attributions(df: DataFrame, model: Calibrator, phi: str = "phi", base: str = "base", scale: str = "logit", method: str = "auto") -> DataFrame:
     """Additive attributions moved to the calibrated scale: columns phi_adj, base_adj, target, with sum(phi_adj) + base_adj = target.
 
@@ -226,6 +291,29 @@ def adjust_attributions(df: DataFrame, model: Calibrator, phi: str = "phi", base
     return out.withColumn("base_adj", F.col("target") - F.aggregate("phi_adj", F.lit(0.0), lambda a, v: a + v)).drop("_factor")
 
 
+def comparison(before: Frame, after: Frame, n_bins: int = 10, strategy: str = "mass", labels: Sequence[str] = ("before", "after")) -> DataFrame:
+    """Plot data: reliability bins of two frames, one below the other with their panel's name."""
+    return _stacked([metrics.reliability(f, n_bins, strategy).withColumn("panel", F.lit(name)) for f, name in zip((before, after), labels)])
+
+
+def interval_widths(model, df: DataFrame, score: str = "s") -> DataFrame:
+    """Plot data: the interval (p0, p1) of each score, its merged value and its width; ``model`` has a ``predict_interval``."""
+    rows = df.withColumn("_i", model.predict_interval(clipped(F.col(score)))).select(F.col(score).alias("s"), "_i.p0", "_i.p1")
+    return rows.withColumn("p", F.col("p1") / (1 - F.col("p0") + F.col("p1"))).withColumn("width", F.col("p1") - F.col("p0"))
+
+
+def selection_points(spark: SparkSession, report: Sequence[Mapping], chosen: str) -> DataFrame:
+    """Plot data: candidates by rank of their mean score, with the spread over folds, whether they pass the guardrails and which was chosen."""
+    rows = [(k, r["method"], r["mean"], r["sd"], r["guardrails_ok"], r["method"] == chosen) for k, r in enumerate(sorted(report, key=lambda r: r["mean"]))]
+    return spark.createDataFrame(rows, "place int, method string, score_mean double, score_sd double, guardrails_ok boolean, chosen boolean")
+
+
+def grade_points(f: Frame, grade: str = "grade") -> DataFrame:
+    """Plot data: event rate by grade with its interval, beside the grade's mean score and its light."""
+    found = metrics.grade_backtest(f, grade)
+    return found.select(grade, "n", "pd", (F.col("k") / F.col("n")).alias("rate"), "ci_low", "ci_high", "light")
+
+
 def rug(df: DataFrame, score: str = "s", most: int = 1000, buckets: int = 256) -> DataFrame:
     """Plot data: every ceil(n / most)-th score in order, from 0. Places come from prefix sums of the counts of distinct scores."""
     n = df.count()

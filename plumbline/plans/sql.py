@@ -49,11 +49,14 @@ LOGIT = "(ln(s)-ln(1-s))"
 SMOOTHED = "targets AS MATERIALIZED (SELECT c.*, CASE WHEN y > 0.5 THEN (k+1)/(k+2) ELSE 1/(n-k+2) END AS t FROM cal c, (SELECT sum(y) AS k, CAST(count(*) AS DOUBLE) AS n FROM cal))"
 PLATT = f"{SMOOTHED},\n{newton(['1.0', LOGIT], y='t', source='targets', name='pl')}"
 
-MINMAX = """g AS MATERIALIZED (SELECT s, sum(w) AS w, sum(w*y) AS wy, sum(w*s) AS ws, row_number() OVER (ORDER BY s) AS i FROM cal GROUP BY s),
-sums AS MATERIALIZED (SELECT i, s, sum(w) OVER (ORDER BY i) AS cw, sum(wy) OVER (ORDER BY i) AS cy, w, wy, ws FROM g),
-avgs AS MATERIALIZED (SELECT a.i AS a, b.i AS b, (b.cy-a.cy+a.wy)/(b.cw-a.cw+a.w) AS m FROM sums a JOIN sums b ON a.i <= b.i),
-low AS MATERIALIZED (SELECT a, x.i, min(m) AS m FROM avgs JOIN g x ON x.i BETWEEN a AND b GROUP BY a, x.i),
-iso AS MATERIALIZED (SELECT i, max(m) AS fit FROM low GROUP BY i),
-lev AS MATERIALIZED (SELECT round(fit, 9) AS lf, fit, i, s, w, ws, abs(sum(wy) OVER p - fit*sum(w) OVER p) < 1e-7 AS done FROM iso JOIN g USING (i) WINDOW p AS (PARTITION BY round(fit, 9) ORDER BY i)),
-part AS MATERIALIZED (SELECT *, coalesce(sum(CAST(done AS INT)) OVER (PARTITION BY lf ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM lev),
-blocks AS MATERIALIZED (SELECT lf AS fit, min(s) AS first, max(s) AS last, sum(ws)/sum(w) AS centre FROM part GROUP BY lf, k)"""
+#: Isotonic blocks as the lower hull of the sums: from each corner the next one is where the mean is least, the nearest of several.
+HULL = """g AS MATERIALIZED (SELECT s, sum(w) AS w, sum(w*y) AS wy, sum(w*s) AS ws, row_number() OVER (ORDER BY s) AS i FROM cal GROUP BY s),
+sums AS MATERIALIZED (SELECT i, sum(w) OVER (ORDER BY i) AS cw, sum(wy) OVER (ORDER BY i) AS cy FROM g),
+hull(i, cw, cy, fit, lo) AS (
+  SELECT CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, CAST(-1 AS BIGINT)
+  UNION ALL
+  SELECT x.i, x.cw, x.cy, x.fit, lo FROM (SELECT h.i AS lo, arg_min({'i': b.i, 'cw': b.cw, 'cy': b.cy, 'fit': (b.cy-h.cy)/(b.cw-h.cw)}, {'m': (b.cy-h.cy)/(b.cw-h.cw), 'i': b.i}) AS x
+    FROM hull h JOIN sums b ON b.i > h.i GROUP BY h.i)),
+parts AS MATERIALIZED (SELECT lo, i AS hi, fit FROM hull WHERE lo >= 0),
+iso AS MATERIALIZED (SELECT g.i, fit, lo FROM g JOIN parts ON g.i > lo AND g.i <= hi),
+blocks AS MATERIALIZED (SELECT fit, min(s) AS first, max(s) AS last, sum(ws)/sum(w) AS centre FROM iso JOIN g USING (i) GROUP BY lo, fit)"""

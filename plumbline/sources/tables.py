@@ -24,9 +24,10 @@ def orders_frame(spark: SparkSession, sf_dir: str, digits: int | None = None) ->
     return out.select("row_id", "s", "w", "grade", "y")
 
 
-def portfolio(spark: SparkSession, n: int = 5000, event_rate: float = 0.03, slope: float = 0.7, asymmetry: float = 0.4, location: float = -3.2, scale: float = 1.1, seed: int = 42) -> DataFrame:
+def portfolio(spark: SparkSession, n: int = 5000, event_rate: float = 0.03, slope: float = 0.7, intercept: float = 0.0, asymmetry: float = 0.4, location: float = -3.2, scale: float = 1.1, seed: int = 42) -> DataFrame:
     """row_id, s, y, p_true: scores whose log-odds are normal, a true curve steeper below than above, anchored at an event rate.
 
+    With slope 1, asymmetry 0 and intercept 0 the scores are the true probabilities, whatever the event rate.
     Draws come from hashes of the row id, so they do not depend on partitions."""
 
     def uniform(k: int):
@@ -34,14 +35,17 @@ def portfolio(spark: SparkSession, n: int = 5000, event_rate: float = 0.03, slop
 
     normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * 3.141592653589793 * uniform(2))
     base = spark.range(n).select(F.col("id").alias("row_id"), expit(location + scale * normal).alias("s"), uniform(3).alias("u"))
-    z = slope * (1 + asymmetry) * F.log("s") - slope * (1 - asymmetry) * F.log1p(-F.col("s"))
+    if not 0 < event_rate < 1:
+        raise ValueError("the event rate lies strictly between 0 and 1")
+    z = slope * (1 + asymmetry) * F.log("s") - slope * F.log1p(-F.col("s")) + F.lit(float(intercept))
 
     def value(c: float):
         p = expit(z + F.lit(float(c)))
         m, d = base.agg(F.avg(p), F.avg(p * (1 - p))).first()
         return m - event_rate, d
 
-    truth = expit(z + F.lit(root_1d(value, 0.0, -60.0, 60.0)))
+    exact = slope == 1 and asymmetry == 0 and intercept == 0
+    truth = F.col("s") if exact else expit(z + F.lit(root_1d(value, 0.0, -60.0, 60.0)))
     return base.withColumn("p_true", truth).withColumn("y", F.when(F.col("u") < F.col("p_true"), 1.0).otherwise(0.0)).drop("u")
 
 

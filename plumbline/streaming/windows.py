@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,3 +28,24 @@ def windowed_bins(rows: DataFrame, edges: Sequence[float], length: str = "1 hour
     """Counts, mean score and event rate by window and fixed score bin: what ECE over a stream is made of."""
     timed = rows.withWatermark(ts, late) if rows.isStreaming else rows
     return timed.groupBy(F.window(ts, length), bin_index(F.col("s"), edges).alias("bin")).agg(F.count("*").alias("n"), F.avg("s").alias("p"), F.avg("y").alias("r"))
+
+
+def session_scores(rows: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
+    """Count, log loss and Brier score of each session: rows of a key (``by``) with no pause as long as ``gap``."""
+    s, y = clipped(F.col("s")), F.col("y").cast("double")
+    timed = rows.withWatermark(ts, late) if rows.isStreaming else rows
+    loss = -(y * F.log(s) + (1 - y) * F.log1p(-s))
+    out = timed.groupBy(F.session_window(ts, gap), *by).agg(F.count("*").alias("n"), F.avg(loss).alias("log_loss"), F.avg((s - y) * (s - y)).alias("brier"))
+    return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n", "log_loss", "brier")
+
+
+def recomputed(rows: DataFrame, metric: Callable[[DataFrame, int], None], checkpoint: str, history: str):
+    """Start a query that appends each micro-batch to ``history`` (Parquet) and calls ``metric`` on the whole history and the batch's id.
+
+    For metrics that do not merge, such as those over quantile bins. A batch that is run again after a failure replaces its own part."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(history)
+        metric(batch.sparkSession.read.parquet(history).drop("batch"), number)
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()

@@ -125,3 +125,55 @@ def test_local_regression(spark, data):
     c = np.clip(fit, 1e-12, 1 - 1e-12)
     want = {"calibration": np.average(c * np.log(c / s) + (1 - c) * np.log((1 - c) / (1 - s)), weights=w), "refinement": np.average(-(c * np.log(c) + (1 - c) * np.log1p(-c)), weights=w)}
     assert one(spark, "logloss_decomposition_whole") == pytest.approx(want, abs=2e-6)
+
+
+def _loess_by_rows(x, y, at, r):
+    """Row by row; not a number where the line is so badly determined that rounding decides."""
+    out = []
+    for x0 in at:
+        i = 0
+        while i < len(x) - r and x[i + r] + x[i] < 2 * x0:  # the row after the window is nearer than its first one
+            i += 1
+        h = max(x0 - x[i], x[i + r - 1] - x0)
+        d = x[i : i + r] - x0
+        if h <= 0:
+            out.append(y[i : i + r].mean())
+            continue
+        w = np.where(np.abs(d) < h * (1 - 1e-12), np.clip(1 - (np.abs(d) / h) ** 3, 0, None) ** 3, 0.0)
+        if not w.any():  # one score, not at the place
+            out.append(y[i : i + r].mean())
+            continue
+        s0, s1, s2, sy, sxy = w.sum(), w @ d, w @ (d * d), w @ y[i : i + r], w @ (d * y[i : i + r])
+        det = s0 * s2 - s1 * s1
+        out.append(sy / s0 if len(np.unique(x[i : i + r][w > 0])) == 1 else (s2 * sy - s1 * sxy) / det if det > 1e-6 * s0 * s2 else np.nan)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("kind", ["ties", "spread", "clumps", "tails"])
+@pytest.mark.parametrize("frac", [0.1, 0.75, 1.0])
+def test_loess_by_moments(kind, frac):
+    from plumbline.operators.solvers import loess, repeated_quantiles
+
+    rng = np.random.default_rng(7)
+    x = {"ties": rng.integers(1, 12, 300) / 12, "spread": rng.random(300), "clumps": np.r_[0.3 + 1e-4 * rng.random(140), 0.7 + 1e-5 * rng.random(140), rng.random(20)], "tails": 1 / (1 + np.exp(-rng.normal(0, 5, 300)))}[kind]
+    x = np.sort(x)
+    y = (rng.random(300) < x).astype(float)
+    s, n = np.unique(x, return_counts=True)
+    k = np.array([y[x == v].sum() for v in s])
+    pooled = np.repeat(k / n, n)
+    at = np.r_[s, np.linspace(0, 1, 21)]
+    r = math.ceil(frac * 300)
+    want = _loess_by_rows(x, pooled, at, r)
+    sure = ~np.isnan(want)
+    assert sure.mean() > 0.9 and loess(s, n.astype(float), k, at, frac)[sure] == pytest.approx(want[sure], abs=1e-6)
+    assert repeated_quantiles(s, n.astype(float), [0, 0.1, 0.5, 0.93, 1]) == pytest.approx(np.quantile(x, [0, 0.1, 0.5, 0.93, 1]), abs=1e-12)
+
+
+def test_quantiles_over_ranges(spark):
+    from plumbline.operators.frame import Frame
+
+    rng = np.random.default_rng(8)
+    for x in (rng.random(500), np.repeat([0.2, 0.4, 0.4 + 1e-9], [300, 1, 200]), np.full(50, 0.3), np.r_[0.5 + 1e-7 * rng.random(400), 0.9]):
+        f = Frame.bind(spark.createDataFrame([(i, float(v), float(i % 2)) for i, v in enumerate(x)], "row_id long, s double, y double"))
+        levels = [k / b for b in (3, 10, 7) for k in range(1, b)]
+        assert f.quantiles(levels) == pytest.approx(np.quantile(x, levels), rel=1e-12)
