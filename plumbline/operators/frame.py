@@ -122,7 +122,7 @@ class Frame:
         first = {int(b): int(e - totals[b]) for b, e in zip(buckets, ends)}
         value = {first[r["bucket"]] + r["rank"]: r["v"] for r in rows}
         lo, hi = np.floor(at).astype(np.int64).tolist(), np.ceil(at).astype(np.int64).tolist()
-        return [value[i] if i == j else (j - x) * value[i] + (x - i) * value[j] for x, i, j in zip(at.tolist(), lo, hi)]
+        return [value[i] + (value[j] - value[i]) * (x - i) for x, i, j in zip(at.tolist(), lo, hi)]
 
     def cells(self, edges: Sequence[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sums of w, w s and w y between neighbouring edges (right-closed lookup): one aggregate for any number of edges."""

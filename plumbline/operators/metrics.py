@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.exprs import bin_index, logit, softplus, traffic_light, wilson
-from .frame import Frame, S, W, Y, merged, prefixed
+from .frame import MAX_POINTS, Frame, S, W, Y, merged, prefixed
 from .kernel import skce, skce_linear, skce_test  # noqa: F401
 from .solvers import irls, loess, repeated_quantiles, together
 
@@ -384,23 +384,159 @@ def evaluate(f: Frame, metrics: Sequence[str] | None = None) -> dict[str, float]
     return {c: found[c] for c in asked}
 
 
+def _smooth_local(z: np.ndarray, m: np.ndarray) -> float:
+    """``smooth_ece`` of residual masses at distinct sorted logits, the same way."""
+    span = z[-1] - z[0]
+    if len(z) > 8192 and span > 0:
+        count = 8192
+        for _ in range(2):
+            width = span / count
+            cell = np.minimum((z - z[0]) // width, count - 1).astype(int)
+            lattice = np.bincount(cell, m, count)
+            value = _fixed_point(lambda sigma: _smoothed_lattice(lattice, width, sigma))
+            if max(value, 1e-4) >= 8 * width:
+                return value
+            count = math.ceil(span / (max(value, 1e-4) / 8))
+            if count >= len(z) or count > 1 << 20:
+                break
+    return _fixed_point(lambda sigma: _smoothed_mass(z, m, sigma))
+
+
+def _newton_local(x: np.ndarray, y: np.ndarray, w: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    beta = np.zeros(x.shape[1])
+    loss = lambda b: float(w @ (np.logaddexp(0, x @ b + offset) - y * (x @ b + offset)))
+    now = loss(beta)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(x @ beta + offset, -700, 700)))
+        step = np.linalg.solve((x * (w * q * (1 - q))[:, None]).T @ x + 1e-12 * np.eye(len(beta)), x.T @ (w * (y - q)))
+        while (then := loss(beta + step)) > now + 1e-12 * abs(now) and np.abs(step).max() > 1e-12:
+            step = step / 2
+        beta, now = beta + step, then
+        if np.abs(step).max() < 1e-10 * (1 + np.abs(beta).max()):
+            break
+    return beta
+
+
+def local_metrics(s: np.ndarray, y: np.ndarray, w: np.ndarray, weighted: bool, names: Sequence[str] = CATALOGUE) -> dict[str, float]:
+    """The catalogue over arrays in the order of (s, row): what ``evaluate`` gives, for one replicate inside a task."""
+    out: dict[str, float] = {}
+    total, asked = w.sum(), set(names)
+    avg = lambda x: float(w @ x / total)
+    base = avg(y)
+    out["log_loss"], out["brier"] = avg(-(y * np.log(s) + (1 - y) * np.log1p(-s))), avg((s - y) ** 2)
+    out["brier_skill"] = 1 - out["brier"] / (base * (1 - base)) if 0 < base < 1 else math.nan
+    sums = [np.r_[0.0, np.cumsum(x)] for x in (np.ones_like(s), w, w * s, w * y)]
+
+    def bins_of(count: int) -> list[np.ndarray]:
+        at = np.arange(1, count) / count * (len(s) - 1)
+        low, high = s[np.floor(at).astype(int)], s[np.ceil(at).astype(int)]
+        cut = np.r_[0, np.searchsorted(s, np.unique(low + (high - low) * (at - np.floor(at))), "left"), len(s)]
+        parts = [np.diff(c[cut]) for c in sums]
+        return [p[parts[0] > 0] for p in parts]
+
+    n, ws, ps, ks = bins_of(15)
+    p, r = ps / ws, ks / ws
+    gap = np.abs(p - r)
+    out["ece"], out["mce"] = float(ws @ gap / total), float(gap.max())
+    less = np.where(n > 1, np.sqrt(np.maximum(gap * gap - r * (1 - r) / np.maximum(n - 1, 1), 0)), gap)
+    out["ece_debiased"] = float(ws @ less / total)
+    if "ece_sweep" in asked:
+        out["ece_sweep"] = abs(avg(s) - base)
+        for count in range(2, min(len(s), 100) + 1):
+            n, ws, ps, ks = bins_of(count)
+            if (np.diff(ks / ws) >= 0).all():
+                out["ece_sweep"] = float(np.abs(ps - ks).sum() / total)
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    pooled = lambda x: np.add.reduceat(x, first)
+    xs = s[first]
+    if "smooth_ece" in asked:
+        out["smooth_ece"] = _smooth_local(np.log(xs) - np.log1p(-xs), pooled(w * (y - s)) / total)
+    walk = np.abs(sums[3][1:] - sums[2][1:])
+    out["ecce_max"], out["ecce_mean"] = float(walk.max() / total), float(walk.mean() / total)
+    if asked & {"ici", "e50", "e90", "emax"}:
+        n, k, ws = pooled(np.ones_like(s)), pooled(y), pooled(w)
+        apart = np.abs(loess(xs, n, k, xs, grid=512, weights_of=n) - xs)
+        out["ici"], out["emax"] = float(ws @ apart / total), float(apart.max())
+        for name, q in (("e50", 0.5), ("e90", 0.9)):
+            out[name] = float(repeated_quantiles(apart, n, [q])[0]) if not weighted else weighted_quantile(apart, q, ws)
+    spread = math.sqrt(float((w * w * (1 - 2 * s) ** 2 * s * (1 - s)).sum()))
+    out["spiegelhalter_z"] = float((w * (y - s) * (1 - 2 * s)).sum()) / spread if spread > 0 else math.nan
+    out["spiegelhalter_p"] = 2 * (1 - special.norm_cdf(abs(out["spiegelhalter_z"])))
+    if asked & {"intercept", "slope"}:
+        z = np.log(s) - np.log1p(-s)
+        out["intercept"] = float(_newton_local(np.ones((len(s), 1)), y, w, z)[0])
+        out["slope"] = float(_newton_local(np.stack([np.ones_like(z), z], axis=1), y, w, np.zeros_like(z))[1])
+    return {c: out[c] for c in names}
+
+
+def intervals(f: Frame, metrics: Sequence[str] | None = None, replicates: int = 1000, seed: int = 42, stratify: bool = True) -> DataFrame:
+    """metric, value, ci_low, ci_high: points of ``evaluate`` and percentile intervals from resampled rows, for the whole catalogue.
+
+    A replicate draws as many rows as there are, of each outcome by itself if ``stratify``, and each by its own seed, so results do
+    not depend on partitions. Replicates are dealt over tasks; each task holds the rows once (``MAX_POINTS`` at most, in the order of score and
+    row), counts how often each is drawn and works on the drawn ones. Larger frames have ``bootstrap``."""
+    asked = [c for c in CATALOGUE if metrics is None or c in metrics]
+    points = evaluate(f, metrics)
+    if f.df.count() > MAX_POINTS:
+        raise ValueError(f"more than {MAX_POINTS} rows; use bootstrap, whose metrics are sums")
+    got = f.df.orderBy("s", *(["row_id"] if "row_id" in f.df.columns else [])).select("s", "y", "w").toPandas()
+    spark, weighted = f.df.sparkSession, f.weighted
+    rows = spark.sparkContext.broadcast(tuple(got[c].to_numpy(float) for c in "syw"))  # MAX_POINTS rows at most
+
+    def run(batches):
+        import pandas as pd
+
+        s, y, w = rows.value
+        strata = [np.flatnonzero(y == v) for v in (0.0, 1.0)] if stratify else [np.arange(len(y))]
+        for t in batches:
+            found = []
+            for number in t["id"]:
+                rng = np.random.default_rng([seed, int(number)])
+                for _ in range(100):
+                    at = np.sort(np.concatenate([x[rng.integers(0, len(x), len(x))] for x in strata]))
+                    if y[at].min() != y[at].max():
+                        break
+                else:
+                    raise RuntimeError("100 resamples in a row had one outcome only; use stratify=True")
+                found.append(local_metrics(s[at], y[at], w[at], weighted, asked))
+            yield pd.DataFrame(found, columns=asked)
+
+    tasks = min(replicates, 4 * max(int(spark.sparkContext.defaultParallelism), 1))
+    drawn = spark.range(replicates).repartition(tasks).mapInPandas(run, ", ".join(f"`{c}` double" for c in asked)).toPandas()
+    low, high = np.percentile(drawn.to_numpy(float), [2.5, 97.5], axis=0)
+    rows.unpersist()
+    return spark.createDataFrame([(c, float(points[c]), float(a), float(b)) for c, a, b in zip(asked, low, high)], "metric string, value double, ci_low double, ci_high double")
+
+
 def bootstrap(f: Frame, replicates: int = 100, seed: int = 42) -> DataFrame:
     """Percentile intervals of log loss, Brier score and skill, Spiegelhalter's z and calibration in the large by Poisson multiplicities.
 
-    Every row gets a multiplicity for each replicate from a hash of (row_id, replicate), so replicates do not depend on
-    partitions; the sums of all replicates come from one aggregate over rows, combined before its shuffle."""
-    u = (F.pmod(F.xxhash64("row_id", "rep", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps, total = [], 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append(F.when(u > total, 1).otherwise(0))
-    rows = f.df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("m", sum(steps[1:], steps[0]) * W())
-    part = lambda x: F.sum(F.col("m") * x) / F.sum("m")
-    brier, m = part((S() - Y()) * (S() - Y())), F.col("m")
-    z = F.sum(m * (Y() - S()) * (1 - 2 * S())) / F.sqrt(F.sum(m * W() * F.pow(1 - 2 * S(), 2) * S() * (1 - S())))
-    per = rows.groupBy("rep").agg(
-        part(_loss()).alias("log_loss"), brier.alias("brier"), (1 - brier / (part(Y()) * (1 - part(Y())))).alias("brier_skill"),
-        z.alias("spiegelhalter_z"), (part(Y()) - part(S())).alias("bias"),
+    For frames of any size: every row gets a multiplicity for each replicate from a hash of (row_id, replicate), so replicates do not depend
+    on partitions; a batch of rows is multiplied with its multiplicities at once, and a task sends one row of sums for each replicate."""
+
+    def run(batches):
+        import pandas as pd
+
+        total = np.zeros((replicates, 7))
+        mix = lambda x: (lambda x: x ^ (x >> np.uint64(31)))(((x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) ^ np.uint64(seed)) * np.uint64(0x94D049BB133111EB))
+        chances = np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1.0, 20.0)])
+        steps = np.cumsum(chances)
+        numbers = mix(np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for t in batches:
+            s, y, w = (t[c].to_numpy(float) for c in "syw")
+            terms = np.stack([w, w * -(y * np.log(s) + (1 - y) * np.log1p(-s)), w * (s - y) ** 2, w * y, w * s, w * (y - s) * (1 - 2 * s), w * w * (1 - 2 * s) ** 2 * s * (1 - s)], axis=1)
+            key = t["h"].to_numpy(np.int64).view(np.uint64)
+            for lo in range(0, len(key), 4096):
+                u = (mix(key[None, lo : lo + 4096] ^ numbers[:, None]) >> np.uint64(11)) / float(1 << 53)
+                total += np.searchsorted(steps, u.ravel(), "right").reshape(u.shape) @ terms[lo : lo + 4096]
+        yield pd.DataFrame(total, columns=list("abcdefg")).assign(rep=np.arange(replicates))
+
+    sent = f.df.select("s", "y", "w", F.xxhash64("row_id").alias("h")).mapInPandas(run, ", ".join(f"{c} double" for c in "abcdefg") + ", rep int")
+    sums = sent.groupBy("rep").agg(*[F.sum(c).alias(c) for c in "abcdefg"])
+    per = sums.select(
+        (F.col("b") / F.col("a")).alias("log_loss"), (F.col("c") / F.col("a")).alias("brier"),
+        (1 - (F.col("c") / F.col("a")) / ((F.col("d") / F.col("a")) * (1 - F.col("d") / F.col("a")))).alias("brier_skill"),
+        (F.col("f") / F.sqrt("g")).alias("spiegelhalter_z"), ((F.col("d") - F.col("e")) / F.col("a")).alias("bias"),
     )
     ends = F.array(F.lit(0.025), F.lit(0.975))
     return per.agg(*[F.percentile(c, ends)[k].alias(f"{c}_{side}") for c in ("log_loss", "brier", "brier_skill", "spiegelhalter_z", "bias") for k, side in enumerate(("low", "high"))])

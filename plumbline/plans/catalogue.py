@@ -131,7 +131,8 @@ SELECT round(ns.b1, 6) AS slope, round(ni.b0, 6) AS intercept, ns.b1 BETWEEN 0.9
   (ns.b1 BETWEEN 0.9 AND 1.1) AND abs(ni.b0) <= 0.1 AND z < 1.959964 AS all_ok FROM ns, ni, z""")(lambda f, *_: {k: v for k, v in M.guardrails(f).items() if k != "spiegelhalter_p"})
 query("reliability_summary", None)(lambda f, *_: M.reliability_summary(f))
 query("evaluate_points", None)(lambda f, *_: M.evaluate(f))
-query("bootstrap_ci", None)(lambda f, *_: M.bootstrap(f, 50))
+query("bootstrap_ci", None)(lambda f, *_: M.bootstrap(f, 1000))
+query("evaluate_intervals", None)(lambda f, *_: M.intervals(f, replicates=100))
 
 _GRADE = f"WITH {frame()}, g AS MATERIALIZED (SELECT grade, count(*) AS n, CAST(sum(y) AS BIGINT) AS k, avg(s) AS pd FROM cal GROUP BY grade)"
 query("binomial_grade", f"""{_GRADE}, t AS (SELECT grade, sum(exp(lgamma(n+1)-lgamma(j+1)-lgamma(n-j+1)+j*ln(pd)+(n-j)*ln(1-pd))) AS p FROM (SELECT *, unnest(range(k, n+1)) AS j FROM g) GROUP BY grade)
