@@ -97,6 +97,15 @@ query("hosmer_lemeshow", f"WITH {frame()}, {binned(10)}, h AS (SELECT {_HL} AS x
 _WALK = f"WITH {frame()}, t AS (SELECT *, sum(w*(y-s)) OVER o / sum(w) OVER () AS c, sqrt(sum(w*w*s*(1-s)) OVER o) / sum(w) OVER () AS sd, row_number() OVER (ORDER BY s, row_id) / CAST(count(*) OVER () AS DOUBLE) AS frac FROM cal WINDOW o AS (ORDER BY s, row_id ROWS UNBOUNDED PRECEDING))"
 query("ecce", f"{_WALK} SELECT round(max(abs(c)), 6) AS stat_max, round(avg(abs(c)), 6) AS stat_mean FROM t")(lambda f, *_: M.ecce(f))
 query("ecce_curve", f"{_WALK} SELECT row_id, round(frac, 6) AS frac, round(c, 6) AS cumdev, round(sd, 6) AS sd_null FROM t")(lambda f, *_: M.ecce_curve(f))
+_SZ = "sum(w*(y-s)*(1-2*s))/sqrt(sum(w*w*power(1-2*s, 2)*s*(1-s)))"
+
+
+def _two_sided(z: str) -> str:
+    """Both tails of the normal distribution beyond z, by the midpoint rule."""
+    return f"(SELECT 2*sum(exp(-power(abs({z})+(k+0.5)*0.0005, 2)/2))*0.0005/sqrt(2*pi()) FROM range(24000) u(k))"
+
+
+query("spiegelhalter_p", f"WITH {frame()}, sz AS MATERIALIZED (SELECT {_SZ} AS z FROM cal) SELECT round({_two_sided('z')}, 6) AS p_value FROM sz")(lambda f, *_: {"p_value": M.spiegelhalter(f)["p_value"]})
 query("spiegelhalter", f"WITH {frame()} SELECT round(sum(w*(y-s)*(1-2*s))/sqrt(sum(w*w*power(1-2*s, 2)*s*(1-s))), 6) AS z FROM cal")(lambda f, *_: {"z": M.spiegelhalter(f)["z"]})
 _LOESS = f"""WITH {frame()},
 o AS MATERIALIZED (SELECT s, row_number() OVER (ORDER BY s, row_id) - 1 AS i FROM cal), k AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(ceil(0.75*count(*)) AS BIGINT) AS r FROM cal),
@@ -109,7 +118,30 @@ m AS MATERIALIZED (SELECT x0, sum(k*n) AS s0, sum(k*n*d) AS s1, sum(k*n*d*d) AS
 fit AS MATERIALIZED (SELECT x0 AS s, (s2*sy-s1*sxy)/(s0*s2-s1*s1) AS c FROM m)"""
 query("ici_family", f"{_LOESS} SELECT round(sum(w*abs(c-s))/sum(w), 6) AS ici, round(max(abs(c-s)), 6) AS emax FROM cal JOIN fit USING (s)", digits=6)(lambda f, s, d: {k: v for k, v in M.ici_family(f, grid=None).items() if k in ("ici", "emax")})
 query("logloss_decomposition", f"{_LOESS} SELECT round(sum(w*(c*ln(c/s)+(1-c)*ln((1-c)/(1-s))))/sum(w), 6) AS calibration, round(sum(w*-(c*ln(c)+(1-c)*ln(1-c)))/sum(w), 6) AS refinement FROM cal JOIN fit USING (s)")(lambda f, s, d: M.logloss_decomposition(f))
-query("ici_quantiles", None)(lambda f, *_: {k: v for k, v in M.ici_family(f).items() if k in ("e50", "e90")})
+_ANCHORS = ", ".join(f"{k / 511!r}::DOUBLE" for k in range(512))
+
+
+def _anchored(anchors: str) -> str:
+    """The local regression at given places instead of at every score."""
+    return _LOESS.replace(f"WITH {frame()}", f"{frame()}, anchors AS MATERIALIZED ({anchors})").replace(
+        "SELECT g.s AS x0, min(i) AS i FROM g, win WHERE nxt IS NULL OR nxt - g.s >= g.s - lo GROUP BY g.s", "SELECT x0, min(i) AS i FROM anchors, win WHERE nxt IS NULL OR nxt - x0 >= x0 - lo GROUP BY x0"
+    )
+
+
+#: Distances of the interpolated local regression from each distinct score, with their weights, and weighted quantiles of these.
+_APART = f"""{_anchored(f"SELECT unnest(list_distinct(quantile_cont(s, [{_ANCHORS}]))) AS x0 FROM cal")},
+seg AS MATERIALIZED (SELECT s AS x0, c, lead(s) OVER (ORDER BY s) AS x1, lead(c) OVER (ORDER BY s) AS c1 FROM fit),
+wd AS MATERIALIZED (SELECT s, sum(w) AS w FROM cal GROUP BY s),
+ap AS MATERIALIZED (SELECT wd.s, wd.w, abs(coalesce(c + (c1-c)*(wd.s-x0)/(x1-x0), c) - wd.s) AS d FROM wd JOIN seg ON wd.s >= x0 AND (wd.s < x1 OR x1 IS NULL)),
+aq AS MATERIALIZED (SELECT d, (sum(w) OVER (ORDER BY d, s ROWS UNBOUNDED PRECEDING) - w/2) / sum(w) OVER () AS q FROM ap)"""
+
+
+def _at(q: float) -> str:
+    low, high = f"(SELECT {{}}(d, q) FROM aq WHERE q <= {q})".format("max_by"), f"(SELECT {{}}(d, q) FROM aq WHERE q > {q})".format("min_by")
+    return f"{low} + ({high}-{low}) * ({q}-(SELECT max(q) FROM aq WHERE q <= {q})) / ((SELECT min(q) FROM aq WHERE q > {q})-(SELECT max(q) FROM aq WHERE q <= {q}))"
+
+
+query("ici_quantiles", f"WITH {_APART} SELECT round({_at(0.5)}, 6) AS e50, round({_at(0.9)}, 6) AS e90")(lambda f, *_: {k: v for k, v in M.ici_family(f).items() if k in ("e50", "e90")})
 query("smooth_ece", None)(lambda f, *_: {"smooth_ece": M.smooth_ece(f)})
 _PAIR = "2*exp(-abs(a.s-b.s)/0.1::DOUBLE)*(a.y-a.s)*(b.y-b.s)"
 query("skce_uq", f"WITH {frame()} SELECT round(avg({_PAIR}), 6) AS skce FROM cal a JOIN cal b ON a.row_id <> b.row_id", **_ONE)(lambda f, *_: {"skce": M.skce(f, 0.1)})
@@ -129,7 +161,8 @@ SELECT round(x, 4) AS statistic, round(exp(-x/2), 4) AS p_value, round(b0, 4) AS
 query("guardrails", f"""WITH {frame()}, {_SLO}, {_INT}, z AS (SELECT abs(sum(w*(y-s)*(1-2*s))/sqrt(sum(w*w*power(1-2*s, 2)*s*(1-s)))) AS z FROM cal)
 SELECT round(ns.b1, 6) AS slope, round(ni.b0, 6) AS intercept, ns.b1 BETWEEN 0.9 AND 1.1 AS slope_ok, abs(ni.b0) <= 0.1 AS intercept_ok, z < 1.959964 AS spiegelhalter_ok,
   (ns.b1 BETWEEN 0.9 AND 1.1) AND abs(ni.b0) <= 0.1 AND z < 1.959964 AS all_ok FROM ns, ni, z""")(lambda f, *_: {k: v for k, v in M.guardrails(f).items() if k != "spiegelhalter_p"})
-query("reliability_summary", None)(lambda f, *_: M.reliability_summary(f))
+query("reliability_summary", f"""WITH {_APART}, {_SLO}, {_INT}, sz AS MATERIALIZED (SELECT {_SZ} AS z FROM cal), su AS MATERIALIZED (SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS events FROM cal)
+SELECT n, events, round(ni.b0, 6) AS intercept, round(ns.b1, 6) AS slope, round((SELECT sum(w*d)/sum(w) FROM ap), 6) AS ici, round({_at(0.9)}, 6) AS e90, round({_two_sided('z')}, 6) AS spiegelhalter_p FROM su, ni, ns, sz""")(lambda f, *_: M.reliability_summary(f))
 query("evaluate_points", None)(lambda f, *_: M.evaluate(f))
 query("bootstrap_ci", None)(lambda f, *_: M.bootstrap(f, 1000))
 query("evaluate_intervals", None)(lambda f, *_: M.intervals(f, replicates=100))
@@ -145,7 +178,8 @@ _HALF = "1.959963984540054*sqrt(r*(1-r)/n+3.841458820694124/(4.0*n*n))/(1+3.8414
 _REL = f"SELECT CAST(bin AS BIGINT) AS bin, round(p, 6) AS pred_mean, round(r, 6) AS event_rate, n AS count, round(least(greatest({_WIL}-{_HALF}, 0), r), 6) AS ci_low, round(greatest(least({_WIL}+{_HALF}, 1), r), 6) AS ci_high, round(ln(p)-ln(1-p), 6) AS pred_mean_logit FROM b"
 query("reliability_mass", f"WITH {frame()}, {binned(10, w='w')} {_REL}")(lambda f, *_: M.reliability(f))
 query("reliability_width", f"WITH {frame()}, {binned(10, 'width', w='w')} {_REL}")(lambda f, *_: M.reliability(f, strategy="width"))
-query("reliability_loess", None)(lambda f, s, d: s.createDataFrame(M.reliability_loess(f), "grid_p double, event_rate double"))
+_CURVE = _anchored("SELECT DISTINCT lo + (hi-lo)*k/99.0::DOUBLE AS x0 FROM (SELECT quantile_cont(s, 0.005::DOUBLE) AS lo, quantile_cont(s, 0.995::DOUBLE) AS hi FROM cal), range(100) u(k)")
+query("reliability_loess", f"WITH {_CURVE} SELECT round(s, 6) AS grid_p, round(least(greatest(c, 0), 1), 6) AS event_rate FROM fit")(lambda f, s, d: s.createDataFrame(M.reliability_loess(f), "grid_p double, event_rate double"))
 
 
 @query("belt", None)
@@ -217,14 +251,23 @@ query("platt_interval_inverse", f"WITH {frame()}, {PLATT} SELECT round({_sig('(l
 query("isotonic_interval_inverse", f"{_ISO} SELECT round((SELECT min(s) FROM iso JOIN g USING (i) WHERE fit >= 0.2 - 1e-12), 6) AS raw_lo, round((SELECT min(s) FROM iso JOIN g USING (i) WHERE fit > 0.3 + 1e-12), 6) AS raw_hi")(
     lambda f, s, d: dict(zip(("raw_lo", "raw_hi"), C.Isotonic().fit(f).interval_inverse(0.2, 0.3)))
 )
-query("beta_point_inverse", None)(lambda f, s, d: (lambda m: s.createDataFrame([(p, m.point_inverse(p)) for p in (0.1, 0.2, 0.3)], "p double, raw double"))(C.Beta().fit(f)))
+_BETA = newton(["1.0", "ln(s)", "-ln(1-s)"], name="n3")
+_ETA = lambda z: f"(b0 - b1*ln(1+exp(-({z}))) + b2*ln(1+exp({z})))"
+query("beta_point_inverse", f"""WITH RECURSIVE {frame()}, {_BETA}, bi(p, lo, hi, k) AS (
+  SELECT p, -40.0::DOUBLE, 40.0::DOUBLE, 0 FROM (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) v(p)
+  UNION ALL SELECT p, CASE WHEN {_ETA('(lo+hi)/2')} < ln(p)-ln(1-p) THEN (lo+hi)/2 ELSE lo END, CASE WHEN {_ETA('(lo+hi)/2')} < ln(p)-ln(1-p) THEN hi ELSE (lo+hi)/2 END, k+1 FROM bi, n3 WHERE k < 60)
+SELECT round(p, 6) AS p, round({_sig('lo')}, 6) AS raw FROM bi WHERE k = 60""")(lambda f, s, d: (lambda m: s.createDataFrame([(p, m.point_inverse(p)) for p in (0.1, 0.2, 0.3)], "p double, raw double"))(C.Beta().fit(f)))
 
 query("offset_explicit", f"WITH {frame()} SELECT row_id, round({_sig(LOGIT + '-0.3')}, 6) AS p FROM cal")(lambda f, *_: f.df.select("row_id", T.LogitOffset(delta=-0.3).fit(f).predict(F.col("s")).alias("p")))
 _SHIFT = newton(["1.0"], y="0.2", offset=LOGIT, name="no")
 query("offset_target_mean", f"WITH {frame()}, {_SHIFT} SELECT round(b0, 6) AS delta, round(sum(w*s)/sum(w), 6) AS pre_mean, round(sum(w*{_sig(LOGIT + '+b0')})/sum(w), 6) AS post_mean FROM cal, no GROUP BY b0")(
     lambda f, *_: (lambda o: {"delta": o.delta, "pre_mean": o.before, "post_mean": o.after})(T.LogitOffset(target_mean=0.2).fit(f))
 )
-query("offset_audit", None)(lambda f, *_: T.LogitOffset(target_mean=0.25).fit(f).audit(f))
+_AFTER = f"af AS MATERIALIZED (SELECT row_id, w, y, {_sig(LOGIT + '+b0')} AS s FROM cal, no)"
+_GUARD = lambda slope, inter, z: f"round({slope}, 5) AS {{0}}_slope, round({inter}, 5) AS {{0}}_intercept, round({_two_sided(z)}, 5) AS {{0}}_spiegelhalter_p, {slope} BETWEEN 0.9 AND 1.1 AS {{0}}_slope_ok, abs({inter}) <= 0.1 AS {{0}}_intercept_ok, abs({z}) < 1.959964 AS {{0}}_spiegelhalter_ok, ({slope} BETWEEN 0.9 AND 1.1) AND abs({inter}) <= 0.1 AND abs({z}) < 1.959964 AS {{0}}_all_ok"
+query("offset_audit", f"""WITH {frame()}, {newton(['1.0'], y='0.25', offset=LOGIT, name='no')}, {_AFTER}, {_SLO}, {_INT}, {newton(['1.0', LOGIT], source='af', name='ms')}, {newton(['1.0'], offset=LOGIT, source='af', name='mi')},
+zb AS MATERIALIZED (SELECT {_SZ} AS z, sum(w*s)/sum(w) AS m FROM cal), za AS MATERIALIZED (SELECT {_SZ} AS z, sum(w*s)/sum(w) AS m FROM af)
+SELECT round(no.b0, 5) AS delta, round(zb.m, 5) AS pre_mean, round(za.m, 5) AS post_mean, {_GUARD('ns.b1', 'ni.b0', 'zb.z').format('before')}, {_GUARD('ms.b1', 'mi.b0', 'za.z').format('after')} FROM no, ns, ni, ms, mi, zb, za""", digits=5)(lambda f, *_: T.LogitOffset(target_mean=0.25).fit(f).audit(f))
 
 
 def _phi(f: Frame) -> DataFrame:
@@ -242,6 +285,16 @@ query("attribution_affine", f"WITH {frame()}, {PLATT} SELECT row_id, round(b1*0.
 query("attribution_aumann_shapley", f"""WITH {frame()}, {PLATT}, t AS (SELECT row_id, {LOGIT} AS z, b0, b1 FROM cal, pl)
 SELECT row_id, round(0.5*z*b1, 6) AS phi0, round((0.2*z+1)*b1, 6) AS phi2, round(b0-b1, 6) AS base_adj, round(b0+b1*z, 6) AS target FROM t""")(lambda f, *_: _attributed(T.adjust_attributions(_phi(f), C.Platt().fit(f), method="aumann-shapley")))
 
+_FACTOR = f"(CASE WHEN abs(z+1) < 1e-8 THEN ({_ETA('-0.9999')}-{_ETA('-1.0001')})/2e-4 ELSE ({_ETA('z')}-{_ETA('-1.0')})/(z+1) END)"
+query("attribution_beta", f"""WITH {frame()}, {_BETA}, t AS MATERIALIZED (SELECT row_id, {LOGIT} AS z FROM cal)
+SELECT row_id, round(0.5*z*{_FACTOR}, 5) AS phi0, round((0.2*z+1)*{_FACTOR}, 5) AS phi2, round({_ETA('z')}-(z+1)*{_FACTOR}, 5) AS base_adj, round({_ETA('z')}, 5) AS target FROM t, n3""", digits=5)(
+    lambda f, *_: _attributed(T.adjust_attributions(_phi(f), C.Beta().fit(f)))
+)
+query("attribution_probability", f"""WITH {frame()}, {PLATT}, t AS MATERIALIZED (SELECT row_id, s, {_sig('b0+b1*' + LOGIT)} AS p, {_sig('b0+b1*(ln(0.3)-ln(0.7))')} AS p0 FROM cal, pl)
+SELECT row_id, round(0.5*(p-p0), 6) + 0.0::DOUBLE AS phi0, round(0.2*(p-p0), 6) + 0.0::DOUBLE AS phi2, round(p0, 6) AS base_adj, round(p, 6) AS target FROM t""")(
+    lambda f, *_: _attributed(T.adjust_attributions(f.df.select("row_id", F.array((F.col("s") - 0.3) * 0.5, (F.col("s") - 0.3) * 0.3, (F.col("s") - 0.3) * 0.2).alias("phi"), F.lit(0.3).alias("base")), C.Platt().fit(f), scale="probability"))
+)
+
 _FOLD = f"""WITH {frame()}, fo AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY (row_id*7919+42) % 100003, row_id) - 1) % 5 AS fold FROM cal),
 e AS MATERIALIZED (SELECT j AS fold, list_sort(list_distinct(quantile_cont(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS e FROM fo, range(5) t(j) WHERE fo.fold <> j GROUP BY j),
 a AS MATERIALIZED (SELECT e.fold, len(list_filter(e, lambda v: v <= s)) AS bin, (sum(w*y)+0.5)/(sum(w)+1) AS p FROM fo JOIN e ON fo.fold <> e.fold GROUP BY e.fold, bin)"""
@@ -279,6 +332,16 @@ k AS (SELECT q0 FROM (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) v(q0))
 SELECT q0 AS q, round((SELECT max_by(s, q) FROM t WHERE q <= q0) + ((SELECT min_by(s, q) FROM t WHERE q > q0) - (SELECT max_by(s, q) FROM t WHERE q <= q0)) * (q0 - (SELECT max(q) FROM t WHERE q <= q0)) / ((SELECT min(q) FROM t WHERE q > q0) - (SELECT max(q) FROM t WHERE q <= q0)), 6) AS value FROM k""")(
     lambda f, *_: M.weighted_quantiles(_whole(f), (0.1, 0.5, 0.9))
 )
+query("validated", f"WITH {frame()} SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS events, round(sum(w), 6) AS weight FROM cal")(
+    lambda f, s, d: Frame.bind(orders_frame(s, d), weight="w").df.agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("events"), F.sum("w").alias("weight"))
+)
+query("wrapper_interval_inverse", f"WITH {frame()}, {PLATT} SELECT round({_sig('(ln(0.2)-ln(0.8)+0.05-0.1-b0)/b1')}, 6) AS raw_lo, round({_sig('(ln(0.4)-ln(0.6)-0.05-0.1-b0)/b1')}, 6) AS raw_hi FROM pl")(
+    lambda f, *_: dict(zip(("raw_lo", "raw_hi"), T.interval_to_raw(T.CalibratedModel(F.col("s"), C.Platt).fit(f.df, "y", "row_id", "w").offset_to(delta=0.1), 0.2, 0.4, buffer_logit=0.05)))
+)
+query("plot_data_comparison", f"""WITH {frame()}, {PLATT}, pg AS MATERIALIZED (SELECT row_id, w, y, {_sig('b0+b1*' + LOGIT)} AS s FROM cal, pl), {binned(10, w='w')}, {binned(10, w='w', source='pg', name='h')}
+SELECT panel, CAST(bin AS BIGINT) AS bin, n AS count, round(p, 5) AS pred_mean, round(r, 5) AS event_rate FROM (SELECT 'before' AS panel, * FROM b UNION ALL SELECT 'after', * FROM h)""", digits=5)(
+    lambda f, *_: T.comparison(f, Frame(C.Platt().fit(f).transform(f.df, out="s"), f.weighted)).select("panel", "bin", "count", "pred_mean", "event_rate")
+)
 query("pd_portfolio", None)(lambda f, s, d: portfolio(s, 2000))
 query("plot_data_rug", f"WITH {frame()}, t AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS place, count(*) OVER () AS n FROM cal) SELECT place, round(s, 6) AS s FROM t WHERE place % CAST(ceil(n/1000.0) AS BIGINT) = 0")(lambda f, *_: T.rug(f.df))
 query("plot_data_ecce_band", f"{_WALK} SELECT row_id, round(frac, 6) AS frac, round(c, 6) AS cumdev, round(-2*sd, 6) AS band_low, round(2*sd, 6) AS band_high FROM t")(lambda f, *_: T.ecce_band(f))

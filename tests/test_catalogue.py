@@ -6,7 +6,6 @@ import pytest
 from plumbline.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"bbq", "ece_sweep"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +17,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_rows_equal_sql(spark, duck, name):
     ours = catalogue.queries()[name](spark, DATA)
     columns = sorted(ours.columns)

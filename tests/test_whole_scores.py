@@ -91,10 +91,10 @@ def test_enir(spark, data):
 def test_isotonic(spark, data):
     t, g = data
     fit, s = minimax(g), g.s.to_numpy()
-    assert rows(spark, "isotonic_whole") == pytest.approx(by_row(t, s, fit), abs=2e-6)
-    for name, kind in (("isotonic_linear_whole", "middle"), ("cir_whole", "centre")):
+    assert rows(spark, "isotonic") == pytest.approx(by_row(t, s, fit), abs=2e-6)
+    for name, kind in (("isotonic_linear", "middle"), ("cir", "centre")):
         assert rows(spark, name) == pytest.approx(by_row(t, s, np.interp(s, *knots(g, fit, kind))), abs=2e-6)
-    assert one(spark, "isotonic_interval_inverse_whole") == pytest.approx({"raw_lo": s[fit >= 0.2 - 1e-12][0], "raw_hi": s[fit > 0.3 + 1e-12][0]}, abs=2e-6)
+    assert one(spark, "isotonic_interval_inverse") == pytest.approx({"raw_lo": s[fit >= 0.2 - 1e-12][0], "raw_hi": s[fit > 0.3 + 1e-12][0]}, abs=2e-6)
 
 
 def test_bbq_and_sweep(spark, data):
@@ -106,14 +106,14 @@ def test_bbq_and_sweep(spark, data):
         total.append(sum(math.lgamma(x + 0.5) + math.lgamma(m - x + 0.5) - math.lgamma(m + 1) - math.log(math.pi) for x, m in zip(k, n)))
         fits.append(((k + 0.5) / (n + 1))[at])
     share = np.exp(np.array(total) - max(total))
-    assert rows(spark, "bbq_whole") == pytest.approx(by_row(t, s, (share / share.sum()) @ np.array(fits)), abs=1e-5)
+    assert rows(spark, "bbq") == pytest.approx(by_row(t, s, (share / share.sum()) @ np.array(fits)), abs=1e-5)
     best = None
     for b in range(1, 101):
         at = np.searchsorted(np.unique(np.quantile(t.s, np.arange(1, b) / b)), s, "right") if b > 1 else np.zeros(len(s), int)
         n, k, p = np.bincount(at, g.w), np.bincount(at, g.wy), np.bincount(at, g.w * s)
         if (np.diff(k / n) >= 0).all():
             best = {"ece": np.abs(p - k).sum() / n.sum(), "bins": b}
-    assert one(spark, "ece_sweep_whole") == pytest.approx(best, abs=2e-6)
+    assert one(spark, "ece_sweep") == pytest.approx(best, abs=2e-6)
 
 
 def test_local_regression(spark, data):
@@ -121,10 +121,10 @@ def test_local_regression(spark, data):
     r = math.ceil(0.75 * len(t))
     fit = np.array([loess_at(t, x, r) for x in g.s])
     s, w = g.s.to_numpy(), g.w.to_numpy()
-    assert one(spark, "ici_family_whole") == pytest.approx({"ici": np.average(np.abs(fit - s), weights=w), "emax": np.abs(fit - s).max()}, abs=2e-6)
+    assert one(spark, "ici_family") == pytest.approx({"ici": np.average(np.abs(fit - s), weights=w), "emax": np.abs(fit - s).max()}, abs=2e-6)
     c = np.clip(fit, 1e-12, 1 - 1e-12)
     want = {"calibration": np.average(c * np.log(c / s) + (1 - c) * np.log((1 - c) / (1 - s)), weights=w), "refinement": np.average(-(c * np.log(c) + (1 - c) * np.log1p(-c)), weights=w)}
-    assert one(spark, "logloss_decomposition_whole") == pytest.approx(want, abs=2e-6)
+    assert one(spark, "logloss_decomposition") == pytest.approx(want, abs=2e-6)
 
 
 def _loess_by_rows(x, y, at, r):
