@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import langid, minhash, mixing, secrets, sentencepieces
-from plumbline.llm.common import stored, table
+from plumbline.llm.common import discard, stored, table
 from plumbline.llm.queries import PIECE_MODEL
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -89,7 +89,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``; what a stage leaves is a table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,16 +30,24 @@ def banding(percent: int) -> tuple[int, int]:
             return bands, rows
 
 
-def _mix32(x: np.ndarray) -> np.ndarray:
-    """A fixed permutation of the 32-bit numbers, in place."""
+def _permuted(x: np.ndarray, first: int, second: int) -> np.ndarray:
+    """A permutation of the 32-bit numbers for each pair of odd multipliers, in place."""
     x ^= x >> np.uint32(16)
-    x *= np.uint32(0x85EBCA6B)
+    x *= np.uint32(first)
     x ^= x >> np.uint32(13)
-    x *= np.uint32(0xC2B2AE35)
+    x *= np.uint32(second)
     x ^= x >> np.uint32(16)
     return x
 
 
+def _scattered(x: np.ndarray) -> np.ndarray:
+    return _permuted(x, 0x7FEB352D, 0x846CA68B)
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    return _permuted(x, 0x85EBCA6B, 0xC2B2AE35)
+
+
 def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
     """For each text, the sorted distinct hashes of its word shingles; shorter texts are one shingle, texts without words none."""
     from .common import text_bytes
@@ -65,11 +73,11 @@ def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
 def signature(shingles: np.ndarray, size: int = 256) -> np.ndarray:
     """Circulant MinHash: the first permutation scatters the shingles; coordinate k is the least value of the second
     permutation after shifting it k places around its circle of 2**32."""
-    places = _mix32((shingles ^ (shingles >> np.uint64(32))).astype(np.uint32))
+    places = _scattered((shingles ^ (shingles >> np.uint64(32))).astype(np.uint32))
     shift = np.arange(size, dtype=np.uint32)[:, None]
     out = np.full(size, 0xFFFFFFFF, np.uint32)
     for start in range(0, len(places), 1024):
-        out = np.minimum(out, _mix32(places[None, start : start + 1024] + shift).min(axis=1))
+        out = np.minimum(out, _ordered(places[None, start : start + 1024] + shift).min(axis=1))
     return out
 
 
