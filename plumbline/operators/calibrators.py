@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, clipped, expit, logit, pick
@@ -49,14 +49,26 @@ def buffered(lo: float, hi: float, space: str, buffer_logit: float) -> tuple[flo
     return lo, hi
 
 
+def broadcast(value):
+    """A driver object for all tasks, sent to each executor once; its owner has bounded its size by ``MAX_POINTS``."""
+    return SparkSession.getActiveSession().sparkContext.broadcast(value)
+
+
 def lookup(xs: np.ndarray, ys: np.ndarray, linear: bool = False):
-    """Column function: the step (value of the last x not above) or the line through (xs, ys), clamped at both ends."""
+    """Column function: the step (value of the last x not above) or the line through (xs, ys), clamped at both ends.
+
+    Up to 128 steps are an array literal; longer tables, of ``MAX_POINTS`` knots at most, are broadcast."""
     xs, ys = np.asarray(xs, float), np.asarray(ys, float)
+    if len(xs) > MAX_POINTS + 2:
+        raise ValueError(f"a map of more than {MAX_POINTS} knots")
     if not linear and len(xs) <= 128:
         return lambda c: pick(F.greatest(bin_index(c, list(xs)) - 1, F.lit(0)), list(ys))
 
+    table = broadcast((xs, ys))
+
     @F.pandas_udf("double")
     def look(s: pd.Series) -> pd.Series:
+        xs, ys = table.value
         if linear:
             return pd.Series(np.interp(s, xs, ys))
         return pd.Series(ys[np.clip(np.searchsorted(xs, s, "right") - 1, 0, len(xs) - 1)])
@@ -538,20 +550,20 @@ class VennAbers(Calibrator):
         return b / (1 - a + b)
 
     def predict(self, score):
-        local = self.local
+        model = broadcast(self)
 
         @F.pandas_udf("double")
         def look(s: pd.Series) -> pd.Series:
-            return pd.Series(local(s.to_numpy()))
+            return pd.Series(model.value.local(s.to_numpy()))
 
         return look(score)
 
     def predict_interval(self, score: Column) -> Column:
-        interval = self.interval
+        model = broadcast(self)
 
         @F.pandas_udf("p0 double, p1 double")
         def look(s: pd.Series) -> pd.DataFrame:
-            a, b = interval(s.to_numpy())
+            a, b = model.value.interval(s.to_numpy())
             return pd.DataFrame({"p0": a, "p1": b})
 
         return look(score)
