@@ -142,7 +142,12 @@ def _at(q: float) -> str:
 
 
 query("ici_quantiles", f"WITH {_APART} SELECT round({_at(0.5)}, 6) AS e50, round({_at(0.9)}, 6) AS e90")(lambda f, *_: {k: v for k, v in M.ici_family(f).items() if k in ("e50", "e90")})
-query("smooth_ece", None)(lambda f, *_: {"smooth_ece": M.smooth_ece(f)})
+query("smooth_ece", f"""WITH RECURSIVE {frame()}, zm AS MATERIALIZED (SELECT {LOGIT} AS z, sum(w*(y-s))/any_value(t) AS m FROM cal, (SELECT sum(w) AS t FROM cal) GROUP BY 1), rg AS MATERIALIZED (SELECT min(z) AS a, max(z) AS b FROM zm),
+bi(lo, hi, k) AS (SELECT 1e-4::DOUBLE, 2.0::DOUBLE, 0 UNION ALL
+  SELECT CASE WHEN v > mid THEN mid ELSE lo END, CASE WHEN v > mid THEN hi ELSE mid END, k+1 FROM (SELECT lo, hi, k, mid, sum(abs(d)*CASE WHEN j IN (0, 256) THEN 0.5 ELSE 1 END)*step AS v FROM (
+    SELECT lo, hi, k, mid, j, step, sum(m*exp(-0.5*power((a-5*mid+j*step-z)/mid, 2)))/(mid*sqrt(2*pi())) AS d
+    FROM (SELECT *, (b-a+10*mid)/256 AS step FROM (SELECT *, (lo+hi)/2 AS mid FROM bi, rg WHERE hi-lo >= 1e-4)), range(257) t(j), zm GROUP BY lo, hi, k, mid, a, j, step) GROUP BY lo, hi, k, mid, step))
+SELECT round((lo+hi)/2, 6) AS smooth_ece FROM bi ORDER BY k DESC LIMIT 1""")(lambda f, *_: {"smooth_ece": M.smooth_ece(f)})
 _PAIR = "2*exp(-abs(a.s-b.s)/0.1::DOUBLE)*(a.y-a.s)*(b.y-b.s)"
 query("skce_uq", f"WITH {frame()} SELECT round(avg({_PAIR}), 6) AS skce FROM cal a JOIN cal b ON a.row_id <> b.row_id", **_ONE)(lambda f, *_: {"skce": M.skce(f, 0.1)})
 query("skce_biased", f"WITH {frame()} SELECT round(avg({_PAIR}), 6) AS skce FROM cal a, cal b", **_ONE)(lambda f, *_: {"skce": M.skce(f, 0.1, biased=True)})
@@ -163,7 +168,14 @@ SELECT round(ns.b1, 6) AS slope, round(ni.b0, 6) AS intercept, ns.b1 BETWEEN 0.9
   (ns.b1 BETWEEN 0.9 AND 1.1) AND abs(ni.b0) <= 0.1 AND z < 1.959964 AS all_ok FROM ns, ni, z""")(lambda f, *_: {k: v for k, v in M.guardrails(f).items() if k != "spiegelhalter_p"})
 query("reliability_summary", f"""WITH {_APART}, {_SLO}, {_INT}, sz AS MATERIALIZED (SELECT {_SZ} AS z FROM cal), su AS MATERIALIZED (SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS events FROM cal)
 SELECT n, events, round(ni.b0, 6) AS intercept, round(ns.b1, 6) AS slope, round((SELECT sum(w*d)/sum(w) FROM ap), 6) AS ici, round({_at(0.9)}, 6) AS e90, round({_two_sided('z')}, 6) AS spiegelhalter_p FROM su, ni, ns, sz""")(lambda f, *_: M.reliability_summary(f))
-query("evaluate_points", None)(lambda f, *_: M.evaluate(f))
+#: Each value of the catalogue from the query that has it.
+_VALUES = {
+    "log_loss": ("scores_weighted", "log_loss"), "brier": ("scores_weighted", "brier"), "brier_skill": ("scores_weighted", "brier_skill"), "ece": ("ece_mass", "ece"), "ece_debiased": ("ece_debiased", "ece"),
+    "mce": ("mce", "ece"), "ece_sweep": ("ece_sweep", "ece"), "smooth_ece": ("smooth_ece", "smooth_ece"), "ecce_max": ("ecce", "stat_max"), "ecce_mean": ("ecce", "stat_mean"), "ici": ("reliability_summary", "ici"),
+    "e50": ("ici_quantiles", "e50"), "e90": ("ici_quantiles", "e90"), "spiegelhalter_z": ("spiegelhalter", "z"), "spiegelhalter_p": ("spiegelhalter_p", "p_value"), "intercept": ("cal_intercept", "intercept"), "slope": ("cal_slope", "slope"),
+}
+_EMAX = f"(SELECT emax FROM (WITH {_APART} SELECT round(max(d), 6) AS emax FROM ap)) AS emax"
+query("evaluate_points", "SELECT " + ", ".join(f"(SELECT {c} FROM ({_SQL[q]})) AS {name}" for name, (q, c) in _VALUES.items()) + f", {_EMAX}")(lambda f, *_: M.evaluate(f))
 query("bootstrap_ci", None)(lambda f, *_: M.bootstrap(f, 1000))
 query("evaluate_intervals", None)(lambda f, *_: M.intervals(f, replicates=100))
 
@@ -323,7 +335,17 @@ al AS MATERIALIZED (SELECT floor(s*4) AS b, (sum(y)+0.5)/(count(*)+1) AS q FROM
 query("wrapper_cv_pooled", f"{_CVW}, {newton(['1.0', LOGIT], source='ov', name='nw')} SELECT row_id, round({_sig('b0+b1*(ln(q)-ln(1-q))')}, 5) AS p FROM cal JOIN al ON b = floor(s*4), nw", digits=5)(
     lambda f, *_: T.CalibratedModel(_rates, lambda: C.Beta("ab"), "cv").fit(f.df, "y", "row_id", "w").transform(f.df).select("row_id", "p")
 )
-query("wrapper_cv_ensemble", None)(lambda f, *_: T.CalibratedModel(T.logistic_trainer(["s"], "y"), C.Platt, "cv", ensemble=True).fit(f.df, "y", "row_id", "w").transform(f.df).select("row_id", "p"))
+def _member(j: int) -> str:
+    """A fold's model on the other folds, and a Platt map of its scores on that fold."""
+    held = f"he{j} AS MATERIALIZED (SELECT row_id, w, y, {_sig('b0+b1*s')} AS s FROM fo, mo{j} WHERE fold = {j})"
+    smoothed = f"tg{j} AS MATERIALIZED (SELECT c.*, CASE WHEN y > 0.5 THEN (k+1)/(k+2) ELSE 1/(n-k+2) END AS t FROM he{j} c, (SELECT sum(y) AS k, CAST(count(*) AS DOUBLE) AS n FROM he{j}))"
+    return f"tr{j} AS MATERIALIZED (SELECT s, y FROM fo WHERE fold <> {j}), {newton(['1.0', 's'], w='1.0', source=f'tr{j}', name=f'mo{j}')}, {held}, {smoothed}, {newton(['1.0', LOGIT], y='t', source=f'tg{j}', name=f'pm{j}')}"
+
+
+_MEMBERS = ", ".join(_member(j) for j in range(5))
+_MEAN = " + ".join(_sig(f"pm{j}.b0+pm{j}.b1*(mo{j}.b0+mo{j}.b1*s)") for j in range(5))
+query("wrapper_cv_ensemble", f"""WITH {frame()}, fo AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY (row_id*7919+42) % 100003, row_id) - 1) % 5 AS fold FROM cal), {_MEMBERS}
+SELECT row_id, round(({_MEAN})/5, 6) AS p FROM cal, {', '.join(f'pm{j}, mo{j}' for j in range(5))}""")(lambda f, *_: T.CalibratedModel(T.logistic_trainer(["s"], "y"), C.Platt, "cv", ensemble=True).fit(f.df, "y", "row_id", "w").transform(f.df).select("row_id", "p"))
 query("prefit_wrapper", f"WITH {frame()}, {PLATT} SELECT row_id, round({_sig('b0+b1*' + LOGIT + '+0.1')}, 6) AS p FROM cal, pl")(
     lambda f, *_: T.CalibratedModel(F.col("s"), C.Platt).fit(f.df, "y", "row_id", "w").offset_to(delta=0.1).transform(f.df).select("row_id", "p")
 )
