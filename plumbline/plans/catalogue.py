@@ -315,7 +315,31 @@ query("cv_oof_histogram", f"{_FOLD} SELECT row_id, CAST(fo.fold AS BIGINT) AS fo
 )
 
 
-@query("selector_report", None)
+def _candidate(j: int) -> str:
+    """Histogram, Platt and temperature fitted off fold j, and the fold's rows by each."""
+    off = f"of{j} AS MATERIALIZED (SELECT * FROM fo WHERE fold <> {j})"
+    smoothed = f"tg{j} AS MATERIALIZED (SELECT c.*, CASE WHEN y > 0.5 THEN (k+1)/(k+2) ELSE 1/(n-k+2) END AS t FROM of{j} c, (SELECT sum(y) AS k, CAST(count(*) AS DOUBLE) AS n FROM of{j}))"
+    fits = f"{newton(['1.0', LOGIT], y='t', source=f'tg{j}', name=f'pm{j}')}, {newton([LOGIT], source=f'of{j}', name=f'tm{j}')}, {binned(10, w='w', source=f'of{j}', name=f'hb{j}')}"
+    bins = f"hr{j} AS MATERIALIZED (SELECT row_id, (k+0.5)/(x.w+1) AS h FROM (SELECT *, len(list_filter(e, lambda v: v <= s)) AS bin FROM fo, hb{j}_e WHERE fold = {j}) c JOIN hb{j} x USING (bin))"
+    rows = f"ho{j} AS MATERIALIZED (SELECT fold, y, w, {_sig('p.b0+p.b1*' + LOGIT)} AS platt, {_sig('t.b0*' + LOGIT)} AS temperature, h AS histogram FROM fo JOIN hr{j} USING (row_id), pm{j} p, tm{j} t WHERE fold = {j})"
+    return ", ".join([off, smoothed, fits, bins, rows])
+
+
+_NAMED = ("histogram", "platt", "temperature")
+_HELD = ", ".join(f"v_{m} AS MATERIALIZED (SELECT fold, y, w, {m} AS s FROM every)" for m in _NAMED)
+_CHECKS = ", ".join(f"{newton(['1.0', LOGIT], source=f'v_{m}', name=f'gs_{m}')}, {newton(['1.0'], offset=LOGIT, source=f'v_{m}', name=f'gi_{m}')}" for m in _NAMED)
+_RANKS = {"histogram": 10, "platt": 2, "temperature": 1}
+_RESULT = " UNION ALL ".join(
+    f"SELECT '{m}' AS method, {_RANKS[m]} AS rank, (SELECT avg(l) FROM fl_{m}) AS mean, (SELECT stddev_samp(l) FROM fl_{m}) AS sd, gs_{m}.b1 BETWEEN 0.9 AND 1.1 AND abs(gi_{m}.b0) <= 0.1 AND abs(z) < 1.959964 AS ok FROM gs_{m}, gi_{m}, (SELECT {_SZ} AS z FROM v_{m})" for m in _NAMED
+)
+_LOSSES = ", ".join(f"fl_{m} AS MATERIALIZED (SELECT fold, {_LL} AS l FROM v_{m} GROUP BY fold)" for m in _NAMED)
+_SELECT = f"""WITH {frame()}, fo AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY (row_id*7919+42) % 100003, row_id) - 1) % 5 AS fold FROM cal), {', '.join(map(_candidate, range(5)))},
+every AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM ho{j}' for j in range(5))}), {_HELD}, {_CHECKS}, {_LOSSES}, re AS MATERIALIZED ({_RESULT}),
+be AS MATERIALIZED (SELECT mean, sd FROM re ORDER BY mean LIMIT 1), ch AS MATERIALIZED (SELECT re.method FROM re, be WHERE re.mean <= be.mean + be.sd/sqrt(5.0) ORDER BY rank, re.mean LIMIT 1)
+SELECT re.method, round(mean, 6) AS score_mean, round(sd, 6) AS score_sd, ok AS guardrails_ok, re.method = ch.method AS chosen FROM re, ch"""
+
+
+@query("selector_report", _SELECT)
 def _selector(f, spark, d):
     report, _, chosen = T.select(f, {"histogram": C.Histogram, "platt": C.Platt, "temperature": C.Temperature})
     return spark.createDataFrame([(r["method"], r["mean"], r["sd"], r["guardrails_ok"], r["method"] == chosen) for r in report], "method string, score_mean double, score_sd double, guardrails_ok boolean, chosen boolean")
