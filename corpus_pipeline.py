@@ -35,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     docs = docs.select(*COLUMNS)
     named = docs.where("doc_id is not null")
-    repeated = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # a table of its own, so that its size is known when the joins are planned: few repeats are broadcast, and no text is shuffled for them
+    repeated = stored(named.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
     once = named.join(repeated, "doc_id", "left_anti").withColumn("key", F.col("doc_id").cast("long"))
     again = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
