@@ -11,7 +11,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, clipped, expit, logit, pick
@@ -51,7 +52,7 @@ def buffered(lo: float, hi: float, space: str, buffer_logit: float) -> tuple[flo
 
 def broadcast(value):
     """A driver object for all tasks, sent to each executor once; its owner has bounded its size by ``MAX_POINTS``."""
-    return SparkSession.getActiveSession().sparkContext.broadcast(value)
+    return SparkContext.getOrCreate().broadcast(value)
 
 
 def lookup(xs: np.ndarray, ys: np.ndarray, linear: bool = False):
