@@ -193,7 +193,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Split batches so that the ``text`` of one holds about ``limit`` bytes at most, but one whole row at least."""
     for batch in batches:
         if batch.num_rows == 0:
