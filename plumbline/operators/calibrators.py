@@ -22,6 +22,10 @@ from .solvers import irls, isotonic_blocks, pava, root_1d, together
 
 
 
+#: Rows of a range that one task walks in order.
+RANGE_ROWS = 200_000
+
+
 class Unattainable(ValueError):
     """A calibrated target that the map does not reach."""
 
@@ -529,21 +533,70 @@ class CenteredIsotonic(Isotonic):
 class VennAbers(Calibrator):
     """Inductive Venn-Abers: isotonic values at a new score labelled 0 and labelled 1, by tangents between two lower hulls.
 
-    Rows in the order of (score, row_id) go to the driver (``MAX_POINTS`` of them at most); ties are not pooled."""
+    Rows are range-sorted by (score, row_id); ties are not pooled. Each range hands on the lower hull of its own points, and then walks
+    its points between the hulls of the ranges before and after it: any number of rows will do. Neighbouring scores alike in both values
+    are one step; only hulls and steps reach the driver (``MAX_POINTS`` steps at most)."""
 
     rank = 60.0
 
     def _fit(self, f):
-        if f.df.count() > MAX_POINTS:
-            raise ValueError(f"more than {MAX_POINTS} rows, which must be in order on one machine; fit on a sample")
-        got = f.df.orderBy("s", *(["row_id"] if "row_id" in f.df.columns else [])).select("s", "y", "w").toPandas()
-        self.s = got["s"].to_numpy(float)
-        w, y = got["w"].to_numpy(float), got["y"].to_numpy(float)
-        c, z = np.r_[0, np.cumsum(w)].tolist(), np.r_[0, np.cumsum(w * y)].tolist()
-        self.p0, self.p1 = (np.array(_inserted(c, z, label)) for label in (0.0, 1.0))
+        order = ["s", *(["row_id"] if "row_id" in f.df.columns else [])]
+        parts = max(1, math.ceil(f.df.count() / RANGE_ROWS))
+        rows = f.df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("s", "y", "w", F.spark_partition_id().alias("part")).persist()
+
+        def hulls(batches):
+            t = pd.concat(list(batches))
+            if len(t):
+                c, z = _points(t)
+                at = _lower(c, z)
+                yield pd.DataFrame({"part": t["part"].iloc[0], "c": c[at], "z": z[at], "s": t["s"].iloc[-1]})
+
+        got = rows.mapInPandas(hulls, "part int, c double, z double, s double").toPandas()
+        before, c0, z0, last, ends = {}, 0.0, 0.0, -1.0, []
+        for part, t in got.sort_values(["part", "c"], kind="stable").groupby("part"):
+            before[part] = c0, z0, last
+            ends.append((part, c0 + t["c"].to_numpy(), z0 + t["z"].to_numpy()))
+            c0, z0, last = ends[-1][1][-1], ends[-1][2][-1], float(t["s"].iloc[0])
+        shared = broadcast((before, ends))
+
+        def steps(batches):
+            t = pd.concat(list(batches))
+            if not len(t):
+                return
+            part = int(t["part"].iloc[0])
+            before, ends = shared.value
+            c0, z0, last = before[part]
+            side = lambda some: [np.concatenate(x) if x else np.empty(0) for x in zip(*[e[1:] for e in some])] or [np.empty(0)] * 2
+            left, right = side([e for e in ends if e[0] < part]), side([e for e in ends if e[0] > part])
+            low, high = _lower(*left) if len(left[0]) else [], _lower(*right) if len(right[0]) else []
+            c, z = _points(t)
+            c, z = c0 + c, z0 + z
+            # the hulls before and after meet the own points in their first and last one
+            lc, rc = [left[0][low][:-1], left[1][low][:-1]], [right[0][high][1:], right[1][high][1:]]
+            s = t["s"].to_numpy()
+            first = np.flatnonzero(np.r_[s[0] != last, s[1:] != s[:-1]])
+            places = np.r_[first, len(s)] if part == ends[-1][0] else first
+            where = (len(lc[0]) + places).tolist()
+            p0, p1 = (np.array(_inserted(np.r_[lc[0], c, rc[0]].tolist(), np.r_[lc[1], z, rc[1]].tolist(), label, where)) for label in (0.0, 1.0))
+            if lead := int(first[0]) if len(first) else len(s):  # rows of a score that began before: its step counts them
+                yield pd.DataFrame({"x": [last], "p0": np.nan, "p1": np.nan, "n": lead})
+            if not len(places):
+                return
+            x, n = np.r_[s, np.inf][places], np.diff(np.r_[places, len(s)])
+            new = np.r_[True, (p0[1:] != p0[:-1]) | (p1[1:] != p1[:-1])]
+            to = np.flatnonzero(np.r_[new[1:], True])
+            yield pd.DataFrame({"x": x[to], "p0": p0[to], "p1": p1[to], "n": np.add.reduceat(n, np.flatnonzero(new))})
+
+        got = rows.mapInPandas(steps, "x double, p0 double, p1 double, n long").limit(MAX_POINTS + 1).toPandas()
+        rows.unpersist()
+        if len(got) > MAX_POINTS:
+            raise ValueError(f"more than {MAX_POINTS} steps of the map")
+        found, more = got[got["p0"].notna()].sort_values("x", kind="stable"), got[got["p0"].isna()]
+        self.ends, self.p0, self.p1, self.rows = (found[k].to_numpy().copy() for k in ("x", "p0", "p1", "n"))
+        np.add.at(self.rows, np.searchsorted(self.ends, more["x"].to_numpy(), "left"), more["n"].to_numpy())
 
     def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = np.searchsorted(self.s, s, "left")
+        k = np.searchsorted(self.ends, s, "left")
         return self.p0[k], self.p1[k]
 
     def local(self, s):
@@ -570,15 +623,31 @@ class VennAbers(Calibrator):
         return look(score)
 
     def parameters(self):
-        a, b = self.interval(self.s)
-        return {"mean_width": float((b - a).mean()), "max_width": float((b - a).max())}
+        width, seen = self.p1 - self.p0, self.rows > 0
+        return {"mean_width": float(np.average(width, weights=self.rows)), "max_width": float(width[seen].max())}
 
     def readings(self):
         return ["the width of the interval is the local uncertainty", "the guarantee covers the interval, not its merged value"]
 
 
-def _inserted(c: list[float], z: list[float], label: float) -> list[float]:
-    """Isotonic value at a unit-weight point put in at each position: the greatest over starts at most there of the least
+def _points(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Cumulative weights and weighted outcomes of rows in order, from the origin."""
+    w = t["w"].to_numpy(float)
+    return np.r_[0.0, np.cumsum(w)], np.r_[0.0, np.cumsum(w * t["y"].to_numpy(float))]
+
+
+def _lower(c: np.ndarray, z: np.ndarray) -> list[int]:
+    """Places of the lower hull's corners, for points in the order of c."""
+    x, y, out = c.tolist(), z.tolist(), []
+    for k in range(len(x)):
+        while len(out) > 1 and (y[out[-1]] - y[out[-2]]) * (x[k] - x[out[-1]]) >= (y[k] - y[out[-1]]) * (x[out[-1]] - x[out[-2]]):
+            out.pop()
+        out.append(k)
+    return out
+
+
+def _inserted(c: list[float], z: list[float], label: float, places: Sequence[int] | None = None) -> list[float]:
+    """Isotonic value at a unit-weight point put in at each of ``places`` (all, if none): the greatest over starts at most there of the least
     over ends at least there of the slope; found as the tangent of the hull of the points before and of the points after."""
     n = len(c)
     cross = lambda i, j, k: (z[j] - z[i]) * (c[k] - c[j]) - (z[k] - z[j]) * (c[j] - c[i])
@@ -594,7 +663,7 @@ def _inserted(c: list[float], z: list[float], label: float) -> list[float]:
             j = after[j]
         after[k] = j
     out = []
-    for k in range(n):
+    for k in range(n) if places is None else places:
         i, j = k, k
         slope = lambda i, j: (z[j] + label - z[i]) / (c[j] + 1 - c[i])
         moved = True
