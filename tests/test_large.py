@@ -18,6 +18,22 @@ def drawn(spark, rows, digits=None, seed=3):
     return Frame(spark.createDataFrame(t), True), t.sort_values(["s", "row_id"]).reset_index(drop=True)
 
 
+@pytest.mark.parametrize("digits", [None, 1])
+def test_venn_abers_over_ranges(spark, monkeypatch, digits):
+    monkeypatch.setattr(C, "MAX_POINTS", 400)
+    monkeypatch.setattr(C, "RANGE_ROWS", 90, raising=False)
+    f, t = drawn(spark, 1500, digits)
+    c, z = np.r_[0, np.cumsum(t.w)].tolist(), np.r_[0, np.cumsum(t.w * t.y)].tolist()
+    at = np.r_[0.0, np.linspace(0.01, 0.99, 60), t.s, 1.0]
+    k = np.searchsorted(t.s, at, "left")
+    m = C.VennAbers().fit(f)
+    for got, label in zip(m.interval(at), (0.0, 1.0)):
+        assert got == pytest.approx(np.array(C._inserted(c, z, label))[k], abs=1e-12)
+    assert m.rows.sum() == 1500
+    lo, hi = m.interval(t.s.to_numpy())
+    assert m.parameters()["mean_width"] == pytest.approx((hi - lo).mean(), abs=1e-12)
+
+
 def test_cross_venn_abers_over_ranges(spark, monkeypatch):
     f, t = drawn(spark, 1500)
     whole = C.CrossVennAbers().fit(f)
