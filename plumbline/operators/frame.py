@@ -15,6 +15,10 @@ from ..functions.exprs import clipped
 MAX_POINTS = 2_000_000
 
 
+class TooManyPoints(ValueError):
+    """More distinct scores than ``MAX_POINTS``."""
+
+
 def S() -> Column:
     """The score column; a function, as columns need a session and modules are imported without one."""
     return F.col("s")
@@ -145,7 +149,7 @@ class Frame:
         One grouped aggregate; only distinct scores reach the driver, at most ``MAX_POINTS`` of them."""
         rows = self.df.groupBy("s").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("y").alias("k"))
         if rows.count() > MAX_POINTS:
-            raise ValueError(f"more than {MAX_POINTS} distinct scores; round them first")
+            raise TooManyPoints(f"more than {MAX_POINTS} distinct scores; round them first")
         got = rows.orderBy("s").toPandas()
         return {c: got[c].to_numpy(float) for c in got.columns}
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.exprs import bin_index, logit, softplus, traffic_light, wilson
-from .frame import MAX_POINTS, Frame, S, W, Y, merged, prefixed
+from .frame import MAX_POINTS, Frame, S, TooManyPoints, W, Y, merged, prefixed
 from .kernel import skce, skce_linear, skce_test  # noqa: F401
+from .local_regression import Line, spread_quantiles
 from .solvers import irls, loess, repeated_quantiles, together
 
 
@@ -149,7 +150,10 @@ def _smoothed(f: Frame, frac: float = 0.75, grid: int | None = 512) -> tuple[dic
 def ici_family(f: Frame, frac: float = 0.75, grid: int | None = 512) -> dict[str, float]:
     """Mean, median, 90th percentile and maximum distance of the local regression from the scores; the regression is
     unweighted, its average weighted."""
-    p, smooth = _smoothed(f, frac, grid)
+    try:
+        p, smooth = _smoothed(f, frac, grid)
+    except TooManyPoints:
+        return _ici_family_far(f, frac, grid)
     apart = np.abs(smooth - p["s"])
     out = {"ici": float(np.average(apart, weights=p["w"])), "emax": float(apart.max())}
     for name, q in (("e50", 0.5), ("e90", 0.9)):
@@ -157,6 +161,18 @@ def ici_family(f: Frame, frac: float = 0.75, grid: int | None = 512) -> dict[str
     return out
 
 
+def _ici_family_far(f: Frame, frac: float, grid: int | None) -> dict[str, float]:
+    """The same over more distinct scores than the driver holds."""
+    line = Line(f)
+    fits = line.on_grid(frac, grid) if grid and line.rows > grid else line.everywhere(frac)
+    apart = fits.select(F.abs(F.col("c") - S()).alias("a"), "n", "w").persist()
+    ici, emax = apart.agg(F.sum(F.col("a") * W()) / F.sum("w"), F.max("a")).first()
+    e50, e90 = spread_quantiles(apart, [0.5, 0.9], f.weighted)
+    apart.unpersist()
+    line.done()
+    return {"ici": float(ici), "emax": float(emax), "e50": e50, "e90": e90}
+
+
 def weighted_quantile(x: np.ndarray, q: float, w: np.ndarray) -> float:
     order = np.argsort(x, kind="stable")
     x, w = x[order], w[order]
@@ -164,7 +180,15 @@ def weighted_quantile(x: np.ndarray, q: float, w: np.ndarray) -> float:
 
 
 def logloss_decomposition(f: Frame, frac: float = 0.75) -> dict[str, float]:
-    p, c = _smoothed(f, frac, None)
+    try:
+        p, c = _smoothed(f, frac, None)
+    except TooManyPoints:
+        line = Line(f)
+        c = F.greatest(F.least(F.col("c"), F.lit(1 - 1e-12)), F.lit(1e-12))
+        kl = c * F.log(c / S()) + (1 - c) * F.log((1 - c) / (1 - S()))
+        got = line.everywhere(frac).agg(mean(kl), mean(-(c * F.log(c) + (1 - c) * F.log1p(-c)))).first()
+        line.done()
+        return {"calibration": float(got[0]), "refinement": float(got[1])}
     c = np.clip(c, 1e-12, 1 - 1e-12)
     kl = c * np.log(c / p["s"]) + (1 - c) * np.log((1 - c) / (1 - p["s"]))
     entropy = -(c * np.log(c) + (1 - c) * np.log1p(-c))
@@ -310,7 +334,14 @@ def reliability(f: Frame, n_bins: int = 10, strategy: str = "mass") -> DataFrame
 
 
 def reliability_loess(f: Frame, points: int = 100, frac: float = 0.75) -> list[tuple[float, float]]:
-    p = f.pooled()
+    try:
+        p = f.pooled()
+    except TooManyPoints:
+        line = Line(f)
+        at = np.linspace(*line.quantiles([0.005, 0.995]), points)
+        fit = line.places(at, frac)
+        line.done()
+        return list(zip(at.tolist(), np.clip(fit, 0, 1).tolist()))
     at = np.linspace(*repeated_quantiles(p["s"], p["n"], [0.005, 0.995]), points)
     return list(zip(at.tolist(), np.clip(loess(p["s"], p["n"], p["k"], at, frac), 0, 1).tolist()))
 

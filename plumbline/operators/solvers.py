@@ -172,6 +172,22 @@ def loess(x: np.ndarray, n: np.ndarray, k: np.ndarray, at: np.ndarray, frac: flo
     lo, hi = np.searchsorted(upto, first, "right"), np.searchsorted(upto, first + r - 1, "right")
     hi = np.minimum(hi, len(x) - 1)
     h = np.maximum(at - x[lo], x[hi] - at)
+
+    def powers(a: int, b: int, centre: float, scale: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        u = (x[a:b] - centre) / scale
+        power = np.ones_like(u)
+        sums_n, sums_k = [], []
+        for _ in range(12):
+            sums_n.append(np.r_[0.0, np.cumsum(n[a:b] * power)])
+            sums_k.append(np.r_[0.0, np.cumsum(k[a:b] * power)])
+            power = power * u
+        return sums_n, sums_k
+
+    return local_fits(x, n, k, powers, lo, hi, at, h, degree)
+
+
+def local_fits(x: np.ndarray, n: np.ndarray, k: np.ndarray, powers: Callable, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, h: np.ndarray, degree: int) -> np.ndarray:
+    """Fits at places with windows of half width ``h``, from ``lo`` to ``hi`` of ``x``; ``powers`` gives prefix sums of powers about a centre."""
     out = np.empty(len(at))
     for j in np.flatnonzero(h <= 0):
         part = slice(lo[j], hi[j] + 1)
@@ -187,13 +203,7 @@ def loess(x: np.ndarray, n: np.ndarray, k: np.ndarray, at: np.ndarray, frac: flo
         start += len(mine)
         a, b = int(lo[mine].min()), int(hi[mine].max()) + 1
         scale = float(h[mine].max())
-        t = (x[a:b] - centre) / scale
-        powers = np.ones_like(t)
-        sums_n, sums_k = [], []
-        for _ in range(12):
-            sums_n.append(np.r_[0.0, np.cumsum(n[a:b] * powers)])
-            sums_k.append(np.r_[0.0, np.cumsum(k[a:b] * powers)])
-            powers = powers * t
+        sums_n, sums_k = powers(a, b, centre, scale)
         c, width = (at[mine] - centre) / scale, h[mine] / scale
         middle = np.searchsorted(x, at[mine], "left") - a
         left, right = np.maximum(np.searchsorted(x, at[mine] - h[mine], "left"), lo[mine]) - a, np.minimum(np.searchsorted(x, at[mine] + h[mine], "right"), hi[mine] + 1) - a

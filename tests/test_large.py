@@ -4,7 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import calibrators as C
+from plumbline.operators import frame, local_regression
+from plumbline.operators import metrics as M
 from plumbline.operators.frame import Frame
 
 
@@ -41,3 +45,24 @@ def test_cross_venn_abers_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(C, "RANGE_ROWS", 90, raising=False)
     got = C.CrossVennAbers().fit(f)
     assert got.local(t.s.to_numpy()) == pytest.approx(whole.local(t.s.to_numpy()), abs=1e-12)
+
+
+#: What the local regression gives, by name.
+ASKED = {
+    "ici_family": lambda f: M.ici_family(f, grid=None),
+}
+
+
+@pytest.mark.parametrize("digits", [None, 2])
+@pytest.mark.parametrize("name", ASKED)
+def test_local_regression_past_one_machine(spark, monkeypatch, name, digits):
+    """Results of the local regression without all distinct scores on the driver are those with them."""
+    weighted, _ = drawn(spark, 1500, digits)
+    frames = [weighted, Frame(weighted.df.withColumn("w", F.lit(1.0)))]
+    near = [ASKED[name](f) for f in frames]
+    monkeypatch.setattr(frame, "MAX_POINTS", 50)
+    monkeypatch.setattr(local_regression, "RANGE_SCORES", 40 if digits else 500)
+    for f, due in zip(frames, near):
+        got = ASKED[name](f)
+        assert list(got) == (pytest.approx(list(due), abs=1e-12) if name == "curve" else list(due))
+        assert list(got.values()) == pytest.approx(list(due.values()), abs=1e-9)
