@@ -51,6 +51,7 @@ def test_cross_venn_abers_over_ranges(spark, monkeypatch):
 ASKED = {
     "ici_family": lambda f: M.ici_family(f, grid=None),
     "evaluate": lambda f: M.evaluate(f, ["ici", "e50", "e90", "emax"]),
+    "logloss": M.logloss_decomposition,
 }
 
 
