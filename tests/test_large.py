@@ -53,6 +53,7 @@ ASKED = {
     "evaluate": lambda f: M.evaluate(f, ["ici", "e50", "e90", "emax"]),
     "logloss": M.logloss_decomposition,
     "summary": lambda f: {k: v for k, v in M.reliability_summary(f).items() if k in ("ici", "e90")},
+    "quantiles": lambda f: M.ici_family(f, grid=64),
 }
 
 
