@@ -54,6 +54,7 @@ ASKED = {
     "logloss": M.logloss_decomposition,
     "summary": lambda f: {k: v for k, v in M.reliability_summary(f).items() if k in ("ici", "e90")},
     "quantiles": lambda f: M.ici_family(f, grid=64),
+    "curve": lambda f: dict(M.reliability_loess(f)),
 }
 
 
