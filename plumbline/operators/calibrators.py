@@ -22,6 +22,8 @@ from .solvers import irls, isotonic_blocks, pava, root_1d, together
 
 
 
+#: Distinct pairs of fold and score that a spline is fitted to on the driver; more stay on the executors.
+SPLINE_PAIRS = 500_000
 #: Rows of a range that one task walks in order.
 RANGE_ROWS = 200_000
 
@@ -793,7 +795,9 @@ class ENIR(Calibrator):
 
 
 class Spline(Calibrator):
-    """Penalised natural cubic spline in the log-odds; the penalty is chosen by held-out log loss."""
+    """Penalised natural cubic spline in the log-odds; the penalty is chosen by held-out log loss.
+
+    Over more than ``SPLINE_PAIRS`` distinct pairs of fold and score, a Newton step of all folds and penalties is one pass of sums."""
 
     rank = 12.0
 
@@ -818,9 +822,13 @@ class Spline(Calibrator):
         # ties pooled by fold: the fits of all penalties and folds need these sums only
         dealt = folds(f.df, self.cv, self.seed) if "row_id" in f.df.columns else f.df.withColumn("fold", F.lit(0))
         dealt = dealt.groupBy("fold", "s").agg(F.sum("w").alias("w"), F.sum(W() * Y()).alias("wy"))
-        if dealt.count() > MAX_POINTS:
-            raise ValueError(f"more than {MAX_POINTS} distinct pairs of fold and score; round the scores first")
+        dealt = dealt.persist()
+        if dealt.count() > SPLINE_PAIRS:
+            self._choose_far(dealt, grid)
+            dealt.unpersist()
+            return
         rows = dealt.orderBy("s", "fold").toPandas()
+        dealt.unpersist()
         s = rows["s"].to_numpy(float)
         x, w, wy, fold = self.basis(np.log(s) - np.log1p(-s)), rows["w"].to_numpy(float), rows["wy"].to_numpy(float), rows["fold"].to_numpy()
         diff = np.diff(np.eye(x.shape[1]), 2, axis=0)
@@ -846,10 +854,66 @@ class Spline(Calibrator):
             return out
 
         self.lam = float(grid[int(np.argmin([held(v) for v in grid]))])
-        self.beta, h = solve(np.ones(len(s), bool), self.lam)
+        self._settle(*solve(np.ones(len(s), bool), self.lam), penalty)
+
+    def _settle(self, beta, h, penalty):
+        self.beta = beta
         self.edof = float(np.trace(np.linalg.solve(h + self.lam * penalty + 1e-10 * np.eye(len(h)), h)))
         self.monotone = bool(np.all(np.diff(self.local(np.linspace(0.002, 0.998, 399))) >= -1e-10))
 
+    def _choose_far(self, dealt: DataFrame, grid: np.ndarray) -> None:
+        """The same choice and fit from sums over (fold, s, w, wy): a task adds up its rows for every penalty and fold at once."""
+        shape = Spline()
+        shape.knots = self.knots
+        d = len(self.knots)
+        upper = np.triu_indices(d)
+        diff = np.diff(np.eye(d), 2, axis=0)
+        penalty = diff.T @ diff
+
+        def sums(betas: np.ndarray, left_out: np.ndarray, held: bool) -> np.ndarray:
+            """Hessian and gradient for each problem over the rows outside its fold, or the log loss on those inside."""
+
+            def run(batches):
+                total = np.zeros((len(betas), 1 if held else len(upper[0]) + d))
+                for t in batches:
+                    for a in range(0, len(t), 8192):
+                        s, w, wy = (t[c].to_numpy()[a : a + 8192] for c in ("s", "w", "wy"))
+                        fold = t["fold"].to_numpy()[a : a + 8192, None]
+                        x = shape.basis(np.log(s) - np.log1p(-s))
+                        q = 1 / (1 + np.exp(-np.clip(x @ betas.T, -30, 30)))
+                        if held:
+                            q = np.clip(q, 1e-12, 1 - 1e-12)
+                            total[:, 0] -= (np.where(fold == left_out, np.log(q), 0).T @ wy) + (np.where(fold == left_out, np.log1p(-q), 0).T @ (w - wy))
+                            continue
+                        use = fold != left_out
+                        total[:, : len(upper[0])] += (use * q * (1 - q) * w[:, None]).T @ (x[:, upper[0]] * x[:, upper[1]])
+                        total[:, len(upper[0]) :] += (use * (wy[:, None] - w[:, None] * q)).T @ x
+                yield pd.DataFrame({"problem": np.arange(len(betas)), "v": list(total)})
+
+            got = dealt.mapInPandas(run, "problem int, v array<double>").toPandas()
+            return np.array([np.sum(np.stack(v.to_list()), axis=0) for _, v in got.groupby("problem")["v"]])
+
+        def solve(lams: np.ndarray, left_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            betas, hessians, open_ = np.zeros((len(lams), d)), np.zeros((len(lams), d, d)), np.arange(len(lams))
+            for _ in range(100):
+                for k, v in zip(open_, sums(betas[open_], left_out[open_], False)):
+                    h = np.zeros((d, d))
+                    h[upper] = v[: len(upper[0])]
+                    hessians[k] = h + np.triu(h, 1).T
+                    step = np.linalg.solve(hessians[k] + lams[k] * penalty + 1e-10 * np.eye(d), v[len(upper[0]) :] - lams[k] * penalty @ betas[k])
+                    betas[k] += step
+                    if np.abs(step).max() < 1e-10 * (1 + np.abs(betas[k]).max()):
+                        open_ = open_[open_ != k]
+                if not len(open_):
+                    break
+            return betas, hessians
+
+        lams, left_out = np.repeat(grid, self.cv), np.tile(np.arange(self.cv), len(grid))
+        loss = sums(solve(lams, left_out)[0], left_out, True)[:, 0].reshape(len(grid), self.cv).sum(axis=1)
+        self.lam = float(grid[int(np.argmin(loss))])
+        betas, hessians = solve(np.array([self.lam]), np.array([-1]))
+        self._settle(betas[0], hessians[0], penalty)
+
     def local(self, s):
         s = np.clip(s, 1e-12, 1 - 1e-12)
         return 1 / (1 + np.exp(-np.clip(self.basis(np.log(s) - np.log1p(-s)) @ self.beta, -700, 700)))

@@ -71,3 +71,13 @@ def test_local_regression_past_one_machine(spark, monkeypatch, name, digits):
         got = ASKED[name](f)
         assert list(got) == (pytest.approx(list(due), abs=1e-12) if name == "curve" else list(due))
         assert list(got.values()) == pytest.approx(list(due.values()), abs=1e-9)
+
+
+def test_spline_past_one_machine(spark, monkeypatch):
+    f, t = drawn(spark, 1500)
+    near = C.Spline().fit(f)
+    monkeypatch.setattr(C, "MAX_POINTS", 400)
+    monkeypatch.setattr(C, "SPLINE_PAIRS", 400, raising=False)
+    got = C.Spline().fit(f)
+    assert got.parameters() == pytest.approx(near.parameters(), rel=1e-8) and got.monotone == near.monotone
+    assert got.local(t.s.to_numpy()) == pytest.approx(near.local(t.s.to_numpy()), abs=1e-9)
