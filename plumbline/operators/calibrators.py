@@ -721,8 +721,75 @@ class CrossVennAbers(Calibrator):
         return {"cv": self.cv, "mean_envelope_width": float((b - a).mean())}
 
 
+def _near_isotonic(hit: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The path of nearly isotonic regressions: the number of the merge that takes each border, the penalty from which a border falls
+    (infinite: never), and the penalty after each merge.
+
+    A block is (outcomes + penalty since the border before it fell - penalty since the one after fell) / weight. Neighbours that are
+    equal and drift into a fall count as falling from the next merge on. A merge or a new fall changes the closing times of the
+    borders beside it only, and a heap has the next one."""
+    n = len(hit)
+    h, v = hit.tolist(), u.tolist()
+    since = [math.inf, *np.where(np.diff(hit / u) < -1e-15, 0.0, math.inf).tolist(), math.inf]  # of the border before block k
+    after, before, times = list(range(1, n + 1)), list(range(-1, n - 1)), [math.inf] * (n + 1)
+    gone, lambdas, heap, drifting, lam = [n] * (n + 1), [0.0], [], [], 0.0
+    left = sum(x == 0.0 for x in since)
+
+    def gap(k):
+        i, end = before[k], after[k]
+        a, b, c = (lam - x if x <= lam else 0.0 for x in (since[i], since[k], since[end]))
+        return (h[k] + b - c) / v[k] - (h[i] + a - b) / v[i]
+
+    def close(k):
+        """When block k meets the one before it."""
+        i, end = before[k], after[k]
+        a, b, c = since[i] <= lam, since[k] <= lam, since[end] <= lam
+        speed = (b - c) / v[k] - (a - b) / v[i]
+        times[k] = math.inf
+        if speed > 0 if b else speed < 0:
+            apart = gap(k)
+            if b or apart > 0:
+                times[k] = max(lam - apart / speed, lam)
+                heapq.heappush(heap, (times[k], k))
+            else:
+                drifting.append(k)
+
+    for k in range(1, n):
+        close(k)
+    while left and heap:
+        when, k = heapq.heappop(heap)
+        if times[k] != when or gone[k] < n:
+            continue
+        moved, lam, i, end = when > lam, when, before[k], after[k]
+        fallen, waiting = [], []
+        if moved:
+            for j in set(drifting):
+                if gone[j] == n and since[j] == math.inf and j != k:
+                    (fallen if gap(j) < -1e-15 else waiting).append(j)
+            drifting.clear()
+        left -= since[k] < math.inf
+        h[i], v[i], after[i] = h[i] + h[k], v[i] + v[k], end
+        if end < n:
+            before[end] = i
+        lambdas.append(lam)
+        gone[k] = len(lambdas) - 1
+        left += len(fallen)
+        for j in fallen:
+            since[j] = lam
+        beside = {i, end, *waiting}
+        for j in fallen:
+            beside |= {before[j], j, after[j]}
+        for j in beside:
+            if 0 < j < n:
+                close(j)
+    return np.array(gone[1:n], np.int64), np.array(since[1:n]), np.array(lambdas)
+
+
 class ENIR(Calibrator):
-    """Average over the path of nearly isotonic regressions by BIC; the path is walked on the driver over distinct scores."""
+    """Average over the path of nearly isotonic regressions by BIC; the path is walked on the driver over distinct scores.
+
+    The walk is a heap of merges, and a fit anywhere on the path follows from the borders left there, so only fits that can be among
+    the best are made."""
 
     rank = 80.0
     monotone = False
@@ -733,56 +800,62 @@ class ENIR(Calibrator):
     def _fit(self, f):
         p = f.pooled()
         s, w, wy = p["s"], p["w"], p["wy"]
-        rest, size, penalty = w - wy, np.ones(len(s), int), math.log(w.sum())
-        m, u, hit, miss = wy / w, w.copy(), wy.copy(), rest.copy()
-        lam, path = 0.0, []
-
-        def likelihood(m, hit, miss):
+        penalty = math.log(w.sum())
+        gone, since, lambdas = _near_isotonic(wy, w)
+
+        def at(j):
+            """Levels, first scores, outcomes and weights of the blocks after ``j`` merges."""
+            first = np.flatnonzero(np.r_[True, gone > j])
+            h, v = np.add.reduceat(wy, first), np.add.reduceat(w, first)
+            fell = np.maximum(lambdas[j] - since[first[1:] - 1], 0)
+            return (h + np.r_[0, fell] - np.r_[fell, 0]) / v, first, h, v
+
+        def scored(j):
+            m, _, h, v = at(j)
             q = np.clip(m, 1e-12, 1 - 1e-12)
-            return float(hit @ np.log(q) + miss @ np.log1p(-q))
+            return float(h @ np.log(q) + (v - h) @ np.log1p(-q)), 1 + int((np.abs(np.diff(m)) > 1e-12).sum())
 
+        # merges at one penalty are one fit
+        steps = np.flatnonzero(np.r_[np.diff(lambdas) > 1e-12 * (1 + lambdas[:-1]), True]).tolist()
+        place = {j: i for i, j in enumerate(steps)}
+        last = steps[-1]
+        seen = {j: scored(j) for j in (steps[0], last)}
         # fits with more levels than this have a weight below 1e-15 of the isotonic fit's: they need not be scored
-        blocks = pava(s, s, w, wy, w * s)
-        iso = blocks[:, 3] / blocks[:, 2]
-        least = likelihood(iso, blocks[:, 3], blocks[:, 2] - blocks[:, 3])
-        most = 1 + int((np.abs(np.diff(iso)) > 1e-12).sum()) + 2 * (likelihood(m, hit, miss) - least + math.log(1e15)) / penalty if penalty > 0 else math.inf
-
-        def keep():
-            levels = 1 + int((np.abs(np.diff(m)) > 1e-12).sum())
-            if levels <= most:
-                bic = -2 * likelihood(m, hit, miss) + levels * penalty
-                if len(path) < self.most or bic < -path[0][0]:
-                    heapq.heappush(path, (-bic, -len(m), np.repeat(m, size), lam))
-                    if len(path) > self.most:
-                        heapq.heappop(path)
-
-        while True:
-            keep()
-            gap = np.diff(m)
-            viol = (gap < -1e-15).astype(float)
-            if not viol.any():
-                break
-            slope = (np.r_[0, viol] - np.r_[viol, 0]) / u  # a violating block falls, the one after it rises
-            speed = np.diff(slope)
-            when = np.full(len(gap), np.inf)
-            np.divide(-gap, speed, out=when, where=gap * speed < 0)
-            k = int(when.argmin())
-            if not np.isfinite(when[k]):
+        most = seen[last][1] + 2 * (seen[steps[0]][0] - seen[last][0] + math.log(1e15)) / penalty if penalty > 0 else math.inf
+        bic = lambda j: -2 * seen[j][0] + seen[j][1] * penalty
+        # along the path the likelihood falls, and borders between unequal blocks last until a merge takes them, so both ends of a stretch
+        # bound the fits between; the best bound is halved first
+        worst = [-bic(j) for j in seen if seen[j][1] <= most]
+        heapq.heapify(worst)
+
+        def stretch(a, b):
+            equal = len(s) - a - seen[a][1]
+            least = max(len(s) - b - equal, 1)
+            return (-2 * seen[a][0] + (least if penalty > 0 else len(s) - a) * penalty, a, b) if place[b] - place[a] > 1 and least <= most else None
+
+        todo = [x for x in [stretch(steps[0], last)] if x]
+        while todo:
+            bound, a, b = heapq.heappop(todo)
+            if len(worst) >= self.most and bound > -worst[0]:
                 break
-            lam += when[k]
-            m += slope * when[k]
-            m[k] = (m[k] * u[k] + m[k + 1] * u[k + 1]) / (u[k] + u[k + 1])
-            for x in (u, hit, miss, size):
-                x[k] += x[k + 1]
-            for x in (m, u, hit, miss, size):
-                x[k + 1 : -1] = x[k + 2 :]
-            m, u, hit, miss, size = m[:-1], u[:-1], hit[:-1], miss[:-1], size[:-1]
-        path = sorted(((-b, -k, fit, at) for b, k, fit, at in path), key=lambda x: x[:2])
-        bic = np.array([x[0] for x in path])
-        share = np.exp(-(bic - bic.min()) / 2)
+            j = steps[(place[a] + place[b]) // 2]
+            seen[j] = scored(j)
+            if seen[j][1] <= most:
+                heapq.heappush(worst, -bic(j))
+                if len(worst) > self.most:
+                    heapq.heappop(worst)
+            for x in (stretch(a, j), stretch(j, b)):
+                if x:
+                    heapq.heappush(todo, x)
+        path = sorted((bic(j), j) for j in seen if seen[j][1] <= most)[: self.most]
+        share = np.exp(-(np.array([x[0] for x in path]) - path[0][0]) / 2)
         self.weights = share / share.sum()
-        self.scores, self.values = s, np.clip(sum(a * x[2] for a, x in zip(self.weights, path)), 1e-12, 1 - 1e-12)
-        self.lambdas = [x[3] for x in path]
+        mixed = np.zeros(len(s))
+        for weight, (_, j) in zip(self.weights, path):
+            m, first, _, _ = at(j)
+            mixed += weight * np.repeat(m, np.diff(np.r_[first, len(s)]))
+        self.scores, self.values = s, np.clip(mixed, 1e-12, 1 - 1e-12)
+        self.lambdas = [float(lambdas[j]) for _, j in path]
 
     def predict(self, score):
         return lookup(self.scores, self.values)(score)

@@ -1,5 +1,7 @@
 """Operators past the sizes that one machine holds: small bounds stand for large tables, results against one pass over all rows."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -81,3 +83,22 @@ def test_spline_past_one_machine(spark, monkeypatch):
     got = C.Spline().fit(f)
     assert got.parameters() == pytest.approx(near.parameters(), rel=1e-8) and got.monotone == near.monotone
     assert got.local(t.s.to_numpy()) == pytest.approx(near.local(t.s.to_numpy()), abs=1e-9)
+
+
+def test_enir_time_and_path():
+    """A walk by a heap: 60,000 scores in seconds; borders and penalties of a small path as known by hand."""
+
+    class Held:
+        def pooled(self):
+            rng = np.random.default_rng(5)
+            s, w = np.sort(rng.uniform(0.02, 0.98, 60_000)), rng.uniform(0.2, 5, 60_000)
+            return {"s": s, "w": w, "wy": w * (rng.uniform(size=len(s)) < s)}
+
+    began = time.process_time()
+    m = C.ENIR()
+    m._fit(Held())
+    assert time.process_time() - began < 20
+    assert m.weights.sum() == pytest.approx(1) and np.all(np.diff(m.values) > -0.02)
+    gone, since, lambdas = C._near_isotonic(np.array([2.0, 0.0, 1.0, 1.0, 0.0]), np.array([2.0, 2.0, 1.0, 2.0, 1.0]))
+    # means 1, 0, 1, 1/2, 0: the third falls to the fourth and the fifth rises to it at 1/2, the first two meet at 1, and no fall is left
+    assert gone.tolist() == [3, 5, 1, 2] and since.tolist() == [0, np.inf, 0, 0] and lambdas.tolist() == pytest.approx([0, 0.5, 0.5, 1])
