@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.exprs import logit
-from .frame import MAX_POINTS, Frame, S, Y, prefixed
+from ..session import ship
+from .frame import Frame, S, Y, prefixed
 
 #: Operators quadratic by their kernel (gaussian) refuse more distinct pairs of score and outcome than this.
 MAX_CLASSES = 20_000
+#: The laplace bootstrap test takes more distinct pairs of score and outcome than this range by range on the executors.
+TEST_CLASSES = 250_000
+#: Distinct pairs of a range that one task holds.
+RANGE_CLASSES = 200_000
 #: The median distance is taken over this many rows at most, evenly spaced in row order.
 MEDIAN_ROWS = 4096
 _HEX = 16**8
@@ -231,14 +236,88 @@ def _resampled(f: Frame, x: np.ndarray, r: np.ndarray, n: np.ndarray, kernel: st
     return (np.array([math.fsum(p["v"]) for p in parts]) + total**2 * middle) / total
 
 
+def _resampled_near(f: Frame, x: Column, kernel: str, rows: int, width: float, replicates: int, seed: int) -> tuple[float, np.ndarray]:
+    """The statistic, and its centred form in resamples, with all classes on the driver."""
+    xs, r, n = _classes(f, x, TEST_CLASSES if kernel == "laplace" else rows)
+    total = n.sum()
+    statistic = float(n @ (_row_sums(xs, r, n, kernel, width) - 2 * r * r) / (total * (total - 1)))
+    return statistic, _resampled(f, xs, r, n, kernel, width, replicates, seed)
+
+
+def _resampled_far(f: Frame, x: Column, classes: int, width: float, replicates: int, seed: int) -> tuple[float, np.ndarray]:
+    """The laplace statistic, and its centred form in multinomial resamples, with the classes left in range-sorted partitions.
+
+    The driver deals each resample's rows over the partitions, a partition draws its own, and hands on for each resample what a
+    stretch of the line hands on, and its share of the centring; the stretches are joined in order."""
+    ship(f.df.sparkSession)
+    pooled = f.df.groupBy("s", "y").agg(F.count("*").alias("n"))
+    rows = pooled.repartitionByRange(max(1, -(-classes // RANGE_CLASSES)), "s").sortWithinPartitions("s", "y")
+    rows = rows.select(x.alias("x"), (Y() - S()).alias("r"), F.col("n").cast("double").alias("n"), F.spark_partition_id().alias("part")).persist()
+    names = ["first", "last", "left", "right", "pairs", "own", "n"]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> tuple[int, list[np.ndarray]] | None:
+        held = [b for b in batches if b.num_rows]
+        return (held[0].column(3)[0].as_py(), [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(3)]) if held else None
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := whole(batches):
+            yield pa.RecordBatch.from_pylist([{"part": got[0], **_stretch(*got[1], width)}], schema=pa.schema([("part", pa.int32()), *[(c, pa.float64()) for c in names]]))
+
+    parts = sorted((r.asDict() for r in rows.mapInArrow(stretches, "part int, " + ", ".join(f"{c} double" for c in names)).collect()), key=lambda p: p["first"])
+    done = parts[0]
+    for p in parts[1:]:
+        done = _joined(done, p, width)
+    total = done["n"]
+    statistic, middle = 2 * (done["pairs"] - done["own"]) / (total * (total - 1)), 2 * done["pairs"] / total**2
+    # what reaches each stretch's first point from those before, and its last point from those after
+    reach = {p["part"]: [0.0, 0.0] for p in parts}
+    for a, b in zip(parts, parts[1:]):
+        reach[b["part"]][0] = (a["right"] + reach[a["part"]][0] * math.exp((a["first"] - a["last"]) / width)) * math.exp((a["last"] - b["first"]) / width)
+    for a, b in reversed(list(zip(parts, parts[1:]))):
+        reach[a["part"]][1] = (b["left"] + reach[b["part"]][1] * math.exp((b["first"] - b["last"]) / width)) * math.exp((a["last"] - b["first"]) / width)
+    shares = np.random.default_rng([seed, 0]).multinomial(int(total), np.array([p["n"] for p in parts]) / total, size=replicates)
+    sizes = {p["part"]: shares[:, i] for i, p in enumerate(parts)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = whole(batches)
+        if not got:
+            return
+        part, (at, r, n) = got
+        down, up = np.exp((at[0] - at) / width), np.exp((at - at[-1]) / width)
+        sums = 2 * r * (_laplace_sums(at, n * r, width) + reach[part][0] * down + reach[part][1] * up) / total
+        centre = 2 * total * sums + 2 * r * r - 2 * sums + middle
+        rows_ = int(n.sum())
+        of = np.repeat(np.arange(len(n)), n.astype(int)) if rows_ <= 4 * len(n) else None
+        for a in range(0, replicates, 16):
+            lanes = range(a, min(a + 16, replicates))
+            drawn = np.empty((len(n), len(lanes)))
+            for j, number in enumerate(lanes):
+                rng, size = np.random.default_rng([seed, 1, part, number]), int(sizes[part][number])
+                drawn[:, j] = rng.multinomial(size, n / n.sum()) if of is None else np.bincount(of[rng.integers(0, rows_, size)], minlength=len(n))
+            v = r[:, None] * drawn
+            right = _behind(at, v, width)
+            out = [(v * down[:, None]).sum(axis=0), right[-1], (v * (2 * right - v)).sum(axis=0), centre @ drawn]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(lanes), pa.int32()), pa.array(list(lanes), pa.int32()), *[pa.array(c) for c in out]], names=["part", "replicate", "left", "right", "pairs", "centre"])
+
+    got = rows.mapInArrow(run, "part int, replicate int, left double, right double, pairs double, centre double").toPandas().sort_values("replicate")
+    rows.unpersist()
+    each = {int(k): {c: t[c].to_numpy() for c in ("left", "right", "pairs", "centre")} for k, t in got.groupby("part")}
+    lanes, centring = None, 0.0
+    for p in parts:
+        own = each[p["part"]]
+        new = {"first": p["first"], "last": p["last"], "left": own["left"], "right": own["right"], "pairs": own["pairs"], "own": 0.0, "n": 0.0}
+        lanes, centring = new if lanes is None else _joined(lanes, new, width), centring + own["centre"]
+    return statistic, (2 * lanes["pairs"] - centring + total**2 * middle) / total
+
+
 def skce_test(
     f: Frame, method: str = "bootstrap", replicates: int = 999, bandwidth: float | None = None, kernel: str = "laplace", scale: str = "probability", seed: int = 42, rows: int = MAX_CLASSES
 ) -> dict:
     """One-sided test of calibration: statistic, estimator, method, p_value, p_value_bound, bandwidth, replicates.
 
     ``asymptotic``: the linear estimate over its standard error against the normal law; fit for any number of rows.
-    ``bootstrap``: the quadratic estimate against resamples of its centred form; stronger, and bounded in distinct pairs of score and
-    outcome: ``MAX_POINTS`` with the laplace kernel, ``rows`` with the gaussian."""
+    ``bootstrap``: the quadratic estimate against resamples of its centred form; stronger; fit for any number of rows with the laplace
+    kernel, and bounded by ``rows`` distinct pairs of score and outcome with the gaussian."""
     if method not in ("bootstrap", "asymptotic"):
         raise ValueError("method is 'bootstrap' or 'asymptotic'")
     if replicates < 1:
@@ -253,9 +332,11 @@ def skce_test(
         statistic, sd = got["skce"], got["sd"]
         p = special.norm_cdf(-math.sqrt(got["pairs"]) * statistic / sd) if sd > 0 else float(statistic <= 0)
     else:
-        xs, r, n = _classes(f, x, MAX_POINTS if kernel == "laplace" else rows)
-        statistic = float(n @ (_row_sums(xs, r, n, kernel, width) - 2 * r * r) / (count * (count - 1)))
-        drawn = _resampled(f, xs, r, n, kernel, width, replicates, seed)
+        classes = f.df.select("s", "y").distinct().count() if kernel == "laplace" else 0
+        if classes > TEST_CLASSES:
+            statistic, drawn = _resampled_far(f, x, classes, width, replicates, seed)
+        else:
+            statistic, drawn = _resampled_near(f, x, kernel, rows, width, replicates, seed)
         p = (1 + int((drawn >= count * statistic).sum())) / (replicates + 1)
     return {
         "statistic": statistic,

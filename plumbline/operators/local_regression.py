@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .frame import Frame
 from .solvers import local_fits
 
@@ -61,6 +62,7 @@ class Line:
     """Distinct scores in order, range by range: s, rows n, events k, weight w."""
 
     def __init__(self, f: Frame):
+        ship(f.df.sparkSession)
         pooled = f.df.groupBy("s").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("k"), F.sum("w").alias("w"))
         ranges = max(1, math.ceil(f.df.agg(F.approx_count_distinct("s")).first()[0] / RANGE_SCORES))
         self.df = pooled.repartitionByRange(ranges, "s").sortWithinPartitions("s").select("*", F.spark_partition_id().alias("part")).persist()

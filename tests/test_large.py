@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import calibrators as C
-from plumbline.operators import frame, local_regression
+from plumbline.operators import frame, kernel, local_regression
 from plumbline.operators import metrics as M
 from plumbline.operators.frame import Frame
 
@@ -102,3 +102,22 @@ def test_enir_time_and_path():
     gone, since, lambdas = C._near_isotonic(np.array([2.0, 0.0, 1.0, 1.0, 0.0]), np.array([2.0, 2.0, 1.0, 2.0, 1.0]))
     # means 1, 0, 1, 1/2, 0: the third falls to the fourth and the fifth rises to it at 1/2, the first two meet at 1, and no fall is left
     assert gone.tolist() == [3, 5, 1, 2] and since.tolist() == [0, np.inf, 0, 0] and lambdas.tolist() == pytest.approx([0, 0.5, 0.5, 1])
+
+
+@pytest.mark.parametrize("digits", [None, 2])
+@pytest.mark.parametrize("bend", [1.0, 1.3])
+def test_bootstrap_test_past_one_machine(spark, monkeypatch, digits, bend):
+    """The statistic of the whole, and resamples alike in law, whether the classes are on the driver or in ranges."""
+    f, _ = drawn(spark, 1500, digits)
+    if bend == 1.0:  # calibrated outcomes
+        f = Frame(f.df.withColumn("y", (F.rand(4) < F.col("s")).cast("double")).localCheckpoint())
+    width = kernel.bandwidth_of(f)
+    ask = (F.col("s"), "laplace", 10**6, width, 4000, 42)
+    due, near = kernel._resampled_near(f, *ask)
+    monkeypatch.setattr(kernel, "RANGE_CLASSES", 150)
+    got, far = kernel._resampled_far(f, F.col("s"), 1000, width, 4000, 42)
+    assert got == pytest.approx(due, abs=1e-12)
+    assert far.mean() == pytest.approx(near.mean(), abs=0.1 * near.std())
+    assert np.quantile(far, [0.1, 0.5, 0.9]) == pytest.approx(np.quantile(near, [0.1, 0.5, 0.9]), abs=0.2 * near.std())
+    monkeypatch.setattr(kernel, "TEST_CLASSES", 100)
+    assert M.skce_test(f, replicates=199)["statistic"] == pytest.approx(due, abs=1e-12)
