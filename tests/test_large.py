@@ -12,6 +12,7 @@ from plumbline.operators import calibrators as C
 from plumbline.operators import frame, kernel, local_regression
 from plumbline.operators import metrics as M
 from plumbline.operators.frame import Frame
+from plumbline.plans import catalogue
 
 
 def drawn(spark, rows, digits=None, seed=3):
@@ -121,3 +122,11 @@ def test_bootstrap_test_past_one_machine(spark, monkeypatch, digits, bend):
     assert np.quantile(far, [0.1, 0.5, 0.9]) == pytest.approx(np.quantile(near, [0.1, 0.5, 0.9]), abs=0.2 * near.std())
     monkeypatch.setattr(kernel, "TEST_CLASSES", 100)
     assert M.skce_test(f, replicates=199)["statistic"] == pytest.approx(due, abs=1e-12)
+
+
+def test_reliability_spline_past_one_machine(spark, monkeypatch):
+    ask = lambda: {r["grid_p"]: r["event_rate"] for r in catalogue.queries()["reliability_spline"](spark, "/root/testdata/sf0.001").collect()}
+    near = ask()
+    monkeypatch.setattr(C, "MAX_POINTS", 400)
+    monkeypatch.setattr(C, "SPLINE_PAIRS", 400, raising=False)
+    assert ask() == pytest.approx(near, abs=1.1e-6)
