@@ -34,6 +34,14 @@ def _by_part(df: DataFrame, make: Callable[[pd.DataFrame], pd.DataFrame], schema
     return df.mapInPandas(run, schema)
 
 
+def borders(at: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower edges, middles and half widths of cells between these quantiles and ``count`` equal widths."""
+    alone = np.nextafter(at[1:][at[1:] == at[:-1]], 2)  # a score of more rows than a cell is one by itself
+    edges = np.unique(np.r_[at, alone, np.linspace(at[0], at[-1], count + 1)])
+    ends = np.r_[edges[1:], edges[-1]]
+    return edges, (edges + ends) / 2, np.maximum((ends - edges) / 2, 1e-300)
+
+
 @dataclass
 class Cells:
     """Middles and half widths of the cells that hold scores; ``sums`` has the rows' powers, then the events'."""
@@ -109,11 +117,7 @@ class Line:
         return low
 
     def cells(self) -> Cells:
-        at = self.at_ranks(np.unique(np.linspace(0, self.rows - 1, CELLS + 1).astype(np.int64)))
-        alone = np.nextafter(at[1:][at[1:] == at[:-1]], 2)  # a score of more rows than a cell is one by itself
-        edges = np.unique(np.r_[at, alone, np.linspace(at[0], at[-1], CELLS + 1)])
-        ends = np.r_[edges[1:], edges[-1]]
-        middle, half = (edges + ends) / 2, np.maximum((ends - edges) / 2, 1e-300)
+        edges, middle, half = borders(self.at_ranks(np.unique(np.linspace(0, self.rows - 1, CELLS + 1).astype(np.int64))), CELLS)
         names = [f"m{k}" for k in range(2 * _POWERS)]
 
         def sums(t):

@@ -14,6 +14,7 @@ from ..functions.exprs import bin_index, logit, softplus, traffic_light, wilson
 from .frame import MAX_POINTS, Frame, S, TooManyPoints, W, Y, merged, prefixed
 from .kernel import skce, skce_linear, skce_test  # noqa: F401
 from .local_regression import Line, spread_quantiles
+from .resamples import resampled
 from .solvers import irls, loess, repeated_quantiles, together
 
 
@@ -504,14 +505,14 @@ def intervals(f: Frame, metrics: Sequence[str] | None = None, replicates: int =
     """metric, value, ci_low, ci_high: points of ``evaluate`` and percentile intervals from resampled rows, for the whole catalogue.
 
     A replicate draws as many rows as there are, of each outcome by itself if ``stratify``, and each by its own seed, so results do
-    not depend on partitions. Replicates are dealt over tasks; each task holds the rows once (``MAX_POINTS`` at most, in the order of score and
-    row), counts how often each is drawn and works on the drawn ones. Larger frames have ``bootstrap``."""
+    not depend on partitions. Up to ``MAX_POINTS`` rows replicates are dealt over tasks; each task holds the rows once (in the order of score
+    and row), counts how often each is drawn and works on the drawn ones. Larger frames are drawn range by range (``resamples``)."""
     asked = [c for c in CATALOGUE if metrics is None or c in metrics]
     points = evaluate(f, metrics)
-    if f.df.count() > MAX_POINTS:
-        raise ValueError(f"more than {MAX_POINTS} rows; use bootstrap, whose metrics are sums")
+    spark, weighted, size = f.df.sparkSession, f.weighted, f.df.count()
+    if size > MAX_POINTS:
+        return _between(spark, asked, points, resampled(f, size, asked, replicates, seed, stratify))
     got = f.df.orderBy("s", *(["row_id"] if "row_id" in f.df.columns else [])).select("s", "y", "w").toPandas()
-    spark, weighted = f.df.sparkSession, f.weighted
     rows = spark.sparkContext.broadcast(tuple(got[c].to_numpy(float) for c in "syw"))  # MAX_POINTS rows at most
 
     def run(batches):
@@ -534,8 +535,12 @@ def intervals(f: Frame, metrics: Sequence[str] | None = None, replicates: int =
 
     tasks = min(replicates, 4 * max(int(spark.sparkContext.defaultParallelism), 1))
     drawn = spark.range(replicates).repartition(tasks).mapInPandas(run, ", ".join(f"`{c}` double" for c in asked)).toPandas()
-    low, high = np.percentile(drawn.to_numpy(float), [2.5, 97.5], axis=0)
     rows.unpersist()
+    return _between(spark, asked, points, drawn.to_numpy(float))
+
+
+def _between(spark, asked: Sequence[str], points: dict[str, float], drawn: np.ndarray) -> DataFrame:
+    low, high = np.percentile(drawn, [2.5, 97.5], axis=0)
     return spark.createDataFrame([(c, float(points[c]), float(a), float(b)) for c, a, b in zip(asked, low, high)], "metric string, value double, ci_low double, ci_high double")
 
 
