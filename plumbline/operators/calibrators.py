@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, clipped, expit, logit, pick
 from ..session import ship
-from .frame import MAX_POINTS, Frame, S, W, Y, merged, prefixed
+from .frame import MAX_POINTS, Frame, S, TooManyPoints, W, Y, merged, prefixed
 from .solvers import irls, isotonic_blocks, pava, root_1d, together
 
 
@@ -26,6 +26,10 @@ from .solvers import irls, isotonic_blocks, pava, root_1d, together
 SPLINE_PAIRS = 500_000
 #: Rows of a range that one task walks in order.
 RANGE_ROWS = 200_000
+#: Distinct scores whose nearly isotonic path is walked on the driver from its start; of more, ranges walk the part that no good fit is in.
+PATH_SCORES = 250_000
+#: About as many blocks are left to the driver's walk.
+PATH_BLOCKS = 100_000
 
 
 class Unattainable(ValueError):
@@ -721,19 +725,25 @@ class CrossVennAbers(Calibrator):
         return {"cv": self.cv, "mean_envelope_width": float((b - a).mean())}
 
 
-def _near_isotonic(hit: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _falls(hit: np.ndarray, u: np.ndarray, left: float = math.inf, right: float = math.inf) -> np.ndarray:
+    """The penalty from which each border falls, as it is known at penalty 0; the borders at the ends as given."""
+    return np.r_[left, np.where(np.diff(hit / u) < -1e-15, 0.0, math.inf), right]
+
+
+def _near_isotonic(hit: np.ndarray, u: np.ndarray, since: np.ndarray | None = None, lam: float = 0.0, until: float = math.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The path of nearly isotonic regressions: the number of the merge that takes each border, the penalty from which a border falls
-    (infinite: never), and the penalty after each merge.
+    (infinite: never), and the penalty after each merge. It goes from penalty ``lam``, where borders (both ends too) have fallen
+    ``since`` then, to ``until``.
 
     A block is (outcomes + penalty since the border before it fell - penalty since the one after fell) / weight. Neighbours that are
     equal and drift into a fall count as falling from the next merge on. A merge or a new fall changes the closing times of the
     borders beside it only, and a heap has the next one."""
     n = len(hit)
     h, v = hit.tolist(), u.tolist()
-    since = [math.inf, *np.where(np.diff(hit / u) < -1e-15, 0.0, math.inf).tolist(), math.inf]  # of the border before block k
+    since = (_falls(hit, u) if since is None else since).tolist()  # of the border before block k
     after, before, times = list(range(1, n + 1)), list(range(-1, n - 1)), [math.inf] * (n + 1)
-    gone, lambdas, heap, drifting, lam = [n] * (n + 1), [0.0], [], [], 0.0
-    left = sum(x == 0.0 for x in since)
+    gone, lambdas, heap, drifting = [n] * (n + 1), [lam], [], []
+    left = sum(x < math.inf for x in since)
 
     def gap(k):
         i, end = before[k], after[k]
@@ -756,7 +766,7 @@ def _near_isotonic(hit: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     for k in range(1, n):
         close(k)
-    while left and heap:
+    while left and heap and heap[0][0] <= until:
         when, k = heapq.heappop(heap)
         if times[k] != when or gone[k] < n:
             continue
@@ -785,11 +795,57 @@ def _near_isotonic(hit: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.array(gone[1:n], np.int64), np.array(since[1:n]), np.array(lambdas)
 
 
+def _levels(hit: np.ndarray, u: np.ndarray, gone: np.ndarray, since: np.ndarray, merges: int, lam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Levels, first places, outcomes and weights of the blocks after so many merges of a path, at penalty ``lam``."""
+    first = np.flatnonzero(np.r_[True, gone > merges])
+    h, v = np.add.reduceat(hit, first), np.add.reduceat(u, first)
+    fell = np.maximum(lam - since[np.r_[first, len(hit)]], 0)
+    return (h + fell[:-1] - fell[1:]) / v, first, h, v
+
+
+def _likelihood(m: np.ndarray, h: np.ndarray, v: np.ndarray) -> float:
+    q = np.clip(m, 1e-12, 1 - 1e-12)
+    return float(h @ np.log(q) + (v - h) @ np.log1p(-q))
+
+
+def _lasting(hit: np.ndarray, u: np.ndarray, lam: float, rows: int, last: bool) -> tuple[int, float] | None:
+    """The first border (or the last one) that stands at penalty ``lam`` whatever lies beside these rows, and when it fell: at 0 or never.
+
+    Sums of the fit up to a border lie between those of two walks of the rows alone, with no fall at either end and with a fall at
+    both. Where both have the same border, so has the whole; no border comes back, and what lies on both sides of it is apart until then."""
+    n, infinite = len(hit), math.inf
+    while True:
+        rows = min(rows, n)
+        at = slice(n - rows, n) if last else slice(0, rows)
+        (g0, s0, _), (g1, s1, _) = (_near_isotonic(hit[at], u[at], _falls(hit[at], u[at], end, end), until=lam) for end in (infinite, 0.0))
+        both = np.flatnonzero((g0 == rows) & (g1 == rows) & (s0 == s1) & ((s0 == 0) | (s0 == infinite)))
+        if len(both):
+            k = int(both[-1 if last else 0])
+            return at.start + k + 1, float(s0[k])
+        if rows == n:
+            return None
+        rows *= 4
+
+
+def _walked(s: np.ndarray, hit: np.ndarray, u: np.ndarray, left: float, right: float, grid: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The path between two borders that stand at the last penalty of ``grid``. First scores, outcomes, weights and falls of the blocks
+    there (equal ones that never fell apart are one); likelihood, borders and borders between equal blocks at each penalty."""
+    gone, since, lambdas = _near_isotonic(hit, u, _falls(hit, u, left, right), until=grid[-1])
+    since, sums = np.r_[left, since, right], np.empty((len(grid), 3))
+    for i, lam in enumerate(grid):
+        m, first, h, v = _levels(hit, u, gone, since, int(np.searchsorted(lambdas, lam, "right")) - 1, lam)
+        sums[i] = _likelihood(m, h, v), len(m) - 1, (np.abs(np.diff(m)) <= 1e-12).sum()
+    own = np.flatnonzero(np.r_[True, (since[first[1:]] < math.inf) | (np.abs(np.diff(m)) > 1e-15)])
+    return [s[first[own]], np.add.reduceat(h, own), np.add.reduceat(v, own), since[first[own]]], sums
+
+
 class ENIR(Calibrator):
     """Average over the path of nearly isotonic regressions by BIC; the path is walked on the driver over distinct scores.
 
     The walk is a heap of merges, and a fit anywhere on the path follows from the borders left there, so only fits that can be among
-    the best are made."""
+    the best are made. Of more than ``PATH_SCORES`` distinct scores, ranges walk the start of the path, each between two borders that
+    outlast it; the driver walks the rows between those and then goes on with the blocks that are left. Likelihoods and borders along the start
+    bound its fits; where one of them could be among the best, the driver begins sooner."""
 
     rank = 80.0
     monotone = False
@@ -798,22 +854,94 @@ class ENIR(Calibrator):
         self.most = max_solutions
 
     def _fit(self, f):
+        if isinstance(f, Frame):
+            rows = f.df.groupBy("s").agg(F.sum("w").alias("w"), F.sum(W() * Y()).alias("wy"), F.sum(W() * W()).alias("ww")).persist()
+            try:
+                if rows.count() > PATH_SCORES and self._fit_far(rows):
+                    return
+            finally:
+                rows.unpersist()
         p = f.pooled()
-        s, w, wy = p["s"], p["w"], p["wy"]
-        penalty = math.log(w.sum())
-        gone, since, lambdas = _near_isotonic(wy, w)
+        self._choose(p["s"], p["wy"], p["w"], _falls(p["wy"], p["w"]))
+
+    def _fit_far(self, rows: DataFrame) -> bool:
+        """Whether it was fitted by ranges; if not, it takes the path from penalty 0 over all scores."""
+        n, w, wy, ww, low, high = rows.agg(F.count("*"), F.sum("w"), F.sum("wy"), F.sum("ww"), F.min("s"), F.max("s")).first()
+        if w <= 1:  # BIC prefers more levels then
+            return False
+        # blocks at a penalty are about as long as a random walk of the outcomes takes to get that far
+        reach = math.sqrt(max(ww * wy / w * (1 - wy / w), 0) / n) * math.sqrt(2.5 * n / PATH_BLOCKS)
+        grid, found = np.r_[0.0, np.geomspace(reach / 300, reach, 48)] if reach > 0 else np.zeros(1), False
+        ranged = rows.select("s", "wy", "w").repartitionByRange(max(1, math.ceil(n / RANGE_ROWS)), "s").sortWithinPartitions("s").persist()
+        try:
+            while True:
+                got = self._start(ranged, low, high, grid, math.ceil(50 * n / PATH_BLOCKS))
+                if got is None and (found or not 0 < grid[-1] < 64 * reach):
+                    raise TooManyPoints(f"more than {MAX_POINTS} blocks in the fits of least BIC; round the scores first")
+                if got is None:
+                    grid = np.r_[grid, grid[-1] * np.geomspace(2**0.125, 4, 16)]
+                    continue
+                (s, h, v, since), sums = got
+                again = self._choose(s, h, v, np.r_[since, math.inf], grid, sums)
+                if again is None:
+                    return True
+                if again == 0 and n <= MAX_POINTS:
+                    return False
+                grid, found = grid[: again + 1], True
+        finally:
+            ranged.unpersist()
+
+    def _start(self, ranged: DataFrame, low: float, high: float, grid: np.ndarray, rows: int):
+        """Blocks of all scores at the last penalty of ``grid``, and sums along it; none, if the blocks are too many for the driver."""
+        lam = float(grid[-1])
+
+        def run(batches):
+            t = pd.concat([*batches, pd.DataFrame({"s": [], "wy": [], "w": []})])
+            if not len(t):
+                return
+            s, h, v = (t[c].to_numpy(float) for c in ("s", "wy", "w"))
+            a = (0, math.inf) if s[0] == low else _lasting(h, v, lam, rows, False)
+            b = (len(s), math.inf) if s[-1] == high else a and _lasting(h, v, lam, rows, True)
+            known = np.full(len(s), math.nan)
+            if a and b and a[0] < b[0]:
+                (x, bh, bv, since), sums = _walked(s[a[0] : b[0]], h[a[0] : b[0]], v[a[0] : b[0]], a[1], b[1], grid)
+                yield pd.DataFrame({"kind": 0, "s": x, "h": bh, "v": bv, "since": since})
+                yield pd.DataFrame({"kind": 2, "s": np.arange(len(grid), dtype=float), "h": sums[:, 0], "v": sums[:, 1], "since": sums[:, 2]})
+                if b[0] < len(s):
+                    known[b[0]] = b[1]
+                left = np.r_[0 : a[0], b[0] : len(s)]
+            else:
+                left = np.arange(len(s))
+            yield pd.DataFrame({"kind": 1, "s": s[left], "h": h[left], "v": v[left], "since": known[left]})
 
-        def at(j):
-            """Levels, first scores, outcomes and weights of the blocks after ``j`` merges."""
-            first = np.flatnonzero(np.r_[True, gone > j])
-            h, v = np.add.reduceat(wy, first), np.add.reduceat(w, first)
-            fell = np.maximum(lambdas[j] - since[first[1:] - 1], 0)
-            return (h + np.r_[0, fell] - np.r_[fell, 0]) / v, first, h, v
+        got = ranged.mapInPandas(run, "kind int, s double, h double, v double, since double").limit(MAX_POINTS + 1).toPandas()
+        if len(got) > MAX_POINTS:
+            return None
+        sums = np.zeros((len(grid), 3))
+        along = got[got["kind"] == 2]
+        np.add.at(sums, along["s"].to_numpy().astype(int), along[["h", "v", "since"]].to_numpy())
+        got = got[got["kind"] < 2].sort_values("s", kind="stable")
+        raw = got["kind"].to_numpy() == 1
+        cells = [got[c].to_numpy() for c in ("s", "h", "v", "since")]
+        out, starts = [], np.flatnonzero(np.r_[True, raw[1:] != raw[:-1]])
+        for i, j in zip(starts, np.r_[starts[1:], len(raw)]):
+            part = [c[i:j] for c in cells]
+            if raw[i]:  # rows around the border of two ranges, between borders that stand
+                part, more = _walked(*part[:3], cells[3][i] if i else math.inf, cells[3][j] if j < len(raw) else math.inf, grid)
+                sums += more
+            out.append(part)
+        return [np.concatenate(c) for c in zip(*out)], sums
+
+    def _choose(self, s: np.ndarray, wy: np.ndarray, w: np.ndarray, since: np.ndarray, grid: np.ndarray = np.zeros(1), sums: np.ndarray | None = None) -> int | None:
+        """The average of the path on from the last penalty of ``grid``; or the place in ``grid`` after which fits can be among the best."""
+        penalty = math.log(w.sum())
+        gone, inner, lambdas = _near_isotonic(wy, w, since, float(grid[-1]))
+        since = np.r_[since[0], inner, since[-1]]
+        at = lambda j: _levels(wy, w, gone, since, j, lambdas[j])
 
         def scored(j):
             m, _, h, v = at(j)
-            q = np.clip(m, 1e-12, 1 - 1e-12)
-            return float(h @ np.log(q) + (v - h) @ np.log1p(-q)), 1 + int((np.abs(np.diff(m)) > 1e-12).sum())
+            return _likelihood(m, h, v), 1 + int((np.abs(np.diff(m)) > 1e-12).sum())
 
         # merges at one penalty are one fit
         steps = np.flatnonzero(np.r_[np.diff(lambdas) > 1e-12 * (1 + lambdas[:-1]), True]).tolist()
@@ -821,11 +949,13 @@ class ENIR(Calibrator):
         last = steps[-1]
         seen = {j: scored(j) for j in (steps[0], last)}
         # fits with more levels than this have a weight below 1e-15 of the isotonic fit's: they need not be scored
-        most = seen[last][1] + 2 * (seen[steps[0]][0] - seen[last][0] + math.log(1e15)) / penalty if penalty > 0 else math.inf
+        best = seen[steps[0]][0] if sums is None else sums[0, 0]
+        most = seen[last][1] + 2 * (best - seen[last][0] + math.log(1e15)) / penalty if penalty > 0 else math.inf
         bic = lambda j: -2 * seen[j][0] + seen[j][1] * penalty
+        fits = lambda j: seen[j][1] <= most and (j > 0 or grid[-1] == 0)  # noqa: E731 (before a merge, there is one at penalty 0 only)
         # along the path the likelihood falls, and borders between unequal blocks last until a merge takes them, so both ends of a stretch
         # bound the fits between; the best bound is halved first
-        worst = [-bic(j) for j in seen if seen[j][1] <= most]
+        worst = [-bic(j) for j in seen if fits(j)]
         heapq.heapify(worst)
 
         def stretch(a, b):
@@ -847,7 +977,13 @@ class ENIR(Calibrator):
             for x in (stretch(a, j), stretch(j, b)):
                 if x:
                     heapq.heappush(todo, x)
-        path = sorted((bic(j), j) for j in seen if seen[j][1] <= most)[: self.most]
+        if sums is not None:  # the same bounds for the start of the path
+            least = np.maximum(sums[1:, 1] - sums[:-1, 2] + 1, 1)
+            bound = -2 * sums[:-1, 0] + (least if penalty > 0 else sums[:-1, 1] + 1) * penalty
+            near = np.flatnonzero((least <= most) & ((len(worst) < self.most) | (bound <= -worst[0] if worst else True)))
+            if len(near):
+                return int(near[0])
+        path = sorted((bic(j), j) for j in seen if fits(j))[: self.most]
         share = np.exp(-(np.array([x[0] for x in path]) - path[0][0]) / 2)
         self.weights = share / share.sum()
         mixed = np.zeros(len(s))
@@ -856,6 +992,7 @@ class ENIR(Calibrator):
             mixed += weight * np.repeat(m, np.diff(np.r_[first, len(s)]))
         self.scores, self.values = s, np.clip(mixed, 1e-12, 1 - 1e-12)
         self.lambdas = [float(lambdas[j]) for _, j in path]
+        return None
 
     def predict(self, score):
         return lookup(self.scores, self.values)(score)

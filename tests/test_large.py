@@ -105,6 +105,29 @@ def test_enir_time_and_path():
     assert gone.tolist() == [3, 5, 1, 2] and since.tolist() == [0, np.inf, 0, 0] and lambdas.tolist() == pytest.approx([0, 0.5, 0.5, 1])
 
 
+@pytest.mark.parametrize("digits, blocks", [(None, 2000), (None, 300), (3, 100)])
+def test_enir_past_one_machine(spark, monkeypatch, digits, blocks):
+    """The start of the path in ranges leaves the fits as they are; with few blocks left, the driver has to begin sooner."""
+    f, t = drawn(spark, 20_000, digits)
+    near = C.ENIR().fit(f)
+    monkeypatch.setattr(frame, "MAX_POINTS", 400)
+    for name, value in (("PATH_SCORES", 400), ("PATH_BLOCKS", blocks), ("RANGE_ROWS", 300 if digits else 3000)):
+        monkeypatch.setattr(C, name, value, raising=False)
+    got = C.ENIR().fit(f)
+    assert got.local(t.s.to_numpy()) == pytest.approx(near.local(t.s.to_numpy()), abs=1e-9)
+    assert got.lambdas[0] == pytest.approx(near.lambdas[0]) and got.weights[0] == pytest.approx(near.weights[0]) and len(got.values) < len(near.values)
+
+
+def test_enir_of_rising_outcomes_past_one_machine(spark, monkeypatch):
+    """No fit but the outcomes themselves, whose equal neighbours are one step."""
+    f, t = drawn(spark, 5000)
+    monkeypatch.setattr(frame, "MAX_POINTS", 400)
+    for name, value in (("MAX_POINTS", 4000), ("PATH_SCORES", 400), ("PATH_BLOCKS", 200), ("RANGE_ROWS", 800)):
+        monkeypatch.setattr(C, name, value, raising=False)
+    got = C.ENIR().fit(Frame(f.df.withColumn("y", (F.col("s") > 0.5).cast("double")), True))
+    assert got.local(t.s.to_numpy()) == pytest.approx((t.s > 0.5).to_numpy(float), abs=1e-9) and got.lambdas == [0.0] and len(got.values) < 50
+
+
 @pytest.mark.parametrize("digits", [None, 2])
 @pytest.mark.parametrize("bend", [1.0, 1.3])
 def test_bootstrap_test_past_one_machine(spark, monkeypatch, digits, bend):
